@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
-from pyspark import SparkFiles  # noqa: F401  (imported so that workers resolve the module early)
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,7 +35,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if not getattr(sc, "_cuegrid_ready", False):
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):
             sc.addPyFile(_zipped(root))
         if not sc.getConf().get("spark.checkpoint.dir", ""):
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="cuegrid-ckpt-"))
