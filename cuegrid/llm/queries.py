@@ -2,5 +2,23 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from cuegrid.llm import turns
+from cuegrid.session import table
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return turns.p2_found(table(spark, d, "cues"), table(spark, d, "tracks"))
+
+
+def p2_layouts(spark: SparkSession, d: str) -> DataFrame:
+    return turns.mine_layouts(table(spark, d, "cues"), table(spark, d, "tracks"))
+
+
+def p2_turns(spark: SparkSession, d: str) -> DataFrame:
+    return turns.turns(table(spark, d, "cues"), table(spark, d, "tracks"), with_words=True)
+
+
+QUERIES = {"p2_found": p2_found, "p2_layouts": p2_layouts, "p2_turns": p2_turns}
 SQL: dict[str, str] = {}
