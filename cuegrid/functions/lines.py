@@ -17,7 +17,8 @@ NOTE = (
 LABEL_WORD = r"(?:spk|speaker|说话人|話者|화자|спикер|locuteur|sprecher)"
 
 _TRIM = re.compile(f"(?:{STAMP})|(?:{NOTE})", re.I)
-_HINT = re.compile(r"[\[(<{*♪♫♬♩【（>]|\d[hm]\d")
+#: A text without any of these characters has neither trimmings nor labels.
+_HINTS = frozenset("[](){}<>（）【】*♪♫♬♩:：-0123456789")
 #: Anything that is blank or invisible may come before a label.
 _LEAD = r"[\s​‎‏﻿⁠]*"
 _LABEL = re.compile(
@@ -38,11 +39,16 @@ _COLONISH = re.compile(r"[:：\]>]|\d -")
 
 def trimmings(text: str) -> list[tuple[int, int]]:
     """Spans of stamps and sound annotations."""
-    if not _HINT.search(text) and "-->" not in text:
+    if _HINTS.isdisjoint(text):
         return []
     return [m.span() for m in _TRIM.finditer(text)]
 
 
+def plain(text: str) -> bool:
+    """Whether the text surely has neither trimmings nor labels."""
+    return _HINTS.isdisjoint(text)
+
+
 def mask(text: str, spans: list[tuple[int, int]]) -> str:
     for a, b in spans:
         text = text[:a] + " " * (b - a) + text[b:]
@@ -62,7 +68,9 @@ def read_lines(text: str, label: re.Pattern = _LABEL) -> tuple[str, list[tuple[s
     A line is ``(label key or None, first offset, end offset)``.  A labelled physical line opens a line, any other line
     break does not.  What stands before the first label is a line of its own only if something is said there.
     """
-    spans = trimmings(text)
+    if plain(text):
+        return text, [(None, 0, len(text))], []
+    spans = [m.span() for m in _TRIM.finditer(text)]
     masked = mask(text, spans) if spans else text
     if not _COLONISH.search(text):
         return masked, [(None, 0, len(text))], spans

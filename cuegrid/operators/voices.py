@@ -56,11 +56,11 @@ def with_voices(rows: DataFrame, tracks: DataFrame, salts: int = 8, on: str = "c
     """Join every row to its recording's voice map (left), whatever share of the rows one recording holds.
 
     The map side has one row per recording; it is repeated ``salts`` times and the row side salted by ``on``, so no task
-    gets more than ``1/salts`` of a hot recording.  Adaptive execution still broadcasts the map when its size allows.
+    gets more than ``1/salts`` of a hot recording.  It is never broadcast: it grows with the recordings.
     """
     v = voice_map(tracks).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnRenamed("rec_id", "_rec")
     r = rows.withColumn("_salt_row", F.pmod(F.xxhash64(on), F.lit(salts)).cast("int"))
-    return r.join(v, (r.rec_id == v._rec) & (r._salt_row == v._salt), "left").drop("_salt_row", "_salt", "_rec")
+    return r.join(v.hint("merge"), (r.rec_id == v._rec) & (r._salt_row == v._salt), "left").drop("_salt_row", "_salt", "_rec")
 
 
 def speaker_of(label: Column, column: Column) -> Column:
