@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuegrid.llm import turns
+from cuegrid.llm import lang, turns
 from cuegrid.session import table
 
 
@@ -22,3 +22,14 @@ def p2_turns(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_layouts": p2_layouts, "p2_turns": p2_turns}
 SQL: dict[str, str] = {}
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return lang.p1_found(table(spark, d, "cues"))
+
+
+def p1_languages(spark: SparkSession, d: str) -> DataFrame:
+    return lang.languages(table(spark, d, "cues"))
+
+
+QUERIES |= {"p1_found": p1_found, "p1_languages": p1_languages}
