@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuegrid.llm import lang, turns
+from cuegrid.llm import lang, sentences, turns
 from cuegrid.session import table
 
 
@@ -33,3 +33,14 @@ def p1_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p1_found": p1_found, "p1_languages": p1_languages}
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.p3_found(table(spark, d, "cues"))
+
+
+def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "cues"))
+
+
+QUERIES |= {"p3_found": p3_found, "p3_sentences": p3_sentences}
