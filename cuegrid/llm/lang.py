@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.functions.lines import read_lines
+from cuegrid.functions.lines import plain, read_lines
 from cuegrid.llm.fillers import WORDS as FILLERS
 
 PER_LANGUAGE = 600
@@ -65,6 +65,7 @@ def ngrams(word: str) -> list[str]:
 
 
 _TRUE = np.array([True])
+_OWN = np.arange(200_000, dtype=np.float32)[:, None]
 
 
 class Profiles:
@@ -73,6 +74,7 @@ class Profiles:
     def __init__(self, ranked: dict[str, list[str]]):
         self.ranked = {k: v[:PROFILE] for k, v in ranked.items()}
         self.cache: dict = {}
+        self.sentences: dict = {}
         self._build()
 
     def _build(self) -> None:
@@ -83,40 +85,43 @@ class Profiles:
             for k in langs:
                 for t in self.ranked.get(k, []):
                     ids.setdefault(t, len(ids))
-            r = np.full((len(ids) + 1, len(langs)), PROFILE, np.float32)
+            r = np.full((len(ids) + 1, len(langs)), np.inf, np.float32)
             for j, k in enumerate(langs):
                 for i, t in enumerate(self.ranked.get(k, [])):
                     r[ids[t], j] = i
             self.ids[g], self.ranks[g] = ids, r
-        self.words: dict[str, list[str]] = {}
+        self.words: dict[str, dict[str, np.ndarray]] = {g: {} for g in GROUPS}
 
     def __getstate__(self):
         return self.ranked
 
     def __setstate__(self, ranked):
-        self.ranked, self.cache = ranked, {}
+        self.ranked, self.cache, self.sentences = ranked, {}, {}
         self._build()
 
     def distances(self, words: Iterable[str], group: str) -> np.ndarray:
         """Out-of-place distance per n-gram of the passage to each of the group's languages."""
-        ids, last, parts = self.ids[group], len(self.ids[group]), []
+        known, parts = self.words[group], []
         for w in words:
-            g = self.words.get((group, w))
+            g = known.get(w)
             if g is None:
-                if len(self.words) > 200_000:
-                    self.words.clear()
-                g = self.words[group, w] = np.array([ids.get(t, last) for t in ngrams(w)], np.int32)
+                if len(known) > 100_000:
+                    known.clear()
+                ids, last = self.ids[group], len(self.ids[group])
+                g = known[w] = np.array([ids.get(t, last) for t in ngrams(w)], np.int32)
             parts.append(g)
         if not parts:
             return np.full(len(GROUPS[group]), PROFILE, np.float32)
         every = np.concatenate(parts)
         every.sort()
-        first = np.flatnonzero(np.concatenate((_TRUE, every[1:] != every[:-1])))
-        n = np.diff(first, append=len(every))
-        r = self.ranks[group][every[first[np.argsort(-n, kind="stable")]]]
-        d = np.abs(r - np.arange(len(first), dtype=np.float32)[:, None])
-        d[r >= PROFILE] = PROFILE
-        return d.sum(0) / len(first)
+        bounds = np.concatenate((_TRUE, every[1:] != every[:-1], _TRUE)).nonzero()[0]
+        first = bounds[:-1]
+        order = (first - bounds[1:]).argsort(kind="stable")  # most frequent first
+        r = self.ranks[group][every[first[order]]]
+        r -= _OWN[: len(first)]
+        np.abs(r, out=r)
+        np.minimum(r, PROFILE, out=r)  # a missing n-gram's rank is infinite
+        return np.add.reduce(r, 0) / len(first)
 
     def classify(self, passage: str, group: str) -> tuple[str, float, dict[str, float]]:
         key = (group, passage)
@@ -182,6 +187,19 @@ def runs(masked: str) -> Iterator[tuple[str, int, int, str, int]]:
         yield from map(tuple, units)
 
 
+_SENTENCE = re.compile(r"(?<=[.!?…])\s*(?=[¿¡“«„\"'(]?[A-ZÀ-ÖØ-ÞА-ЯЁ\u0600-\u1fff\u3040-\ud7a3])|(?<=[。！？।؟])|(?<=[\u0e00-\u0e7f]) +")
+
+
+def _units(piece: str, model: Profiles) -> list[tuple]:
+    """Classified units of one sentence, with offsets from its first character; recognisers repeat themselves, so they are kept."""
+    hit = model.sentences.get(piece)
+    if hit is None:
+        if len(model.sentences) > 400_000:
+            model.sentences.clear()
+        hit = model.sentences[piece] = [(g, a, b, n, *model.classify(words, g), len(words)) for g, a, b, words, n in runs(piece)]
+    return hit
+
+
 def passages(text: str, model: Profiles, masked: str | None = None) -> list[tuple[str, float, int, int, int]]:
     """``(language, confidence, first, end, size)`` of each passage; size is in words, in letters where unspaced.
 
@@ -189,24 +207,33 @@ def passages(text: str, model: Profiles, masked: str | None = None) -> list[tupl
     clear margin, and neighbours of one language are one passage.
     """
     if masked is None:
-        masked = read_lines(text)[0]
+        masked = text if plain(text) else read_lines(text)[0]
     if "@" in masked or "＠" in masked or "(" in masked or "[" in masked or "arroba" in masked or "/" in masked:
         masked = _MAIL.sub(lambda m: " " * len(m[0]), masked)
-    found = [(g, a, b, n, *model.classify(words, g), len(words)) for g, a, b, words, n in runs(masked)]
+    found: list[tuple] = []
+    at = 0
+    for m in _SENTENCE.finditer(masked):
+        if m.start() > at:
+            found += [(at, *u) for u in _units(masked[at : m.start()], model)]
+            at = m.end()
+    found += [(at, *u) for u in _units(masked[at:], model)]
     if len(found) > 1:  # a borrowed term is no passage where anything else is said
-        found = [x for x in found if x[3] >= MIN_WORDS] or found[:1]
+        found = [x for x in found if x[4] >= MIN_WORDS] or found[:1]
     if not found:
         return []
     out: list[list] = []
-    mixed = {g for g in ("latin", "cjk") if len({x[4] for x in found if x[0] == g}) > 1}
-    main = {g: max((x for x in found if x[0] == g), key=lambda x: (x[7] * (x[5] + 0.05)))[4] for g in mixed}
-    for group, a, b, n, lang, conf, d, _ in found:
+    one = found[0][5]
+    if all(x[5] == one for x in found):
+        return [(one, max(x[6] for x in found), found[0][0] + found[0][2], found[-1][0] + found[-1][3], sum(x[4] for x in found))]
+    mixed = {g for g in ("latin", "cjk") if len({x[5] for x in found if x[1] == g}) > 1}
+    main = {g: max((x for x in found if x[1] == g), key=lambda x: (x[8] * (x[6] + 0.05)))[5] for g in mixed}
+    for off, group, a, b, n, lang, conf, d, _ in found:
         if group in mixed and lang != main[group] and d[main[group]] - d[lang] < (MARGIN if n > CLAUSE_WORDS else 2 * MARGIN) * d[main[group]]:
             lang, conf = main[group], 0.0
         if out and out[-1][0] == lang:
-            out[-1][1], out[-1][3], out[-1][4] = max(out[-1][1], conf), b, out[-1][4] + n
+            out[-1][1], out[-1][3], out[-1][4] = max(out[-1][1], conf), off + b, out[-1][4] + n
         else:
-            out.append([lang, conf, a, b, n])
+            out.append([lang, conf, off + a, off + b, n])
     return [tuple(x) for x in out]
 
 
@@ -265,7 +292,7 @@ _OUT = pa.schema([("cue_id", pa.int64()), ("lang", pa.string()), ("confidence",
 OUT_DDL = "cue_id bigint, lang string, confidence double, begin_at int, end_at int, size int, named boolean"
 
 
-def _tagger(model: Profiles):
+def _tagger(model: Profiles, unnamed_only: bool = False):
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels: dict = {}
         for b in batches:
@@ -274,24 +301,24 @@ def _tagger(model: Profiles):
                 if label not in labels:
                     labels[label] = named_language(label)
                 own = labels[label]
-                rows.extend((cue, lang, conf, a, z, n, lang == own) for lang, conf, a, z, n in passages(text, model))
+                rows.extend((cue, lang, conf, a, z, n, lang == own) for lang, conf, a, z, n in passages(text, model) if not (unnamed_only and lang == own))
             cols = list(zip(*rows)) or [[]] * len(_OUT)
             yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(cols, _OUT)], schema=_OUT)
 
     return tag
 
 
-def languages(cues: DataFrame, model: Profiles | None = None) -> DataFrame:
+def languages(cues: DataFrame, model: Profiles | None = None, unnamed_only: bool = False) -> DataFrame:
     """One row per passage with its language, confidence, offsets and whether ``cues.lang`` names the language.
 
     Null, blank and wordless texts have no rows; redelivered cues repeat theirs.
     """
     model = model or fit_profiles(cues)
-    return cues.where("text IS NOT NULL AND cue_id IS NOT NULL").select("cue_id", "text", "lang").mapInArrow(_tagger(model), OUT_DDL)
+    return cues.where("text IS NOT NULL AND cue_id IS NOT NULL").select("cue_id", "text", "lang").mapInArrow(_tagger(model, unnamed_only), OUT_DDL)
 
 
 def p1_found(cues: DataFrame, model: Profiles | None = None) -> DataFrame:
     """Languages of passages long enough that the cue's label does not name."""
     unspaced = F.col("lang").isin(*sorted(UNSPACED))
     enough = F.when(unspaced, F.col("size") >= MIN_LETTERS).otherwise(F.col("size") >= MIN_WORDS)
-    return languages(cues, model).where(~F.col("named") & enough).select("cue_id", "lang").distinct()
+    return languages(cues, model, unnamed_only=True).where(~F.col("named") & enough).select("cue_id", "lang").distinct()

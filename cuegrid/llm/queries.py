@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuegrid.llm import lang, sentences, turns
+from cuegrid.llm import lang, pii, sentences, turns
 from cuegrid.session import table
 
 
@@ -44,3 +44,18 @@ def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p3_found": p3_found, "p3_sentences": p3_sentences}
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.p4_found(table(spark, d, "cues"), table(spark, d, "name_parts"))
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "cues"), table(spark, d, "name_parts"))
+
+
+def p4_disclosure(spark: SparkSession, d: str) -> DataFrame:
+    return pii.disclosure(table(spark, d, "cues"), table(spark, d, "name_parts")).select("term", "n", "given_share", "family_share", "given_bits", "family_bits")
+
+
+QUERIES |= {"p4_found": p4_found, "p4_redacted": p4_redacted, "p4_disclosure": p4_disclosure}
