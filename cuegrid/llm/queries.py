@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuegrid.llm import lang, pii, sentences, turns
+from cuegrid.llm import abuse, lang, pii, sentences, turns
 from cuegrid.session import table
 
 
@@ -59,3 +59,18 @@ def p4_disclosure(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p4_found": p4_found, "p4_redacted": p4_redacted, "p4_disclosure": p4_disclosure}
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.p5_found(table(spark, d, "cues"))
+
+
+def p5_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scores(table(spark, d, "cues"), table(spark, d, "entries"))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(table(spark, d, "cues"), table(spark, d, "recordings"))
+
+
+QUERIES |= {"p5_found": p5_found, "p5_scores": p5_scores, "p5_rates": p5_rates}
