@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuegrid.llm import abuse, lang, pii, sentences, turns
+from cuegrid.llm import abuse, lang, pairs, pii, sentences, turns
 from cuegrid.session import table
 
 
@@ -74,3 +74,10 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p5_found": p5_found, "p5_scores": p5_scores, "p5_rates": p5_rates}
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.p7_found(table(spark, d, "translations"), table(spark, d, "cues"))
+
+
+QUERIES |= {"p7_found": p7_found}
