@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuegrid.llm import abuse, lang, pairs, pii, sentences, turns
+from cuegrid.llm import abuse, lang, pairs, pii, sentences, tokens, turns
 from cuegrid.session import table
 
 
@@ -81,3 +81,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p7_found": p7_found}
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p8_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.lengths(table(spark, d, "documents"))
+
+
+QUERIES |= {"p8_ids": p8_ids, "p8_lengths": p8_lengths}
