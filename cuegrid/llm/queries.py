@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuegrid.llm import abuse, lang, pairs, pii, sentences, tokens, turns
+from cuegrid.llm import abuse, lang, leaks, pairs, pii, sentences, tokens, turns
 from cuegrid.session import table
 
 
@@ -92,3 +92,14 @@ def p8_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p8_ids": p8_ids, "p8_lengths": p8_lengths}
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.p9_found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES |= {"p9_found": p9_found, "p9_items": p9_items}
