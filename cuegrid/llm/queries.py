@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuegrid.llm import abuse, lang, leaks, pairs, pii, sentences, tokens, turns
+from cuegrid.llm import abuse, lang, leaks, lookalike, pairs, pii, sentences, tokens, turns
 from cuegrid.session import table
 
 
@@ -103,3 +103,14 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p9_found": p9_found, "p9_items": p9_items}
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.p10_found(table(spark, d, "documents"))
+
+
+def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.canonical(table(spark, d, "documents"))
+
+
+QUERIES |= {"p10_found": p10_found, "p10_canonical": p10_canonical}
