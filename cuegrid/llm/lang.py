@@ -192,6 +192,7 @@ _SENTENCE = re.compile(r"(?<=[.!?…])\s*(?=[¿¡“«„\"'(]?[A-ZÀ-ÖØ-ÞА-
 
 def _units(piece: str, model: Profiles) -> list[tuple]:
     """Classified units of one sentence, with offsets from its first character; recognisers repeat themselves, so they are kept."""
+    piece = piece.lower().rstrip(" .!?…\n")
     hit = model.sentences.get(piece)
     if hit is None:
         if len(model.sentences) > 400_000:
