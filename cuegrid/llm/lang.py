@@ -75,6 +75,8 @@ class Profiles:
         self.ranked = {k: v[:PROFILE] for k, v in ranked.items()}
         self.cache: dict = {}
         self.sentences: dict = {}
+        #: Leave out the distance where a script has one language only (its confidence is then 1).
+        self.only_choices = False
         self._build()
 
     def _build(self) -> None:
@@ -93,10 +95,10 @@ class Profiles:
         self.words: dict[str, dict[str, np.ndarray]] = {g: {} for g in GROUPS}
 
     def __getstate__(self):
-        return self.ranked
+        return self.ranked, self.only_choices
 
-    def __setstate__(self, ranked):
-        self.ranked, self.cache, self.sentences = ranked, {}, {}
+    def __setstate__(self, state):
+        (self.ranked, self.only_choices), self.cache, self.sentences = state, {}, {}
         self._build()
 
     def distances(self, words: Iterable[str], group: str) -> np.ndarray:
@@ -124,6 +126,8 @@ class Profiles:
         return np.add.reduce(r, 0) / len(first)
 
     def classify(self, passage: str, group: str) -> tuple[str, float, dict[str, float]]:
+        if self.only_choices and len(GROUPS[group]) == 1:
+            return GROUPS[group][0], 1.0, {}
         key = (group, passage)
         hit = self.cache.get(key)
         if hit is None:
@@ -187,7 +191,19 @@ def runs(masked: str) -> Iterator[tuple[str, int, int, str, int]]:
         yield from map(tuple, units)
 
 
-_SENTENCE = re.compile(r"(?<=[.!?…])\s*(?=[¿¡“«„\"'(]?[A-ZÀ-ÖØ-ÞА-ЯЁ\u0600-\u1fff\u3040-\ud7a3])|(?<=[。！？।؟])|(?<=[\u0e00-\u0e7f]) +")
+_SENTENCE = re.compile(r"[.!?…]+[\"”»’')\]]*\s*(?=[¿¡“«„\"'(]?[A-ZÀ-ÖØ-ÞА-ЯЁ\u0600-\u1fff\u3040-\ud7a3])|[。！？।؟]+|(?<=[\u0e00-\u0e7f]) +")
+_SENTENCE_ASCII = re.compile(r"[.!?]+[\"')\]]*\s*(?=[\"'(]?[A-Z])")
+_CLAUSE_MARKS = frozenset(",;.!?0123456789_-")
+_WORD_ASCII = re.compile(r"[a-z][a-z']*")
+
+
+def _ascii_unit(piece: str, model: Profiles) -> list[tuple]:
+    """The unit of a plain sentence without clause marks: what ``runs`` makes of it, without the work."""
+    words = [w for w in _WORD_ASCII.findall(piece) if w not in FILLERS]
+    if not words:
+        return []
+    joined = " ".join(words)
+    return [("latin", 0, len(piece), len(words), *model.classify(joined, "latin"), len(joined))]
 
 
 def _units(piece: str, model: Profiles) -> list[tuple]:
@@ -197,6 +213,9 @@ def _units(piece: str, model: Profiles) -> list[tuple]:
     if hit is None:
         if len(model.sentences) > 400_000:
             model.sentences.clear()
+        if piece.isascii() and _CLAUSE_MARKS.isdisjoint(piece):
+            hit = model.sentences[piece] = _ascii_unit(piece, model)
+            return hit
         hit = model.sentences[piece] = [(g, a, b, n, *model.classify(words, g), len(words)) for g, a, b, words, n in runs(piece)]
     return hit
 
@@ -213,7 +232,7 @@ def passages(text: str, model: Profiles, masked: str | None = None) -> list[tupl
         masked = _MAIL.sub(lambda m: " " * len(m[0]), masked)
     found: list[tuple] = []
     at = 0
-    for m in _SENTENCE.finditer(masked):
+    for m in (_SENTENCE_ASCII if masked.isascii() else _SENTENCE).finditer(masked):
         if m.start() > at:
             found += [(at, *u) for u in _units(masked[at : m.start()], model)]
             at = m.end()
@@ -322,4 +341,6 @@ def p1_found(cues: DataFrame, model: Profiles | None = None) -> DataFrame:
     """Languages of passages long enough that the cue's label does not name."""
     unspaced = F.col("lang").isin(*sorted(UNSPACED))
     enough = F.when(unspaced, F.col("size") >= MIN_LETTERS).otherwise(F.col("size") >= MIN_WORDS)
+    model = model or fit_profiles(cues)
+    model.only_choices = True  # confidences are not asked for here
     return languages(cues, model, unnamed_only=True).where(~F.col("named") & enough).select("cue_id", "lang").distinct()
