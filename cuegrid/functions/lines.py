@@ -26,7 +26,7 @@ _LABEL = re.compile(
     + r"(?:<v[ .]+(?P<v>[^<>\n]{1,30})>"
     + r"|\[(?P<b>[^\[\]\n:：]{1,30})\][ ]*[:：]"
     + rf"|\[(?P<bs>{LABEL_WORD}[ _]?0*\d+)\]"
-    + rf"|(?:>>[ ]*|-[ ]+)?(?P<s>{LABEL_WORD}[ _]?0*\d+)(?:[ ]*[:：]|[ ]+-(?=[ ]))"
+    + rf"|(?:>>[ ]*|-[ ]+)?(?P<s>{LABEL_WORD}[ _]?0*\d+)(?:[ ]*[:：]|[ ]+-(?=[ ]|$))"
     + r"|(?:>>[ ]*|-[ ]+)?(?P<f>file\d+(?:·[LR])?)[ ]*[:：]"
     + r"|(?:>>[ ]*|-[ ]+)(?P<d>[^\W\d_][\w'’.-]{0,24})[ ]*[:：]"
     + r"|(?P<n>[A-ZÀ-ÞА-ЯЁ][^\W\d_]{1,24})(?:：|:(?=\s|$|\d|[\[(<{*♪♫【（“\"«¿¡]|[^\x00-\xff])))"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuegrid.functions import rules, text
-from cuegrid.operators import align, cluster, diff, frames, matching, tasks, timeline, tree
+from cuegrid.operators import align, cluster, diff, frames, matching, segment, tasks, timeline, tree
 from cuegrid.plans.views import EV, FR, RANGES, VERSIONS, ZH, event_cues, ranges, versions, zh_text
 from cuegrid.plans.views import frames as frame_view
 from cuegrid.session import table
@@ -368,7 +368,7 @@ def f9(s, d):
     return zh_text(s, d).select("cue_id", rules.polish(F.col("text"), F.col("language")).alias("text"))
 
 
-@query("p5_filler_only", "SELECT DISTINCT cue_id FROM cues WHERE regexp_full_match(text, '[\\s，。、？！,.?!…]*(那个|这个|然后|就是|嗯+|呃+|啊+|哦+)[\\s，。、？！,.?!…]*')")
+@query("filler_only", "SELECT DISTINCT cue_id FROM cues WHERE regexp_full_match(text, '[\\s，。、？！,.?!…]*(那个|这个|然后|就是|嗯+|呃+|啊+|哦+)[\\s，。、？！,.?!…]*')")
 def p5f(s, d):
     return table(s, d, "cues").where(F.col("text").rlike("^[\\s，。、？！,.?!…]*(?:那个|这个|然后|就是|嗯+|呃+|啊+|哦+)[\\s，。、？！,.?!…]*\\z")).select("cue_id").distinct()
 
@@ -417,8 +417,49 @@ def r2(s, d):
     return tasks.pending(c, c.where("cue_id % 2 = 0")).select("task_key")
 
 
-@query("p3_boundaries", "SELECT doc_id, len(regexp_extract_all(text, '[。！？!?…।؟]')) + len(regexp_extract_all(text || ' ', '[.][ \\n\\r\\t]')) AS ends FROM documents WHERE text IS NOT NULL")
+@query("boundary_marks", "SELECT doc_id, len(regexp_extract_all(text, '[。！？!?…।؟]')) + len(regexp_extract_all(text || ' ', '[.][ \\n\\r\\t]')) AS ends FROM documents WHERE text IS NOT NULL")
 def p3b(s, d):
     t = table(s, d, "documents").where("text IS NOT NULL")
     return t.select("doc_id", (F.size(F.regexp_extract_all("text", F.lit("([。！？!?…।؟])"), F.lit(1))) + F.size(F.regexp_extract_all(F.concat("text", F.lit(" ")), F.lit("([.][ \\n\\r\\t])"), F.lit(1)))).alias("ends"))
 
+
+
+def _raw(s, d):
+    return table(s, d, "cues").where("start_ms IS NOT NULL AND end_ms > start_ms AND rec_id IS NOT NULL").select("rec_id", "cue_id", "start_ms", "end_ms", "speaker", "text").distinct()
+
+
+@query("t9_repair_term_splits")
+def t9(s, d):
+    return segment.repair_term_splits(_raw(s, d), ["camera operator", "small studio", "第二支麦克风", "片尾字幕"])
+
+
+@query("t10_enforce_width")
+def t10(s, d):
+    return segment.enforce_width(_raw(s, d))
+
+
+@query("g8_sentence_cues")
+def g8(s, d):
+    return segment.cues_of_sentences(_raw(s, d).withColumnRenamed("cue_id", "sent_id"))
+
+
+@query("s13_uncertain_list", f"WITH {EV()} SELECT rec_id, cue_id AS item_id, {FMT.format(m='start_ms')} AS start, {FMT.format(m='(start_ms + 3000)')} AS end, text || chr(10) || CASE WHEN cue_id % 2 = 0 THEN 'a ／ b' ELSE '-' END AS text FROM c")
+def s13(s, d):
+    c = event_cues(s, d)
+    return segment.uncertain_list(c.select("rec_id", F.col("cue_id").alias("item_id"), F.col("start_ms").alias("time_ms"), "text", F.expr("CASE WHEN cue_id % 2 = 0 THEN array('a', 'b') END").alias("candidates")))
+
+
+@query("s15_review_report", SQL["t4_merge_ranges"].replace("SELECT rec_id, min(cue) AS cue", ", z AS (SELECT rec_id, min(cue) AS cue", 1) + ") SELECT rec_id, cue, top_severity, count(*) OVER (PARTITION BY rec_id, top_severity) AS of_severity, '| ' || cue || '–' || cue_end || ' | ' || label || ' |' AS row FROM z")
+def s15(s, d):
+    return segment.review_report(cluster.merge_ranges(ranges(s, d)))
+
+
+@query("mask_active", f"WITH {FR}, p AS (SELECT track_id, quantile_cont(db, 0.2) AS p20 FROM f GROUP BY 1) SELECT f.track_id, count(*) FILTER (db > p20 + 8 AND db > -55) AS active FROM f JOIN p USING (track_id) GROUP BY 1")
+def p10a(s, d):
+    return frames.active(frame_view(s, d)).groupBy("track_id").agg(F.sum(F.col("active").cast("int")).alias("active"))
+
+
+@query("a10_width_audit")
+def a10(s, d):
+    w = _raw(s, d).where("text IS NOT NULL").select("rec_id", text.display_width("text").alias("w"))
+    return w.groupBy("rec_id").agg(F.max("w").alias("widest"), F.sum((F.col("w") > 16).cast("int")).alias("over"))

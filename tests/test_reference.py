@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuegrid.functions import rules, text
-from cuegrid.operators import align, cluster, frames, matching, tasks, timeline, tree
+from cuegrid.operators import align, cluster, frames, matching, segment, tasks, timeline, tree
 from cuegrid.sources import subtitles
 from cuegrid.streaming import intervals as stream
 
@@ -150,3 +150,17 @@ def test_streaming_equals_batch(spark, tmp_path):
         latest.setdefault((r.rec_id, r.speaker), []).append((r.rec_id, r.speaker, r.kind, r.from_ms, r.to_ms))
     final = brute(rows, 500)
     assert final <= {x for v in latest.values() for x in v}
+
+
+def test_segmentation(spark):
+    t = segment.char_times("one two", 1000, 4000, [{"word": "one", "start": 1000, "end": 2000}, {"word": "two", "start": 3000, "end": 4000}])
+    assert t[0][0] == 1000 and t[4][0] == 3000 and t[-1][1] == 4000 and all(a <= b for a, b in t) and len(t) == 7
+    assert segment.char_times("", 0, 1) == [] and segment.char_times("ab", 0, 10) == [(0, 5.0), (5.0, 10)]
+    got = segment.sentence_cues("one two", 1000, 4000, 99, [{"word": "one", "start": 1000, "end": 2000}, {"word": "two", "start": 3000, "end": 4000}])
+    assert all(1000 <= c["start_ms"] < c["end_ms"] <= 4000 for c in got)
+    c = cues(spark, [(0, 100, "a"), (110, 200, "a"), (900, 950, "a")]).withColumn("text", F.expr("CASE cue_id WHEN 0 THEN 'the camera' WHEN 1 THEN 'operator waits' ELSE 'end' END"))
+    assert [(r.text, r.parts) for r in segment.repair_term_splits(c, ["camera operator"]).orderBy("start_ms").collect()] == [("the camera operator waits", 2), ("end", 1)]
+    wide = segment.enforce_width(c.withColumn("text", F.lit("several words that are far too wide for a line")), 8.0)
+    pieces = wide.where("cue_id = 0").orderBy("piece").collect()
+    assert len(pieces) > 1 and pieces[-1].end_ms == 100 and all(text.width(p.text) <= 8 for p in pieces) and pieces[0].start_ms == 0
+    assert segment.enforce_width(c.limit(0)).collect() == []
