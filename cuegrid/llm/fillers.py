@@ -20,10 +20,8 @@ FILLERS = {
     "th": "อืม เอ่อ อ่า",
 }
 
-_PHRASES = {"you know"}
 WORDS = {w for v in FILLERS.values() for w in v.split()} - {"you", "know"}
 
-_TOKEN = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*|[^\W_]|[ऀ-ॿ฀-๿]+")
 _TOKEN_MARKS = re.compile(r"[\wऀ-ॿ฀-๿ً-ٟ]+(?:[-'’][\w]+)*")
 
 
@@ -32,7 +30,7 @@ LEAD_INS = {"bueno", "enfin", "ну", "nun ja", "well", "also", "alors", "pues"}
 
 
 def is_speech(masked: str) -> bool:
-    """Whether anything but fillers is said in a text whose trimmings are blanked."""
+    """Whether anything but fillers is said in a text whose trimmings are blanked (a yes or no is speech, empty text none)."""
     words = _TOKEN_MARKS.findall(masked.lower())
     if not words:
         return any(ch.isalnum() for ch in masked)

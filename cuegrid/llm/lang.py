@@ -142,7 +142,7 @@ class Profiles:
             rest = min((x for i, x in enumerate(d) if i != d.index(near)), default=2.0 * PROFILE)
             conf = min(1.0, max(0.0, (rest - near) / max(rest, 1e-6)))
             hit = (langs[d.index(near)], conf, dict(zip(langs, d)))
-            if len(self.cache) > 300_000:
+            if len(self.cache) > 200_000:
                 self.cache.clear()
             self.cache[key] = hit
         return hit
@@ -211,7 +211,7 @@ def _units(piece: str, model: Profiles) -> list[tuple]:
     piece = piece.lower().rstrip(" .!?…\n")
     hit = model.sentences.get(piece)
     if hit is None:
-        if len(model.sentences) > 400_000:
+        if len(model.sentences) > 250_000:
             model.sentences.clear()
         if piece.isascii() and _CLAUSE_MARKS.isdisjoint(piece):
             hit = model.sentences[piece] = _ascii_unit(piece, model)
