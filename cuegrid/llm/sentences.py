@@ -3,8 +3,9 @@
 Candidate boundaries are terminators (and, in Thai, blanks).  A maximum-entropy (logistic) model classifies each from the
 tokens around it: case, length, digits, script, how often the token before ends a cue where it carries a period, and how
 often the token behind opens one.  It is trained on reliable boundaries of the data: the end of one cue followed by the
-start of another, against periods followed by lower case, digits or commas.  The training sample is bounded
-(``SAMPLE`` cues in expectation, chosen by hash); the model is applied to all cues.
+start of another, against periods followed by lower case, digits or commas.  How often tokens end, open and occur is counted
+over all cues; the examples the weights are fitted to are bounded (``SAMPLE`` cues in expectation, chosen by hash).  The
+model is applied to all cues.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from cuegrid.llm.fillers import LEAD_INS, WORDS, is_speech
 from cuegrid.llm.lang import _MAIL
 
 SAMPLE = 10_000
+#: More counted terms than this are not shipped to the workers.
+TERMS_BOUND = 3_000_000
 
 _CLOSE = "(?:[ \u00a0\u202f]?»|[”\"’“›]|[)\\]』」])*"
 #: Terminators with the quotation marks that close behind them; a blank after a Thai letter is a candidate too.
@@ -108,46 +111,114 @@ class BoundaryModel:
         return hit
 
 
-def train(texts: list[str], rounds: int = 250) -> BoundaryModel:
-    """Fit on raw cue texts; without usable texts all candidates before a capital or an unspaced script are taken."""
-    bodies = []
-    for t in texts:
-        masked, lines, _ = read_lines(t)
+_MARKS = ".!?…。！？।؟｡"
+_THAI = re.compile("[฀-๿]")
+#: Blanks and quotation marks behind a sentence.
+_BEHIND = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "\"”»’」』“"
+_TOKEN = re.compile(r"[^\W_][\w'’ऀ-ॿً-ٟ-]*")
+_TERMS = pa.schema([("term", pa.string()), ("finals", pa.int64()), ("dotted", pa.int64()), ("starts", pa.int64()), ("total", pa.int64())])
+
+
+def _bodies(text: str) -> list[str]:
+    masked, lines, _ = read_lines(text)
+    low = masked.lower()
+    if "@" in masked or "＠" in masked or "[" in masked or "(" in masked or "://" in masked or "www." in low or " arroba " in low:
         masked = _MAIL.sub(lambda m: "x" * len(m[0]), masked)
-        bodies += [masked[a:b].strip() for _, a, b in lines if is_speech(masked[a:b])]
-    finals, dotted, starts, total = Counter(), Counter(), Counter(), Counter()
+    return [masked[a:b].strip() for _, a, b in lines if is_speech(masked[a:b])]
+
+
+def _tail(body: str) -> tuple[str, str, bool, bool]:
+    """The body without what closes behind its mark, the same without the mark, whether it is Thai, whether it ends as a sentence."""
+    last = body.rstrip(_BEHIND)
+    bare = last.rstrip(_MARKS)
+    thai = not body.isascii() and _THAI.search(body) is not None
+    return last, bare, thai, thai or bare != last
+
+
+def _tally(body: str, finals: Counter, dotted: Counter, starts: Counter, total: Counter) -> None:
+    """Count a cue's tokens: at its end, before a period, at its start, anywhere."""
+    starts[_next_token(body)[0]] += 1
+    toks = set(_TOKEN.findall(body.lower()))
+    if _DIGIT.search(body):
+        toks = [_DIGIT.sub("0", tok) for tok in toks]
+    if body.isascii() or not _UNSPACED.search(body):
+        total.update(toks)
+    else:
+        for tok in toks:
+            if _UNSPACED.search(tok[0]):
+                total.update(map("".join, zip(tok, tok[1:])))
+            else:
+                total[tok] += 1
+    last, bare, _, ended = _tail(body)
+    if ended:
+        tail = _prev_token(bare)
+        finals[tail] += 1
+        dotted[tail] += 1
+    if "." in bare or "…" in bare:
+        for m in _CAND.finditer(body):
+            if m.end() < len(last) and m["t"] and set(m["t"]) & set(".…"):
+                dotted[_prev_token(body[: m.start()])] += 1
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = [Counter() for _ in range(4)]
+
+    def flush() -> pa.RecordBatch:
+        terms = list(set().union(*counts))
+        cols = [terms, *([c.get(t, 0) for t in terms] for c in counts)]
+        for c in counts:
+            c.clear()
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _TERMS)], schema=_TERMS)
+
+    for b in batches:
+        for text in b.column("text").to_pylist():
+            for body in _bodies(text):
+                _tally(body, *counts)
+        if len(counts[3]) > 300_000:
+            yield flush()
+    yield flush()
+
+
+def corpus_counts(cues: DataFrame) -> list[dict]:
+    """How often each token ends a cue, carries a period, opens a cue and occurs, over all cues.
+
+    A redelivered cue counts as often as it comes.  Left out are terms too rare to be told from unseen ones: ``features``
+    asks for two, ``_boundary`` for three starts.
+    """
+    per = cues.where("text IS NOT NULL").select("text").mapInArrow(_count, "term string, finals bigint, dotted bigint, starts bigint, total bigint")
+    per = per.groupBy("term").agg(*(F.sum(c).alias(c) for c in _TERMS.names[1:])).where("dotted > 1 OR total > 1 OR starts > 2")
+    t = per.limit(TERMS_BOUND + 1).toArrow()
+    if t.num_rows > TERMS_BOUND:
+        raise ValueError(f"more than {TERMS_BOUND} terms: raise TERMS_BOUND")
+    terms = t["term"].to_pylist()
+    return [{k: n for k, n in zip(terms, t[c].to_pylist()) if n} for c in _TERMS.names[1:]]
+
+
+def train(texts: list[str], rounds: int = 250, counts: list[dict] | None = None) -> BoundaryModel:
+    """Fit on raw cue texts; without usable texts all candidates before a capital or an unspaced script are taken.
+
+    ``counts``: those of the corpus that the texts were drawn from, else the texts' own.
+    """
+    bodies = [body for t in texts for body in _bodies(t)]
+    own = [Counter() for _ in range(4)]
     ends: list[tuple[str, str]] = []
     opens: list[tuple[str, str]] = []
     inner: list[tuple] = []
     for body in bodies:
+        _tally(body, *own)
         nocase = not any(ch.isupper() for ch in body)
-        w, raw = _next_token(body)
-        starts[w] += 1
-        opens.append((w, raw))
-        for tok in set(re.findall(r"[^\W_][\w'’ऀ-ॿً-ٟ-]*", body.lower())):
-            tok = _DIGIT.sub("0", tok)
-            if _UNSPACED.search(tok[0]):
-                for i in range(len(tok) - 1):
-                    total[tok[i : i + 2]] += 1
-            else:
-                total[tok] += 1
-        thai = bool(re.search("[฀-๿]", body))
-        last = re.sub(r"[\s\"”»’」』“]+$", "", body)
-        tail = _prev_token(re.sub(r"[.!?…。！？।؟｡]+$", "", last))
-        if thai or re.search(r"[.!?…。！？।؟｡]$", last):
-            finals[tail] += 1
-            dotted[tail] += 1
-            ends.append((tail, "th" if thai else "d" if last.endswith(("...", "…")) else "."))
+        opens.append(_next_token(body))
+        last, bare, thai, ended = _tail(body)
+        if ended:
+            ends.append((_prev_token(bare), "th" if thai else "d" if last.endswith(("...", "…")) else "."))
         for m in _CAND.finditer(body):
             if m.end() >= len(last) or (m["t"] and not set(m["t"]) & set(".…")):
                 continue
             prev, (w, raw) = _prev_token(body[: m.start()]), _next_token(body[m.end() :])
-            if m["t"]:
-                dotted[prev] += 1
             gap = m["t"] is None or m.end() < len(body) and body[m.end()].isspace()
             inner.append((prev, bool(m["t"]) and m["t"] != ".", m["t"] is None, gap, w, raw, nocase))
     x, y = [], []
-    model = BoundaryModel(dict(finals), dict(dotted), dict(starts), dict(total))
+    model = BoundaryModel(*counts) if counts is not None else BoundaryModel(*map(dict, own))
     for i, (tail, kind) in enumerate(ends):
         w, raw = opens[(i * 7919 + 13) % len(opens)]
         if tail and w:
@@ -156,17 +227,18 @@ def train(texts: list[str], rounds: int = 250) -> BoundaryModel:
     for j, (prev, dots, thai, gap, w, raw, nocase) in enumerate(inner):
         if thai or nocase or not raw:
             continue
-        if (raw.islower() and w not in WORDS) or (raw.isdigit() and model.dotted.get(prev, 0) > model.finals.get(prev, 0)) or (not gap and not raw.isupper()):
+        if (raw.islower() and w not in WORDS) or (raw.isdigit() and model.dotted.get(prev, 1) > model.finals.get(prev, 0)) or (not gap and not raw.isupper()):
             x.append(model.features(prev, dots, thai, gap, w, raw, nocase))
             y.append(0)
             if prev and not dots and model.finals.get(prev, 0) < 0.04 * model.dotted.get(prev, 1):  # such a token ends nothing, whatever follows
                 w, raw = opens[(j * 104729 + 5) % len(opens)]
                 x.append(model.features(prev, dots, thai, gap, w, raw, nocase))
                 y.append(0)
+    seen = sorted(own[3])
     for j, (tail, kind) in enumerate(ends[:4000]):  # within a sentence: a token that ends nothing before one that starts nothing
         if kind == "th" and tail:
-            w = sorted(total)[(j * 31) % len(total)]
-            if not starts.get(w) and _UNSPACED.search(w):
+            w = seen[(j * 31) % len(seen)]
+            if not model.starts.get(w) and not own[2].get(w) and _UNSPACED.search(w):
                 x.append(model.features(w, False, True, True, w, w[0], True))
                 y.append(0)
     if len(set(y)) < 2:
@@ -188,7 +260,7 @@ def fit(cues: DataFrame, sample: int = SAMPLE) -> BoundaryModel:
     n = max(1, c.count())
     share = min(1.0, sample / n)
     picked = c.where(F.pmod(F.xxhash64("cue_id", F.lit(3)), F.lit(1_000_003)) < share * 1_000_003)
-    return train(sorted(r.text for r in picked.select("text").collect()))
+    return train(sorted(r.text for r in picked.select("text").collect()), counts=corpus_counts(c))
 
 
 def _filler_only(chunk: str) -> bool:

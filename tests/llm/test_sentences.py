@@ -49,3 +49,15 @@ def test_spark(spark):
     df = spark.createDataFrame(rows, "cue_id bigint, text string")
     assert [tuple(r) for r in sentences.p3_found(df, M).collect()] == [(1, 45)]
     assert sentences.p3_found(df.limit(0)).collect() == []
+
+
+def test_counts_cover_all_cues(spark):
+    texts = TEXTS * 4 + ["The abbot keeps cf. two of them."] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "cue_id bigint, text string")
+    part, whole = sentences.fit(df, sample=60), sentences.train(texts)
+    for name in ("finals", "dotted", "starts", "total"):
+        got, want = getattr(part, name), getattr(whole, name)
+        assert {k: n for k, n in got.items() if n > 2} == {k: n for k, n in want.items() if n > 2}, name
+    assert part.dotted["cf"] == whole.dotted["cf"] == 2
+    key = ("cf", False, False, True, "host", "A", False)
+    assert list(part.features(*key)) == list(whole.features(*key)) and part.features(*key)[11] == 1
