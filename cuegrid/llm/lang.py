@@ -203,7 +203,7 @@ def _ascii_unit(piece: str, model: Profiles) -> list[tuple]:
     if not words:
         return []
     joined = " ".join(words)
-    return [("latin", 0, len(piece), len(words), *model.classify(joined, "latin"), len(joined))]
+    return [("latin", 0, len(piece), len(words), *model.classify(joined, "latin"), len(joined), joined if len(words) < MIN_WORDS else "")]
 
 
 def _units(piece: str, model: Profiles) -> list[tuple]:
@@ -216,15 +216,33 @@ def _units(piece: str, model: Profiles) -> list[tuple]:
         if piece.isascii() and _CLAUSE_MARKS.isdisjoint(piece):
             hit = model.sentences[piece] = _ascii_unit(piece, model)
             return hit
-        hit = model.sentences[piece] = [(g, a, b, n, *model.classify(words, g), len(words)) for g, a, b, words, n in runs(piece)]
+        hit = model.sentences[piece] = [(g, a, b, n, *model.classify(words, g), len(words), words if n < MIN_WORDS else "") for g, a, b, words, n in runs(piece)]
     return hit
 
 
+def _join_short(found: list[tuple], model: Profiles) -> list[tuple]:
+    """Neighbouring short units of one script are classified as one; one still short goes with a neighbour of its script."""
+    out: list[tuple] = []
+    for x in found:
+        y = out[-1] if out else None
+        if y and x[9] and y[9] and x[1] == y[1]:
+            words = y[9] + " " + x[9]
+            out[-1] = (0, y[1], y[0] + y[2], x[0] + x[3], y[4] + x[4], *y[5:8], len(words), words)
+        else:
+            out.append(x)
+    out = [(*x[:5], *model.classify(x[9], x[1]), *x[8:]) if x[9] else x for x in out]
+    for i, x in enumerate(out):
+        if x[4] < MIN_WORDS:
+            near = next((out[j] for j in (i - 1, i + 1) if 0 <= j < len(out) and out[j][1] == x[1]), x)
+            out[i] = (*x[:5], near[5], 0.0 if near is not x else x[6], *x[7:])
+    return out
+
+
 def passages(text: str, model: Profiles, masked: str | None = None) -> list[tuple[str, float, int, int, int]]:
     """``(language, confidence, first, end, size)`` of each passage; size is in words, in letters where unspaced.
 
     Sentences and clauses are classified one by one; one that disagrees with the longest of its script does so only by a
-    clear margin, and neighbours of one language are one passage.
+    clear margin, and neighbours of one language are one passage.  Passages too short to tell are left out after that.
     """
     if masked is None:
         masked = text if plain(text) else read_lines(text)[0]
@@ -237,8 +255,8 @@ def passages(text: str, model: Profiles, masked: str | None = None) -> list[tupl
             found += [(at, *u) for u in _units(masked[at : m.start()], model)]
             at = m.end()
     found += [(at, *u) for u in _units(masked[at:], model)]
-    if len(found) > 1:  # a borrowed term is no passage where anything else is said
-        found = [x for x in found if x[4] >= MIN_WORDS] or found[:1]
+    if len(found) > 1 and min(x[4] for x in found) < MIN_WORDS:
+        found = _join_short(found, model)
     if not found:
         return []
     out: list[list] = []
@@ -247,14 +265,24 @@ def passages(text: str, model: Profiles, masked: str | None = None) -> list[tupl
         return [(one, max(x[6] for x in found), found[0][0] + found[0][2], found[-1][0] + found[-1][3], sum(x[4] for x in found))]
     mixed = {g for g in ("latin", "cjk") if len({x[5] for x in found if x[1] == g}) > 1}
     main = {g: max((x for x in found if x[1] == g), key=lambda x: (x[8] * (x[6] + 0.05)))[5] for g in mixed}
-    for off, group, a, b, n, lang, conf, d, _ in found:
+    for off, group, a, b, n, lang, conf, d, *_ in found:
         if group in mixed and lang != main[group] and d[main[group]] - d[lang] < (MARGIN if n > CLAUSE_WORDS else 2 * MARGIN) * d[main[group]]:
             lang, conf = main[group], 0.0
-        if out and out[-1][0] == lang:
-            out[-1][1], out[-1][3], out[-1][4] = max(out[-1][1], conf), off + b, out[-1][4] + n
+        out.append([lang, conf, off + a, off + b, n])
+    joined = _neighbours(out)
+    if min(x[4] for x in joined) < MIN_WORDS:  # a borrowed term is no passage where anything else is said
+        joined = _neighbours([x for x in joined if x[4] >= MIN_WORDS] or joined[:1])
+    return [tuple(x) for x in joined]
+
+
+def _neighbours(units: list[list]) -> list[list]:
+    out: list[list] = []
+    for x in units:
+        if out and out[-1][0] == x[0]:
+            out[-1] = [x[0], max(out[-1][1], x[1]), out[-1][2], x[3], out[-1][4] + x[4]]
         else:
-            out.append([lang, conf, off + a, off + b, n])
-    return [tuple(x) for x in out]
+            out.append(x)
+    return out
 
 
 def train(labelled: list[tuple[str, str]]) -> Profiles:

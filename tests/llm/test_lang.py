@@ -44,3 +44,10 @@ def test_spark(spark):
     assert sorted(map(tuple, lang.p1_found(df, model()).collect())) == [(1, "de"), (2, "de"), (6, "en")]
     assert lang.fit_profiles(df).classify("die moderatorin", "latin")[0] == "de"
     assert lang.p1_found(df.limit(0)).collect() == []
+
+
+def test_short_sentences_are_joined_before_they_are_measured():
+    m = lang.train([(k, t) for k, ts in (("en", EN), ("de", [*DE, "Danke schön, bis morgen, alles gut."] * 2), ("zh", [*ZH, "“停！别动！”制片人喊道。"] * 2), ("ja", JA)) for t in ts])
+    assert [(x[0], x[4]) for x in lang.passages("“停！别动！”制片人喊道。", m)] == [("zh", 8)]
+    assert [(x[0], x[4]) for x in lang.passages("Danke schön. Bis morgen. Alles gut.", m)] == [("de", 6)]
+    assert [(x[0], x[4]) for x in lang.passages(f"{EN[0]} 停！ {EN[1]}", m)] == [("en", 16)]
