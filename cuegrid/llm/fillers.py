@@ -31,18 +31,15 @@ LEAD_INS = {"bueno", "enfin", "ну", "nun ja", "well", "also", "alors", "pues"}
 
 def is_speech(masked: str) -> bool:
     """Whether anything but fillers is said in a text whose trimmings are blanked (a yes or no is speech, empty text none)."""
-    words = _TOKEN_MARKS.findall(masked.lower())
-    if not words:
-        return any(ch.isalnum() for ch in masked)
-    if len(words) > 12:
-        return True
-    i = 0
-    while i < len(words):
-        w = words[i]
-        if w in WORDS:
-            i += 1
-        elif w == "you" and i + 1 < len(words) and words[i + 1] == "know":
-            i += 2
-        else:
+    you = said = False
+    for m in _TOKEN_MARKS.finditer(masked.lower()):
+        said, w = True, m[0]
+        if you:
+            if w != "know":
+                return True
+            you = False
+        elif w == "you":
+            you = True
+        elif w not in WORDS:
             return True
-    return False
+    return you or (not said and any(ch.isalnum() for ch in masked))

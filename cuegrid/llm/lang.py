@@ -64,19 +64,17 @@ def ngrams(word: str) -> list[str]:
     return [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1) if w[i : i + n] != "_"]
 
 
-_TRUE = np.array([True])
-_OWN = np.arange(200_000, dtype=np.float32)[:, None]
+#: Passages measured at once.
+_BLOCK = 4096
 
 
 class Profiles:
-    """Trained profiles; ``classify`` gives language, confidence and the distances' margin of a passage."""
+    """Trained profiles; ``classify`` gives language, confidence and the distances of a passage, ``measure`` those of many."""
 
     def __init__(self, ranked: dict[str, list[str]]):
         self.ranked = {k: v[:PROFILE] for k, v in ranked.items()}
         self.cache: dict = {}
         self.sentences: dict = {}
-        #: Leave out the distance where a script has one language only (its confidence is then 1).
-        self.only_choices = False
         self._build()
 
     def _build(self) -> None:
@@ -87,23 +85,22 @@ class Profiles:
             for k in langs:
                 for t in self.ranked.get(k, []):
                     ids.setdefault(t, len(ids))
-            r = np.full((len(ids) + 1, len(langs)), np.inf, np.float32)
+            r = np.full((len(langs), len(ids) + 1), 4 * PROFILE, np.int32)  # beyond any distance that counts
             for j, k in enumerate(langs):
                 for i, t in enumerate(self.ranked.get(k, [])):
-                    r[ids[t], j] = i
+                    r[j, ids[t]] = i
             self.ids[g], self.ranks[g] = ids, r
         self.words: dict[str, dict[str, np.ndarray]] = {g: {} for g in GROUPS}
 
     def __getstate__(self):
-        return self.ranked, self.only_choices
+        return self.ranked
 
     def __setstate__(self, state):
-        (self.ranked, self.only_choices), self.cache, self.sentences = state, {}, {}
+        self.ranked, self.cache, self.sentences = state, {}, {}
         self._build()
 
-    def distances(self, words: Iterable[str], group: str) -> np.ndarray:
-        """Out-of-place distance per n-gram of the passage to each of the group's languages."""
-        known, parts = self.words[group], []
+    def _grams(self, words: list[str], group: str) -> list[np.ndarray]:
+        known, out = self.words[group], []
         for w in words:
             g = known.get(w)
             if g is None:
@@ -111,43 +108,76 @@ class Profiles:
                     known.clear()
                 ids, last = self.ids[group], len(self.ids[group])
                 g = known[w] = np.array([ids.get(t, last) for t in ngrams(w)], np.int32)
-            parts.append(g)
-        if not parts:
-            return np.full(len(GROUPS[group]), PROFILE, np.float32)
-        every = np.concatenate(parts)
+            out.append(g)
+        return out
+
+    def distances(self, passages: list[list[str]], group: str) -> np.ndarray:
+        """Out-of-place distance per n-gram of each passage (a list of words) to each of the group's languages.
+
+        All passages are ranked at once: n-grams are sorted by passage and id, counted, and sorted again by count.
+        """
+        parts = [self._grams(ws, group) for ws in passages]
+        sizes = np.array([sum(map(len, p)) for p in parts], np.int64)
+        if not sizes.sum():
+            return np.full((len(passages), len(GROUPS[group])), PROFILE, np.float64)
+        width = len(self.ids[group]) + 1
+        every = np.repeat(np.arange(len(parts)) * width, sizes) + np.concatenate([g for p in parts for g in p])
         every.sort()
-        bounds = np.concatenate((_TRUE, every[1:] != every[:-1], _TRUE)).nonzero()[0]
-        first = bounds[:-1]
-        order = (first - bounds[1:]).argsort(kind="stable")  # most frequent first
-        r = self.ranks[group][every[first[order]]]
-        r -= _OWN[: len(first)]
-        np.abs(r, out=r)
-        np.minimum(r, PROFILE, out=r)  # a missing n-gram's rank is infinite
-        return np.add.reduce(r, 0) / len(first)
-
-    def classify(self, passage: str, group: str) -> tuple[str, float, dict[str, float]]:
-        if self.only_choices and len(GROUPS[group]) == 1:
-            return GROUPS[group][0], 1.0, {}
-        key = (group, passage)
-        hit = self.cache.get(key)
+        new = np.empty(len(every), bool)
+        new[0] = True
+        np.not_equal(every[1:], every[:-1], out=new[1:])
+        at = new.nonzero()[0]
+        count = np.diff(at, append=len(every))
+        owner, gram = np.divmod(every[at], width)
+        order = np.argsort(owner * (1 << 20) - np.minimum(count, (1 << 20) - 1), kind="stable")  # most frequent first, then by id
+        starts = np.searchsorted(owner, np.arange(len(parts)))
+        n = np.diff(starts, append=len(owner))
+        own = np.arange(len(owner)) - np.repeat(starts, n)
+        gram = gram[order]
+        out = np.empty((len(parts), len(GROUPS[group])))
+        some = n > 0
+        for j, ranks in enumerate(self.ranks[group]):
+            d = np.abs(ranks[gram] - own)
+            np.minimum(d, PROFILE, out=d)  # a missing n-gram counts as the profile's length
+            out[:, j] = PROFILE
+            out[some, j] = np.add.reduceat(d, starts[some]) / n[some]
+        return out
+
+    def measure(self, wanted: Iterable[tuple[str, str]]) -> None:
+        """Classify ``(group, passage)`` keys in blocks and keep the results."""
+        by: dict[str, list[str]] = {}
+        for g, p in dict.fromkeys(wanted):
+            if (g, p) not in self.cache:
+                by.setdefault(g, []).append(p)
+        if len(self.cache) > 200_000:
+            self.cache.clear()
+        for g, ps in by.items():
+            langs = GROUPS[g]
+            for i in range(0, len(ps), _BLOCK):
+                block = ps[i : i + _BLOCK]
+                d = self.distances([_as_words(p, g) for p in block], g)
+                best = d.argmin(1)
+                near = d.min(1)
+                rest = np.partition(d, 1, 1)[:, 1] if len(langs) > 1 else np.full(len(d), 2.0 * PROFILE)
+                conf = np.clip((rest - near) / np.maximum(rest, 1e-6), 0, 1)
+                self.cache.update(zip(((g, p) for p in block), zip((langs[j] for j in best), conf.tolist(), d.tolist())))
+
+    def classify(self, passage: str, group: str) -> tuple[str, float, list[float]]:
+        """Language, confidence, and the distances in the order of the script's languages."""
+        hit = self.cache.get((group, passage))
         if hit is None:
-            if group in ("cjk", "thai"):
-                letters = "".join(passage.split())
-                words = [letters[i : i + 12] for i in range(0, len(letters), 12)]
-            else:
-                words = passage.split()
-            d = self.distances(words, group).tolist()
-            langs = GROUPS[group]
-            near = min(d)
-            rest = min((x for i, x in enumerate(d) if i != d.index(near)), default=2.0 * PROFILE)
-            conf = min(1.0, max(0.0, (rest - near) / max(rest, 1e-6)))
-            hit = (langs[d.index(near)], conf, dict(zip(langs, d)))
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            self.cache[key] = hit
+            self.measure([(group, passage)])
+            hit = self.cache[group, passage]
         return hit
 
 
+def _as_words(passage: str, group: str) -> list[str]:
+    if group in ("cjk", "thai"):
+        letters = "".join(passage.split())
+        return [letters[i : i + 12] for i in range(0, len(letters), 12)]
+    return passage.split()
+
+
 _WORD = re.compile(r"[^\W\d_][\w'’\u0900-\u0963\u0e31-\u0e4e\u064b-\u065f]*")
 #: Sentence ends (followed by a capital or an unspaced script) and clause commas.
 _UNIT = re.compile(r"(?P<s>[.!?…]+[\"”»’')\]]*\s*(?=[¿¡“«„\"'(\[-]*[A-ZÀ-ÖØ-ÞА-ЯЁ])|[.!?…]*[。！？।؟!?]+|(?<=[\u0e00-\u0e7f])\s+)|[,，、،;；]")
@@ -197,26 +227,20 @@ _CLAUSE_MARKS = frozenset(",;.!?0123456789_-")
 _WORD_ASCII = re.compile(r"[a-z][a-z']*")
 
 
-def _ascii_unit(piece: str, model: Profiles) -> list[tuple]:
+def _ascii_unit(piece: str) -> list[tuple]:
     """The unit of a plain sentence without clause marks: what ``runs`` makes of it, without the work."""
     words = [w for w in _WORD_ASCII.findall(piece) if w not in FILLERS]
-    if not words:
-        return []
-    joined = " ".join(words)
-    return [("latin", 0, len(piece), len(words), *model.classify(joined, "latin"), len(joined), joined if len(words) < MIN_WORDS else "")]
+    return [("latin", 0, len(piece), " ".join(words), len(words))] if words else []
 
 
 def _units(piece: str, model: Profiles) -> list[tuple]:
-    """Classified units of one sentence, with offsets from its first character; recognisers repeat themselves, so they are kept."""
+    """Units of one sentence, with offsets from its first character; recognisers repeat themselves, so they are kept."""
     piece = piece.lower().rstrip(" .!?…\n")
     hit = model.sentences.get(piece)
     if hit is None:
         if len(model.sentences) > 250_000:
             model.sentences.clear()
-        if piece.isascii() and _CLAUSE_MARKS.isdisjoint(piece):
-            hit = model.sentences[piece] = _ascii_unit(piece, model)
-            return hit
-        hit = model.sentences[piece] = [(g, a, b, n, *model.classify(words, g), len(words), words if n < MIN_WORDS else "") for g, a, b, words, n in runs(piece)]
+        hit = model.sentences[piece] = _ascii_unit(piece) if piece.isascii() and _CLAUSE_MARKS.isdisjoint(piece) else [*runs(piece)]
     return hit
 
 
@@ -238,12 +262,8 @@ def _join_short(found: list[tuple], model: Profiles) -> list[tuple]:
     return out
 
 
-def passages(text: str, model: Profiles, masked: str | None = None) -> list[tuple[str, float, int, int, int]]:
-    """``(language, confidence, first, end, size)`` of each passage; size is in words, in letters where unspaced.
-
-    Sentences and clauses are classified one by one; one that disagrees with the longest of its script does so only by a
-    clear margin, and neighbours of one language are one passage.  Passages too short to tell are left out after that.
-    """
+def units(text: str, model: Profiles, masked: str | None = None) -> list[tuple]:
+    """``(offset, group, first, end, words, size)`` of the sentences and clauses of a cue, not yet classified."""
     if masked is None:
         masked = text if plain(text) else read_lines(text)[0]
     if "@" in masked or "＠" in masked or "(" in masked or "[" in masked or "arroba" in masked or "/" in masked:
@@ -254,7 +274,18 @@ def passages(text: str, model: Profiles, masked: str | None = None) -> list[tupl
         if m.start() > at:
             found += [(at, *u) for u in _units(masked[at : m.start()], model)]
             at = m.end()
-    found += [(at, *u) for u in _units(masked[at:], model)]
+    return found + [(at, *u) for u in _units(masked[at:], model)]
+
+
+def passages(text: str, model: Profiles, masked: str | None = None, found: list[tuple] | None = None) -> list[tuple[str, float, int, int, int]]:
+    """``(language, confidence, first, end, size)`` of each passage; size is in words, in letters where unspaced.
+
+    Sentences and clauses are classified one by one; one that disagrees with the longest of its script does so only by a
+    clear margin, and neighbours of one language are one passage.  Passages too short to tell are left out after that.
+    ``found``: the text's ``units``, where they are at hand.
+    """
+    found = units(text, model, masked) if found is None else found
+    found = [(off, g, a, b, n, *model.classify(w, g), len(w), w if n < MIN_WORDS else "") for off, g, a, b, w, n in found]
     if len(found) > 1 and min(x[4] for x in found) < MIN_WORDS:
         found = _join_short(found, model)
     if not found:
@@ -265,8 +296,9 @@ def passages(text: str, model: Profiles, masked: str | None = None) -> list[tupl
         return [(one, max(x[6] for x in found), found[0][0] + found[0][2], found[-1][0] + found[-1][3], sum(x[4] for x in found))]
     mixed = {g for g in ("latin", "cjk") if len({x[5] for x in found if x[1] == g}) > 1}
     main = {g: max((x for x in found if x[1] == g), key=lambda x: (x[8] * (x[6] + 0.05)))[5] for g in mixed}
+    at = {g: GROUPS[g].index(k) for g, k in main.items()}
     for off, group, a, b, n, lang, conf, d, *_ in found:
-        if group in mixed and lang != main[group] and d[main[group]] - d[lang] < (MARGIN if n > CLAUSE_WORDS else 2 * MARGIN) * d[main[group]]:
+        if group in mixed and lang != main[group] and d[at[group]] - min(d) < (MARGIN if n > CLAUSE_WORDS else 2 * MARGIN) * d[at[group]]:
             lang, conf = main[group], 0.0
         out.append([lang, conf, off + a, off + b, n])
     joined = _neighbours(out)
@@ -307,11 +339,11 @@ def train(labelled: list[tuple[str, str]]) -> Profiles:
 
     pieces = [(lang, g, w) for lang, text in labelled for g, _, _, w, _ in runs(_MAIL.sub(" ", read_lines(text)[0]))]
     first = build(pieces)
+    first.measure((g, w) for _, g, w in pieces if len(w) >= 12)
     again = []
     for lang, g, w in pieces:
         if len(w) >= 12:
-            best, conf, _ = first.classify(w, g)
-            again.append((best, g, w))
+            again.append((first.classify(w, g)[0], g, w))
     return build(again)
 
 
@@ -320,20 +352,18 @@ def fit_profiles(cues: DataFrame, per_language: int = PER_LANGUAGE) -> Profiles:
 
     Languages without a labelled cue get an empty profile, at full distance from everything.
     """
-    label = F.lower(F.trim("lang"))
-    named = cues.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 12").withColumn("_l", label)
-    share = {}
-    for r in cues.where("lang IS NOT NULL").groupBy(label.alias("l")).count().collect():  # labels are few: code spellings
-        if k := named_language(r.l):
-            share[k] = share.get(k, 0) + r["count"]
+    head = F.element_at(F.split(F.lower(F.trim("lang")), r"[-_ (]"), 1)
+    named = cues.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 12").withColumn("_l", head).where(F.col("_l").isin(*NAMES))
+    share: dict[str, int] = {}
+    for r in named.groupBy("_l").count().collect():  # known spellings only: at most one row each
+        share[NAMES[r["_l"]]] = share.get(NAMES[r["_l"]], 0) + r["count"]
     if not share:
         return Profiles({})
     spelled = {c: k for k in share for c in NAMES if NAMES[c] == k}
-    head = F.element_at(F.split("_l", r"[-_ (]"), 1)
     frac = F.create_map(*[x for c, k in spelled.items() for x in (F.lit(c), F.lit(min(1.0, per_language / share[k])))])
-    picked = named.withColumn("_f", F.coalesce(frac[head], F.lit(0.0))).where(F.pmod(F.xxhash64("cue_id", F.lit(17)), F.lit(1_000_003)) < F.col("_f") * 1_000_003)
-    rows = picked.select(head.alias("l"), "text").collect()
-    return train(sorted((NAMES[r.l], r.text) for r in rows))
+    picked = named.withColumn("_f", F.coalesce(frac[F.col("_l")], F.lit(0.0))).where(F.pmod(F.xxhash64("cue_id", F.lit(17)), F.lit(1_000_003)) < F.col("_f") * 1_000_003)
+    rows = picked.select("_l", "text").collect()
+    return train(sorted((NAMES[r["_l"]], r.text) for r in rows))
 
 
 _OUT = pa.schema([("cue_id", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("begin_at", pa.int32()), ("end_at", pa.int32()), ("size", pa.int32()), ("named", pa.bool_())])
@@ -345,11 +375,14 @@ def _tagger(model: Profiles, unnamed_only: bool = False):
         labels: dict = {}
         for b in batches:
             rows: list[tuple] = []
-            for cue, text, label in zip(*(b.column(n).to_pylist() for n in ("cue_id", "text", "lang"))):
+            texts = b.column("text").to_pylist()
+            found = [units(t, model) for t in texts]
+            model.measure((u[1], u[4]) for us in found for u in us)
+            for cue, text, label, us in zip(b.column("cue_id").to_pylist(), texts, b.column("lang").to_pylist(), found):
                 if label not in labels:
                     labels[label] = named_language(label)
                 own = labels[label]
-                rows.extend((cue, lang, conf, a, z, n, lang == own) for lang, conf, a, z, n in passages(text, model) if not (unnamed_only and lang == own))
+                rows.extend((cue, lang, conf, a, z, n, lang == own) for lang, conf, a, z, n in passages(text, model, found=us) if not (unnamed_only and lang == own))
             cols = list(zip(*rows)) or [[]] * len(_OUT)
             yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(cols, _OUT)], schema=_OUT)
 
@@ -359,16 +392,15 @@ def _tagger(model: Profiles, unnamed_only: bool = False):
 def languages(cues: DataFrame, model: Profiles | None = None, unnamed_only: bool = False) -> DataFrame:
     """One row per passage with its language, confidence, offsets and whether ``cues.lang`` names the language.
 
-    Null, blank and wordless texts have no rows; redelivered cues repeat theirs.
+    Null, blank and wordless texts have no rows; redelivered cues count once.
     """
     model = model or fit_profiles(cues)
-    return cues.where("text IS NOT NULL AND cue_id IS NOT NULL").select("cue_id", "text", "lang").mapInArrow(_tagger(model, unnamed_only), OUT_DDL)
+    every = cues.where("text IS NOT NULL AND cue_id IS NOT NULL").select("cue_id", "text", "lang").mapInArrow(_tagger(model, unnamed_only), OUT_DDL)
+    return every if unnamed_only else every.distinct()
 
 
 def p1_found(cues: DataFrame, model: Profiles | None = None) -> DataFrame:
     """Languages of passages long enough that the cue's label does not name."""
     unspaced = F.col("lang").isin(*sorted(UNSPACED))
     enough = F.when(unspaced, F.col("size") >= MIN_LETTERS).otherwise(F.col("size") >= MIN_WORDS)
-    model = model or fit_profiles(cues)
-    model.only_choices = True  # confidences are not asked for here
     return languages(cues, model, unnamed_only=True).where(~F.col("named") & enough).select("cue_id", "lang").distinct()

@@ -1,11 +1,13 @@
 """Problem 3: sentence boundaries across languages and scripts.
 
-Candidate boundaries are terminators (and, in Thai, blanks).  A maximum-entropy (logistic) model classifies each from the
-tokens around it: case, length, digits, script, how often the token before ends a cue where it carries a period, and how
-often the token behind opens one.  It is trained on reliable boundaries of the data: the end of one cue followed by the
-start of another, against periods followed by lower case, digits or commas.  How often tokens end, open and occur is counted
-over all cues; the examples the weights are fitted to are bounded (``SAMPLE`` cues in expectation, chosen by hash).  The
-model is applied to all cues.
+Candidate boundaries are all terminators, with the quotation marks that close behind them, and, beside Thai letters,
+blanks.  A maximum-entropy (logistic) model classifies every one from what stands around it: the mark, the tokens before
+and behind, case, length, digits, script, the state of quotations, how often the token before ends a cue where it carries
+a period, and how often the token behind opens one.  It is trained on reliable boundaries of the data: the end of one cue
+before the start of another, against marks followed by lower case, digits, commas or closing brackets, marks inside an open
+quotation, and tokens that occur often and never open a cue.  How often tokens end, open and occur is counted over all
+cues; the examples the weights are fitted to are bounded (``SAMPLE`` cues in expectation, chosen by hash).  The model is
+applied to all cues.
 """
 
 from __future__ import annotations
@@ -56,7 +58,13 @@ def _next_token(text: str) -> tuple[str, str]:
     return (w[:2] if _UNSPACED.search(w[0]) else w), raw[0]
 
 
-_N = 34
+#: Kinds of marks: a period, dots, ! or ?, full stops of unspaced scripts, danda and Arabic question mark, blanks by Thai.
+PERIOD, DOTS, STRONG, WIDE, OTHER, BLANK = range(6)
+#: States of quotations at a candidate: none, inside an open one, one closes that opened at or after the sentence's start, all closed.
+NONE, INSIDE, CLOSES_FIRST, CLOSES_LATER, CLOSED = range(5)
+#: What follows: nothing special, a comma or closing mark, a dash behind a quotation, an opening quotation.
+PLAIN, COMMA, DASH, OPENS = range(4)
+_N = 69
 
 
 class BoundaryModel:
@@ -73,33 +81,59 @@ class BoundaryModel:
     def __setstate__(self, s):
         self.__init__(*s)
 
-    def features(self, prev: str, dots: bool, thai: bool, gap: bool, nxt: str, first: str, nocase: bool) -> np.ndarray:
+    def features(self, prev: str, kind: int, gap: bool, nxt: str, case: str, nocase: bool, quotes: int, follow: int, initials: bool, seen: int = 0) -> np.ndarray:
+        """``seen``: how often the example itself is among the statistics of its tokens."""
         x = np.zeros(_N)
         x[0] = 1
-        x[1], x[2], x[3], x[4] = dots, thai, not gap, nocase
-        case = 5 if first.isdigit() else 6 if first.isupper() else 7 if first.islower() else 8
-        x[case] = 1
-        x[9] = nocase and case == 7
-        n = self.dotted.get(prev, 0)
-        f = self.finals.get(prev, 0) / n if n else 0
-        b = 10 if n < 2 else 11 if f < 0.04 else 12 if f < 0.25 else 13 if f < 0.7 else 14
-        x[b] = 1
-        n = self.total.get(nxt, 0)
-        s = self.starts.get(nxt, 0) / n if n else 0
-        b2 = 15 if n < 2 else 16 if s == 0 else 17 if s < 0.02 else 18 if s < 0.2 else 19
-        x[b2] = 1
-        x[20], x[21], x[22] = len(prev) <= 1, 2 <= len(prev) <= 3, "." in prev
-        x[23] = "0" in prev
-        x[24] = nxt in WORDS
-        x[25] = b == 11 and case == 6
-        x[26] = b == 11 or (len(prev) <= 2 and b in (10, 12) and not _UNSPACED.search(prev or " "))
-        x[27] = case == 8 and b2 in (18, 19)
-        x[28] = case == 7 and b2 in (18, 19)
-        x[29] = case == 6 and b2 in (18, 19)
-        x[30] = "0" in prev and b2 in (15, 16)
-        x[31] = dots and case == 7
-        x[32] = thai and b in (13, 14)
-        x[33] = thai and b2 in (18, 19)
+        x[1 + kind] = 1
+        c = "0Aa".find(case) if case else 3  # digit, capital, lower case, letter without case
+        c = 3 if c < 0 else c
+        if quotes == CLOSES_FIRST:  # only case tells whether more follows than the speaker's name; letters without case do as small ones
+            x[53], x[54], x[55], x[56], x[57] = 1, c == 1, follow == OPENS, follow == COMMA, follow == DASH
+            return x
+        weak = kind in (PERIOD, DOTS, BLANK)
+        x[7 + c] = 1
+        x[11], x[12] = not gap, nocase
+        x[13] = nocase and c == 2
+        n, f = max(0, self.dotted.get(prev, 0) - seen), max(0, self.finals.get(prev, 0) - seen)
+        share = f / n if n else 0
+        b = 0 if n < 2 else 1 if share < 0.04 else 2 if share < 0.25 else 3 if share < 0.7 else 4
+        n, s = max(0, self.total.get(nxt, 0) - seen), max(0, self.starts.get(nxt, 0) - seen)
+        share = s / n if n else 0
+        b2 = 0 if n < 2 else 1 if s == 0 else 2 if share < 0.02 else 3 if share < 0.2 else 4
+        opener = b2 >= 3
+        if weak:
+            x[14 + b] = 1
+            x[19 + b2] = 1
+            x[24], x[25], x[26] = len(prev) <= 1, 2 <= len(prev) <= 3, "." in prev
+            x[27] = "0" in prev
+            x[28] = b == 1 and c == 1
+            x[29] = b == 1 or (len(prev) <= 2 and b in (0, 2) and not _UNSPACED.search(prev or " "))
+            x[30] = c == 3 and opener
+            x[31] = c == 2 and opener
+            x[32] = c == 1 and opener
+            x[33] = "0" in prev and b2 < 2
+            x[34] = kind == DOTS and c == 2
+            x[35] = kind == BLANK and b in (3, 4)
+            x[36] = kind == BLANK and opener
+            if not gap:  # such dots stand inside numbers, addresses and initials
+                x[37], x[38], x[39], x[40] = c == 0, c == 2, len(prev) < 2 or "." in prev, initials
+        else:
+            x[41 + b2] = 1
+            x[46] = c == 2 and kind == STRONG and gap
+            x[47] = x[46] and (s >= 3 or nocase)
+            x[48] = x[46] and nxt in WORDS
+        x[49] = nxt in WORDS
+        x[50], x[51] = follow == COMMA, follow == DASH
+        x[52] = quotes == INSIDE
+        if quotes == CLOSES_LATER:
+            x[59] = 1
+            x[60 + c] = 1
+            x[64] = follow == OPENS
+        x[65] = quotes == CLOSED
+        x[66] = quotes == CLOSES_LATER and b2 == 1 and c == 3
+        x[67] = quotes == CLOSES_LATER and opener and c == 3
+        x[68] = follow == OPENS
         return x
 
     def decide(self, *key) -> bool:
@@ -135,29 +169,33 @@ def _tail(body: str) -> tuple[str, str, bool, bool]:
     return last, bare, thai, thai or bare != last
 
 
-def _tally(body: str, finals: Counter, dotted: Counter, starts: Counter, total: Counter) -> None:
-    """Count a cue's tokens: at its end, before a period, at its start, anywhere."""
-    starts[_next_token(body)[0]] += 1
-    toks = set(_TOKEN.findall(body.lower()))
-    if _DIGIT.search(body):
-        toks = [_DIGIT.sub("0", tok) for tok in toks]
-    if body.isascii() or not _UNSPACED.search(body):
-        total.update(toks)
-    else:
-        for tok in toks:
-            if _UNSPACED.search(tok[0]):
-                total.update(map("".join, zip(tok, tok[1:])))
-            else:
-                total[tok] += 1
-    last, bare, _, ended = _tail(body)
-    if ended:
-        tail = _prev_token(bare)
-        finals[tail] += 1
-        dotted[tail] += 1
-    if "." in bare or "…" in bare:
-        for m in _CAND.finditer(body):
-            if m.end() < len(last) and m["t"] and set(m["t"]) & set(".…"):
-                dotted[_prev_token(body[: m.start()])] += 1
+_UNSPACED_RUN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]{2,}")
+_OPENER = re.compile(rf"^{_NEXT.pattern}", re.M)
+
+
+def _tally(bodies: list[str], finals: Counter, dotted: Counter, starts: Counter, total: Counter) -> None:
+    """Count the tokens of many cues: at their ends, before a period, at their starts, anywhere.
+
+    What needs no look at a single cue is done on all of them as one string.
+    """
+    lines = [b.replace("\n", " ") for b in bodies]
+    low = "\n".join(lines).lower()
+    low = _DIGIT.sub("0", low)
+    dense = _UNSPACED_RUN.findall(low)
+    total.update(t for t in _TOKEN.findall(low) if t.isascii() or not _UNSPACED.match(t))
+    for run in dense:
+        total.update(map("".join, zip(run, run[1:])))
+    starts.update(t[:2] if not t.isascii() and _UNSPACED.match(t) else t for t in _OPENER.findall(low))
+    for body in lines:
+        last, bare, _, ended = _tail(body)
+        if ended:
+            tail = _prev_token(bare)
+            finals[tail] += 1
+            dotted[tail] += 1
+        if "." in bare or "…" in bare:
+            for m in _CAND.finditer(body):
+                if m.end() < len(last) and m["t"] and set(m["t"]) & set(".…"):
+                    dotted[_prev_token(body[: m.start()])] += 1
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +209,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _TERMS)], schema=_TERMS)
 
     for b in batches:
-        for text in b.column("text").to_pylist():
-            for body in _bodies(text):
-                _tally(body, *counts)
+        _tally([body for text in b.column("text").to_pylist() for body in _bodies(text)], *counts)
         if len(counts[3]) > 300_000:
             yield flush()
     yield flush()
@@ -194,55 +230,73 @@ def corpus_counts(cues: DataFrame) -> list[dict]:
     return [{k: n for k, n in zip(terms, t[c].to_pylist()) if n} for c in _TERMS.names[1:]]
 
 
-def train(texts: list[str], rounds: int = 250, counts: list[dict] | None = None) -> BoundaryModel:
+#: A token seen so often that never opens a cue opens no sentence.
+NEVER_OPENS = 8
+
+
+def train(texts: list[str], rounds: int = 600, counts: list[dict] | None = None) -> BoundaryModel:
     """Fit on raw cue texts; without usable texts all candidates before a capital or an unspaced script are taken.
 
     ``counts``: those of the corpus that the texts were drawn from, else the texts' own.
     """
     bodies = [body for t in texts for body in _bodies(t)]
     own = [Counter() for _ in range(4)]
-    ends: list[tuple[str, str]] = []
-    opens: list[tuple[str, str]] = []
-    inner: list[tuple] = []
+    _tally(bodies, *own)
+    model = BoundaryModel(*counts) if counts is not None else BoundaryModel(*map(dict, own))
+    x, y = [], []
+    opens = [b for b in bodies if _next_token(b)[0]]
+    tails: list[tuple[str, str, bool, re.Match]] = []  # cues of one sentence: their end is a boundary whatever comes
     for body in bodies:
-        _tally(body, *own)
-        nocase = not any(ch.isupper() for ch in body)
-        opens.append(_next_token(body))
         last, bare, thai, ended = _tail(body)
-        if ended:
-            ends.append((_prev_token(bare), "th" if thai else "d" if last.endswith(("...", "…")) else "."))
-        for m in _CAND.finditer(body):
-            if m.end() >= len(last) or (m["t"] and not set(m["t"]) & set(".…")):
+        inner = [m for m in _CAND.finditer(body) if m.end() < len(last)]
+        if ended and not inner:
+            tails.append((body, last, thai, next((m for m in _CAND.finditer(body, max(0, len(bare) - 1)) if m["t"]), None)))
+        for m in inner:
+            end = _end(body, 0, m)
+            at = _first(body, end, len(body))
+            key = _key(body, 0, m, end, at, len(body), None) if at < len(body) else None
+            if key is None:
                 continue
-            prev, (w, raw) = _prev_token(body[: m.start()]), _next_token(body[m.end() :])
-            gap = m["t"] is None or m.end() < len(body) and body[m.end()].isspace()
-            inner.append((prev, bool(m["t"]) and m["t"] != ".", m["t"] is None, gap, w, raw, nocase))
-    x, y = [], []
-    model = BoundaryModel(*counts) if counts is not None else BoundaryModel(*map(dict, own))
-    for i, (tail, kind) in enumerate(ends):
-        w, raw = opens[(i * 7919 + 13) % len(opens)]
-        if tail and w:
-            x.append(model.features(tail, kind == "d", kind == "th", i % 9 != 0, w, raw, raw.islower() and i % 3 == 0))
-            y.append(1)
-    for j, (prev, dots, thai, gap, w, raw, nocase) in enumerate(inner):
-        if thai or nocase or not raw:
-            continue
-        if (raw.islower() and w not in WORDS) or (raw.isdigit() and model.dotted.get(prev, 1) > model.finals.get(prev, 0)) or (not gap and not raw.isupper()):
-            x.append(model.features(prev, dots, thai, gap, w, raw, nocase))
-            y.append(0)
-            if prev and not dots and model.finals.get(prev, 0) < 0.04 * model.dotted.get(prev, 1):  # such a token ends nothing, whatever follows
-                w, raw = opens[(j * 104729 + 5) % len(opens)]
-                x.append(model.features(prev, dots, thai, gap, w, raw, nocase))
+            prev, kind, gap, w, case, nocase, quotes, follow, initials = key
+            goes_on = case == "a" and w not in WORDS and not nocase
+            number = kind in (PERIOD, DOTS) and case == "0" and model.dotted.get(prev, 1) > model.finals.get(prev, 0)
+            stuck = kind in (PERIOD, DOTS) and not gap and (case in "0a" or not _UNSPACED.match(w))
+            quoted = quotes in (CLOSES_FIRST, CLOSES_LATER)
+            never = case == "字" and (quoted or kind == BLANK) and not model.starts.get(w) and model.total.get(w, 0) >= NEVER_OPENS
+            if follow in (COMMA, DASH) or quotes == INSIDE or never or kind != BLANK and (number or stuck or goes_on and (quoted or kind in (PERIOD, DOTS) or model.starts.get(w, 0) < 3)):
+                x.append(model.features(*key))
                 y.append(0)
-    seen = sorted(own[3])
-    for j, (tail, kind) in enumerate(ends[:4000]):  # within a sentence: a token that ends nothing before one that starts nothing
-        if kind == "th" and tail:
-            w = seen[(j * 31) % len(seen)]
-            if not model.starts.get(w) and not own[2].get(w) and _UNSPACED.search(w):
-                x.append(model.features(w, False, True, True, w, w[0], True))
+            elif quotes == CLOSES_FIRST and case == "A" and 5 * model.starts.get(w, 0) >= model.total.get(w, 1):
+                x.append(model.features(*key))
+                y.append(1)
+            if kind == PERIOD and prev and model.finals.get(prev, 0) < 0.04 * model.dotted.get(prev, 1) and opens:  # such a token ends nothing, whatever follows
+                w, raw = _next_token(opens[(len(x) * 104729 + 5) % len(opens)])
+                x.append(model.features(prev, kind, gap, w, _case(raw), nocase, NONE, PLAIN, False, 1))
                 y.append(0)
+    for i, (body, last, thai, m) in enumerate(tails):
+        after = opens[(i * 7919 + 13) % len(opens)] if opens else ""
+        if not after:
+            continue
+        if m is None and thai:  # a Thai sentence ends before a blank
+            w, raw = _next_token(after)
+            x.append(model.features(_prev_token(last), BLANK, True, w, _case(raw), True, NONE, PLAIN, False, 1))
+            y.append(1)
+        elif m is not None:
+            both = body.rstrip() + ("" if m["t"][-1] in "。！？｡．" or i % 9 == 0 else " ") + after
+            c = _CAND.match(both, m.start())
+            key = _key(both, 0, c, c.end(), _first(both, c.end(), len(both)), len(both), None) if c is not None and c.end() < len(both) else None
+            if key is not None and key[6] != CLOSES_FIRST:  # behind a quotation alone its speaker may be named
+                nocase = key[4] == "a" and (key[5] or i % 3 == 0)
+                x.append(model.features(*key[:5], nocase, *key[6:], 1))
+                y.append(1)
+    thai_ends = [_prev_token(last) for _, last, thai, m in tails if thai]
+    seen = sorted(t for t in own[3] if _THAI.match(t) and not model.starts.get(t) and model.total.get(t, 0) >= NEVER_OPENS)
+    for j in range(len(thai_ends) if seen else 0):  # within a sentence: any letters before such as start nothing
+        w = seen[(j * 31) % len(seen)]
+        x.append(model.features(seen[(j * 17 + 7) % len(seen)], BLANK, True, w, "字", True, NONE, PLAIN, False))
+        y.append(0)
     if len(set(y)) < 2:
-        model.weights[6] = model.weights[8] = 1
+        model.weights[8] = model.weights[10] = 1
         return model
     xs, ys = np.array(x), np.array(y, float)
     share = ys.mean()
@@ -274,85 +328,101 @@ def _first(masked: str, a: int, b: int) -> int:
     return a
 
 
+_SAYS = re.compile(r"[^\W_]")
+
+
 def cuts(text: str, model: BoundaryModel) -> list[tuple[int, int]]:
     """``(first, end)`` of each sentence of a cue, in code points of the original text."""
     masked, lines, _ = read_lines(text)
     if "@" in masked or "＠" in masked or "[" in masked or "(" in masked:
         masked = _MAIL.sub(lambda m: "x" * len(m[0]), masked)
     out: list[tuple[int, int]] = []
-    for i, (key, a, b) in enumerate(lines):
-        body = masked[a:b]
-        if not any(ch.isalnum() for ch in body):
+    for _key_, a, b in lines:
+        if _SAYS.search(masked, a, b) is None:
             continue
         start = _first(masked, a, b)
-        stop = a + len(body.rstrip())
-        nocase = None
+        stop = a + len(masked[a:b].rstrip())
         for m in _CAND.finditer(masked, a, b):
             if m.end() >= stop:
                 break
-            at = _first(masked, m.end(), b)
+            end = _end(masked, start, m)
+            at = _first(masked, end, b)
             if at >= stop or _filler_only(masked[start : m.start()]):
                 continue
-            if not _boundary(masked, start, m, at, stop, model, nocase):
+            key = _key(masked, start, m, end, at, stop, None)
+            if key is None or not model.decide(*key):
                 continue
-            if not any(ch.isalnum() for ch in masked[at:stop]):
+            if _SAYS.search(masked, at, stop) is None:
                 break
-            out.append((start, m.end() if m["t"] else m.start()))
+            out.append((start, end if m["t"] else m.start()))
             start = at
-        if out and _filler_only(masked[start:stop]) and out[-1][0] >= a:
+        if out and out[-1][0] >= a and _filler_only(masked[start:stop]):
             out[-1] = (out[-1][0], stop)
         else:
             out.append((start, stop))
     return out
 
 
-def _boundary(masked: str, start: int, m: re.Match, at: int, stop: int, model: BoundaryModel, nocase) -> bool:
-    nxt = masked[at]
-    term, quote = m["t"], m["q"]
-    if nxt in ",，、;；:：)）]」』”»" or (nxt in "—–" and quote):
-        return False
-    if _QUOTES.search(masked, start, m.end()):
-        depth: list[str] = []
-        opened = start
-        for q in _QUOTES.finditer(masked, start, m.end()):
-            c = q[0]
-            if c == '"':
-                if depth and depth[-1] == '"':
-                    depth.pop()
-                else:
-                    depth.append(c)
-                    opened = q.start()
-            elif c in "«„‹「『" or (c == "“" and not (depth and depth[-1] == "„")):
-                depth.append(c)
-                opened = q.start()
-            elif depth:
-                depth.pop()
-        if depth:
-            return False
-        if quote and quote.strip(")] "):
-            w = masked[at + (nxt in "¿¡“«„\"'「『‹")] if at + 1 < stop else nxt
-            if w.isupper() or nxt in _OPEN:
-                return True
-            if w.islower():
-                return False
-            return opened > start and masked[start:opened].strip("​ ") != ""
-    if term and not set(term) & set(".…．"):
-        # A strong mark: only what visibly goes on in lower case, after a mark inside the sentence, is no boundary.
-        if term[-1] in "!?" and nxt.islower() and at > m.end():
-            w, raw = _next_token(masked[at:])
-            return w in WORDS or not any(ch.isupper() for ch in masked[start:stop]) or model.starts.get(w, 0) >= 3
-        return True
-    prev = _prev_token(masked[start : m.start()])
+_ANY_UPPER = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯЁ]")
+
+
+def _case(raw: str) -> str:
+    """The class of a token's first letter: digit, capital, lower case, or a letter without case."""
+    return "0" if raw.isdigit() else "A" if raw.isupper() else "a" if raw.islower() else "字"
+
+
+def _end(masked: str, start: int, m: re.Match) -> int:
+    """Where a candidate's mark ends; a raised “ closes only what „ opened, else it belongs to what follows."""
+    if m["q"] and "“" in m["q"] and masked.rfind("„", start, m.start()) <= masked.rfind("“", start, m.start()):
+        return m.start("q") + m["q"].index("“")
+    return m.end()
+
+
+def _quote_state(masked: str, start: int, end: int, closing: bool) -> int:
+    depth: list[str] = []
+    opened = start
+    some = False
+    for q in _QUOTES.finditer(masked, start, end):
+        some = True
+        c = q[0]
+        if c == '"' and depth and depth[-1] == '"':
+            depth.pop()
+        elif c == '"' or c in _OPEN and not (c == "“" and depth and depth[-1] == "„"):
+            depth.append(c)
+            opened = q.start()
+        elif depth:
+            depth.pop()
+    if depth:
+        return INSIDE
+    if not some:
+        return NONE
+    if not closing:
+        return CLOSED
+    return CLOSES_LATER if masked[start:opened].strip("\u200b ") else CLOSES_FIRST
+
+
+def _key(masked: str, start: int, m: re.Match, end: int, at: int, stop: int, nocase: bool | None) -> tuple | None:
+    """What the features of a candidate are made of, or None where no word follows."""
+    term, nxt = m["t"], masked[at]
+    quote = masked[m.end("t") : end] if term else ""
+    closing = bool(quote) and quote.strip(")] ") != ""
+    quotes = _quote_state(masked, start, end, closing)
+    follow = COMMA if nxt in ",，、;；:：)）]」』”»" else DASH if quote and nxt in "—–" else OPENS if nxt in _OPEN else PLAIN
     w, raw = _next_token(masked[at : at + 40])
     if not raw:
-        return False
-    gap = at > m.end() or not term
-    if not gap:
-        if raw.isdigit() or raw.islower() or ("." in prev) or (len(prev) < 2) or (at + 1 < stop and masked[at + 1].isupper() and raw.isupper()):
-            return False
+        return None if follow == PLAIN else ("", PERIOD, True, "", "字", False, quotes, follow, False)
+    gap = at > end or not term
+    if not term:
+        kind = BLANK
+    elif set(term) & set(".…．"):
+        kind = PERIOD if term in ".．" else DOTS
+    else:
+        kind = STRONG if term[-1] in "!?" else WIDE if term[-1] in "。！？｡" else OTHER
+    weak = kind in (PERIOD, DOTS, BLANK)
+    initials = not gap and at + 1 < stop and masked[at + 1].isupper() and raw.isupper()
     if nocase is None:
-        nocase = not any(ch.isupper() for ch in masked[start:stop])
-    return model.decide(prev, bool(term) and term != ".", term is None, gap, w, raw if not raw.isalpha() else ("A" if raw.isupper() else "a" if raw.islower() else "字"), nocase)
+        nocase = _ANY_UPPER.search(masked, start, stop) is None
+    return _prev_token(masked[start : m.start()]) if weak else "", kind, gap, w, _case(raw), nocase, quotes, follow, initials
 
 
 _OUT = pa.schema([("cue_id", pa.int64()), ("sent_no", pa.int32()), ("begin_at", pa.int32()), ("end_at", pa.int32())])
@@ -376,9 +446,10 @@ def _splitter(model: BoundaryModel, later_only: bool):
 
 
 def sentences(cues: DataFrame, model: BoundaryModel | None = None, later_only: bool = False) -> DataFrame:
-    """``cue_id, sent_no, begin_at, end_at`` of every sentence; null, blank and wordless texts have none."""
+    """``cue_id, sent_no, begin_at, end_at`` of every sentence; null, blank and wordless texts have none, redelivered cues count once."""
     model = model or fit(cues)
-    return cues.where("text IS NOT NULL AND cue_id IS NOT NULL").select("cue_id", "text").mapInArrow(_splitter(model, later_only), OUT_DDL)
+    every = cues.where("text IS NOT NULL AND cue_id IS NOT NULL").select("cue_id", "text").mapInArrow(_splitter(model, later_only), OUT_DDL)
+    return every if later_only else every.distinct()
 
 
 def p3_found(cues: DataFrame, model: BoundaryModel | None = None) -> DataFrame:
