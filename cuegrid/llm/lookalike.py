@@ -12,6 +12,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,19 @@ def _compatibility() -> tuple[str, str]:
     return "".join(src), "".join(dst)
 
 
-_FROM, _TO = _compatibility()
+def _composed() -> tuple[str, str]:
+    """Look-alike letters under an accent, which normalisation has made one character, and the Latin ones under the same."""
+    base = dict(zip(LOOK_ALIKES, LATIN))
+    src, dst = [], []
+    for cp in range(0x370, 0x530):
+        d = unicodedata.normalize("NFD", chr(cp))
+        if len(d) == 2 and d[0] in base and len(usual := unicodedata.normalize("NFC", base[d[0]] + d[1])) == 1:
+            src.append(chr(cp))
+            dst.append(usual)
+    return "".join(src), "".join(dst)
+
+
+_FROM, _TO = map("".join, zip(_compatibility(), _composed()))
 #: Joiners shape letters and emoji sequences; elsewhere nobody sees them.
 _JOINERS = r"(^|[\p{Latin}\p{Cyrillic}\p{Greek}\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}\p{N}\p{P}\s])[\x{200c}\x{200d}]+"
 
@@ -70,7 +83,7 @@ def _query(select: str, schema: pa.Schema):
             for at in range(0, b.num_rows, 2000):
                 docs = pa.Table.from_batches([b.slice(at, 2000)])
                 con.register("docs", docs)
-                out = con.execute(select).to_arrow_table().cast(schema)
+                out = con.sql(select).to_arrow_table().cast(schema)
                 con.unregister("docs")
                 yield from out.to_batches()
 
@@ -89,12 +102,22 @@ def keys(documents: DataFrame) -> DataFrame:
     return documents.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_query(q, _KEYS), "doc_id bigint, look string, raw string")
 
 
-def classes(documents: DataFrame) -> DataFrame:
-    """``doc_id, look, raw, rep``: documents whose look several different texts share; ``rep`` is the least id of equal texts."""
-    k = keys(documents).distinct()
-    texts = k.groupBy("look", "raw").agg(F.min("doc_id").alias("rep"))
+def _kept(documents: DataFrame) -> DataFrame:
+    """``keys`` of each document once: their two digests are read by several branches below, the texts only here."""
+    return keys(documents).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _texts(k: DataFrame) -> DataFrame:
+    """``look, raw, rep, copies`` of the different texts of looks that several texts share."""
+    texts = k.groupBy("look", "raw").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     several = texts.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")
-    return k.join(several, "look").join(texts, ["look", "raw"]).select("doc_id", "look", "raw", "rep")
+    return texts.join(several, "look")
+
+
+def classes(documents: DataFrame) -> DataFrame:
+    """``look, variants, docs, first_doc``: one row per look that several different texts share."""
+    t = _texts(_kept(documents))
+    return t.groupBy("look").agg(F.count("*").alias("variants"), F.sum("copies").alias("docs"), F.min("rep").alias("first_doc"))
 
 
 def p10_found(documents: DataFrame, salts: int = 8) -> DataFrame:
@@ -103,10 +126,8 @@ def p10_found(documents: DataFrame, salts: int = 8) -> DataFrame:
     Equal texts are one class with the least id for representative, so links between different texts are all there while
     a text copied over a third of the rows gives pairs in proportion to its copies.  The joins are salted by document.
     """
-    k = keys(documents).distinct()
-    texts = k.groupBy("look", "raw").agg(F.min("doc_id").alias("rep"))
-    several = texts.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select(F.col("look").alias("_look"))
-    reps = texts.join(several, texts.look == several._look).select(F.col("look").alias("_look"), F.col("raw").alias("_raw"), "rep")
+    k = _kept(documents)
+    reps = _texts(k).select(F.col("look").alias("_look"), F.col("raw").alias("_raw"), "rep")
     reps = reps.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     d = k.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     p = d.join(reps, (d.look == reps._look) & (d._s == reps._salt) & (d.raw != reps._raw))

@@ -102,7 +102,11 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES |= {"p9_found": p9_found, "p9_items": p9_items}
+def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.coverage(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES |= {"p9_found": p9_found, "p9_items": p9_items, "p9_coverage": p9_coverage}
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -113,4 +117,8 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical(table(spark, d, "documents"))
 
 
-QUERIES |= {"p10_found": p10_found, "p10_canonical": p10_canonical}
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.classes(table(spark, d, "documents"))
+
+
+QUERIES |= {"p10_found": p10_found, "p10_canonical": p10_canonical, "p10_classes": p10_classes}

@@ -13,8 +13,10 @@ applied to all cues.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +28,35 @@ from cuegrid.llm.fillers import LEAD_INS, WORDS, is_speech
 from cuegrid.llm.lang import _MAIL
 
 SAMPLE = 10_000
-#: More counted terms than this are not shipped to the workers.
-TERMS_BOUND = 3_000_000
+#: Tokens are counted under so many hashes, so that the statistics have one size whatever the corpus (80 MB at most).
+BUCKETS = 1 << 22
 
 _CLOSE = "(?:[ \u00a0\u202f]?»|[”\"’“›]|[)\\]』」])*"
 #: Terminators with the quotation marks that close behind them; a blank after a Thai letter is a candidate too.
 _CAND = re.compile(rf"(?P<t>[.!?…。！？।؟｡．]+(?:\s(?=[!?]))?[!?]*)(?P<q>{_CLOSE})|(?<=[฀-๿])(?P<th>[ \t\n]+)(?=\S)|(?<=[\w!?.)”])(?P<tt>[ \t\n]+)(?=[฀-๿])")
+#: The same for texts without Thai letters.
+_CAND_SPACED = re.compile(rf"(?P<t>[.!?…。！？।؟｡．]+(?:\s(?=[!?]))?[!?]*)(?P<q>{_CLOSE})")
+_CAND_ASCII = re.compile(r"(?P<t>[.!?]+(?:\s(?=[!?]))?[!?]*)(?P<q>[)\]]*)")
 _PREV = re.compile(r"[^\W_](?:[\w'’ऀ-ॿً-ٟ.-]*[\wऀ-ॿً-ٟ])?$|[^\W_]$")
 _NEXT = re.compile(r"[\s\"“”„«»‘’'¿¡(\[—–‹「『-]*([^\W_][\w'’ऀ-ॿً-ٟ-]*)")
 _UNSPACED = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
 _OPEN = "“«„‹「『"
 _QUOTES = re.compile(r"[“”«»„‹›「」『』\"]")
 _DIGIT = re.compile(r"\d+")
+_THAI = re.compile("[฀-๿]")
+
+
+def _candidates(text: str) -> re.Pattern:
+    return _CAND_ASCII if text.isascii() else _CAND if _THAI.search(text) else _CAND_SPACED
 
 
 def _prev_token(text: str) -> str:
-    m = _PREV.search(text[-24:])
+    return _last_token(text[-24:])
+
+
+@lru_cache(100_000)
+def _last_token(text: str) -> str:
+    m = _PREV.search(text)
     if not m:
         return ""
     w = _DIGIT.sub("0", m[0].lower())
@@ -50,7 +65,12 @@ def _prev_token(text: str) -> str:
 
 def _next_token(text: str) -> tuple[str, str]:
     """The token that follows, and its first letter as written."""
-    m = _NEXT.match(text[:40])
+    return _first_token(text[:40])
+
+
+@lru_cache(100_000)
+def _first_token(text: str) -> tuple[str, str]:
+    m = _NEXT.match(text)
     if not m:
         return "", ""
     raw = m[1]
@@ -67,10 +87,27 @@ PLAIN, COMMA, DASH, OPENS = range(4)
 _N = 69
 
 
+class Counts:
+    """Counts of tokens by their hash: sorted hashes with a count each."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        keep = counts > 0
+        self.hashes, self.counts = hashes[keep].astype(np.int32), counts[keep]
+
+    def get(self, term: str, default: int = 0) -> int:
+        h = bucket(term)
+        i = int(np.searchsorted(self.hashes, h))
+        return int(self.counts[i]) if i < len(self.hashes) and self.hashes[i] == h else default
+
+
+def bucket(term: str) -> int:
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
 class BoundaryModel:
     """Weights and token statistics; ``decide`` is memoised by what the features see."""
 
-    def __init__(self, finals: dict, dotted: dict, starts: dict, total: dict, weights: np.ndarray | None = None):
+    def __init__(self, finals, dotted, starts, total, weights: np.ndarray | None = None):
         self.finals, self.dotted, self.starts, self.total = finals, dotted, starts, total
         self.weights = weights if weights is not None else np.zeros(_N)
         self.memo: dict = {}
@@ -84,17 +121,20 @@ class BoundaryModel:
     def features(self, prev: str, kind: int, gap: bool, nxt: str, case: str, nocase: bool, quotes: int, follow: int, initials: bool, seen: int = 0) -> np.ndarray:
         """``seen``: how often the example itself is among the statistics of its tokens."""
         x = np.zeros(_N)
-        x[0] = 1
-        x[1 + kind] = 1
         c = "0Aa".find(case) if case else 3  # digit, capital, lower case, letter without case
         c = 3 if c < 0 else c
         if quotes == CLOSES_FIRST:  # only case tells whether more follows than the speaker's name; letters without case do as small ones
             x[53], x[54], x[55], x[56], x[57] = 1, c == 1, follow == OPENS, follow == COMMA, follow == DASH
             return x
+        if quotes == INSIDE or follow in (COMMA, DASH):  # the sentence visibly goes on; nothing else tells more
+            x[50], x[51], x[52] = follow == COMMA, follow == DASH, quotes == INSIDE
+            return x
         weak = kind in (PERIOD, DOTS, BLANK)
         x[7 + c] = 1
         x[11], x[12] = not gap, nocase
         x[13] = nocase and c == 2
+        x[0] = 1
+        x[1 + kind] = 1
         n, f = max(0, self.dotted.get(prev, 0) - seen), max(0, self.finals.get(prev, 0) - seen)
         share = f / n if n else 0
         b = 0 if n < 2 else 1 if share < 0.04 else 2 if share < 0.25 else 3 if share < 0.7 else 4
@@ -124,8 +164,6 @@ class BoundaryModel:
             x[47] = x[46] and (s >= 3 or nocase)
             x[48] = x[46] and nxt in WORDS
         x[49] = nxt in WORDS
-        x[50], x[51] = follow == COMMA, follow == DASH
-        x[52] = quotes == INSIDE
         if quotes == CLOSES_LATER:
             x[59] = 1
             x[60 + c] = 1
@@ -146,11 +184,10 @@ class BoundaryModel:
 
 
 _MARKS = ".!?…。！？।؟｡"
-_THAI = re.compile("[฀-๿]")
 #: Blanks and quotation marks behind a sentence.
 _BEHIND = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "\"”»’」』“"
 _TOKEN = re.compile(r"[^\W_][\w'’ऀ-ॿً-ٟ-]*")
-_TERMS = pa.schema([("term", pa.string()), ("finals", pa.int64()), ("dotted", pa.int64()), ("starts", pa.int64()), ("total", pa.int64())])
+_TERMS = pa.schema([("term", pa.int32()), ("finals", pa.int64()), ("dotted", pa.int64()), ("starts", pa.int64()), ("total", pa.int64())])
 
 
 def _bodies(text: str) -> list[str]:
@@ -182,10 +219,14 @@ def _tally(bodies: list[str], finals: Counter, dotted: Counter, starts: Counter,
     low = "\n".join(lines).lower()
     low = _DIGIT.sub("0", low)
     dense = _UNSPACED_RUN.findall(low)
-    total.update(t for t in _TOKEN.findall(low) if t.isascii() or not _UNSPACED.match(t))
+    every = Counter(_TOKEN.findall(low))
+    for t in [t for t in every if not t.isascii() and _UNSPACED.match(t)]:
+        del every[t]
+    total.update(every)
     for run in dense:
         total.update(map("".join, zip(run, run[1:])))
-    starts.update(t[:2] if not t.isascii() and _UNSPACED.match(t) else t for t in _OPENER.findall(low))
+    for t, n in Counter(_OPENER.findall(low)).items():
+        starts[t[:2] if not t.isascii() and _UNSPACED.match(t) else t] += n
     for body in lines:
         last, bare, _, ended = _tail(body)
         if ended:
@@ -193,7 +234,7 @@ def _tally(bodies: list[str], finals: Counter, dotted: Counter, starts: Counter,
             finals[tail] += 1
             dotted[tail] += 1
         if "." in bare or "…" in bare:
-            for m in _CAND.finditer(body):
+            for m in _candidates(body).finditer(body):
                 if m.end() < len(last) and m["t"] and set(m["t"]) & set(".…"):
                     dotted[_prev_token(body[: m.start()])] += 1
 
@@ -203,7 +244,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         terms = list(set().union(*counts))
-        cols = [terms, *([c.get(t, 0) for t in terms] for c in counts)]
+        cols = [[bucket(t) for t in terms], *([c.get(t, 0) for t in terms] for c in counts)]
         for c in counts:
             c.clear()
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _TERMS)], schema=_TERMS)
@@ -215,27 +256,43 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def corpus_counts(cues: DataFrame) -> list[dict]:
-    """How often each token ends a cue, carries a period, opens a cue and occurs, over all cues.
+def corpus_counts(cues: DataFrame) -> list[Counts]:
+    """How often each token ends a cue, carries a period, opens a cue and occurs, over all cues, by hash.
 
-    A redelivered cue counts as often as it comes.  Left out are terms too rare to be told from unseen ones: ``features``
-    asks for two, ``_boundary`` for three starts.
+    A redelivered cue counts as often as it comes.  Left out are hashes too rare to be told from unseen ones: ``features``
+    asks for two, or for three starts.
     """
-    per = cues.where("text IS NOT NULL").select("text").mapInArrow(_count, "term string, finals bigint, dotted bigint, starts bigint, total bigint")
+    per = cues.where("text IS NOT NULL").select("text").mapInArrow(_count, "term int, finals bigint, dotted bigint, starts bigint, total bigint")
     per = per.groupBy("term").agg(*(F.sum(c).alias(c) for c in _TERMS.names[1:])).where("dotted > 1 OR total > 1 OR starts > 2")
-    t = per.limit(TERMS_BOUND + 1).toArrow()
-    if t.num_rows > TERMS_BOUND:
-        raise ValueError(f"more than {TERMS_BOUND} terms: raise TERMS_BOUND")
-    terms = t["term"].to_pylist()
-    return [{k: n for k, n in zip(terms, t[c].to_pylist()) if n} for c in _TERMS.names[1:]]
-
-
+    t = per.select("term", *(F.least(F.col(c), F.lit(2**31 - 1)).cast("int").alias(c) for c in _TERMS.names[1:])).toArrow()  # at most BUCKETS rows
+    hashes = t["term"].to_numpy()
+    order = hashes.argsort()
+    return [Counts(hashes[order], t[c].to_numpy()[order]) for c in _TERMS.names[1:]]
+
+
+#: Examples that hold in every corpus: quotations that go on or end, commas and open quotations.
+PRIOR = (
+    (("", STRONG, True, "", "a", False, CLOSES_FIRST, PLAIN, False), 0),
+    (("", STRONG, True, "", "A", False, CLOSES_FIRST, PLAIN, False), 1),
+    (("", WIDE, False, "", "字", True, CLOSES_FIRST, PLAIN, False), 0),
+    (("", WIDE, False, "", "字", True, CLOSES_FIRST, OPENS, False), 1),
+    (("", WIDE, False, "", "字", True, CLOSES_LATER, PLAIN, False), 1),
+    (("", STRONG, True, "", "A", False, CLOSES_LATER, PLAIN, False), 1),
+    (("", WIDE, False, "", "字", True, NONE, PLAIN, False), 1),
+    (("", OTHER, True, "", "字", True, NONE, PLAIN, False), 1),
+    (("", STRONG, True, "", "A", False, NONE, PLAIN, False), 1),
+    (("", PERIOD, True, "", "A", False, NONE, PLAIN, False), 1),
+    (("", PERIOD, True, "", "a", False, NONE, PLAIN, False), 0),
+    (("", PERIOD, True, "", "0", False, NONE, PLAIN, False), 0),
+    (("", STRONG, True, "", "a", False, NONE, PLAIN, False), 0),
+    *((("", kind, True, "", case, False, quotes, follow, False), 0) for kind, case in ((STRONG, "A"), (WIDE, "字"), (PERIOD, "A")) for quotes, follow in ((INSIDE, PLAIN), (NONE, COMMA), (CLOSES_LATER, DASH))),
+)
 #: A token seen so often that never opens a cue opens no sentence.
 NEVER_OPENS = 8
 
 
-def train(texts: list[str], rounds: int = 600, counts: list[dict] | None = None) -> BoundaryModel:
-    """Fit on raw cue texts; without usable texts all candidates before a capital or an unspaced script are taken.
+def train(texts: list[str], rounds: int = 600, counts: list[Counts] | None = None) -> BoundaryModel:
+    """Fit on raw cue texts; without usable texts ``PRIOR`` decides.
 
     ``counts``: those of the corpus that the texts were drawn from, else the texts' own.
     """
@@ -295,9 +352,9 @@ def train(texts: list[str], rounds: int = 600, counts: list[dict] | None = None)
         w = seen[(j * 31) % len(seen)]
         x.append(model.features(seen[(j * 17 + 7) % len(seen)], BLANK, True, w, "字", True, NONE, PLAIN, False))
         y.append(0)
-    if len(set(y)) < 2:
-        model.weights[8] = model.weights[10] = 1
-        return model
+    for key, label in PRIOR:  # what small corpora may not show
+        x += [model.features(*key)] * 3
+        y += [label] * 3
     xs, ys = np.array(x), np.array(y, float)
     share = ys.mean()
     sw = np.where(ys == 1, 0.5 / share, 0.5 / (1 - share))
@@ -337,12 +394,13 @@ def cuts(text: str, model: BoundaryModel) -> list[tuple[int, int]]:
     if "@" in masked or "＠" in masked or "[" in masked or "(" in masked:
         masked = _MAIL.sub(lambda m: "x" * len(m[0]), masked)
     out: list[tuple[int, int]] = []
-    for _key_, a, b in lines:
+    marks = _candidates(masked)
+    for _, a, b in lines:
         if _SAYS.search(masked, a, b) is None:
             continue
         start = _first(masked, a, b)
         stop = a + len(masked[a:b].rstrip())
-        for m in _CAND.finditer(masked, a, b):
+        for m in marks.finditer(masked, a, b):
             if m.end() >= stop:
                 break
             end = _end(masked, start, m)

@@ -4,8 +4,8 @@
    to ``DEPTH`` tokens); tokens with digits and words become wildcards, so the tree is bounded.  Its leaves are the line
    templates, counted over the whole corpus by partition and then by shuffle.
 2. *Inference.*  Each template's wildcard is a speaker slot if its values name voices of their own recordings
-   (``voice_map``) often enough; a slot whose values read as times is a timestamp slot.  The result is a short list of
-   layouts.
+   (``voice_map``) often enough; templates that name nobody are no layout.  The result is a short list of layouts.  Time
+   stamps and sound annotations are told by form before a line walks the tree: their spellings are few and fixed.
 3. *Extraction and merging.*  Lines are read with the layouts, ordered by start, cue and place, and runs of one speaker
    become turns.  Ordering and runs are found per (recording, time slab); what touches slab borders is stitched.
 """
@@ -95,7 +95,7 @@ def mine_layouts(cues: DataFrame, tracks: DataFrame, min_support: int = MIN_SUPP
     t = cues.where("text IS NOT NULL AND rec_id IS NOT NULL").where(F.col("text").rlike(r"[:：\]>]|\d -")).select("rec_id", "text")
     mined = t.mapInArrow(_mine, "template string, rec_id string, alias string, n bigint").groupBy("template", "rec_id", "alias").agg(F.sum("n").alias("n"))
     v = voice_map(tracks).select(F.col("rec_id").alias("_rec"), "voices")
-    hit = mined.join(v, mined.rec_id == v._rec, "left").withColumn("hit", F.expr("coalesce(map_contains_key(voices, alias), false)"))
+    hit = mined.join(v.hint("merge"), mined.rec_id == v._rec, "left").withColumn("hit", F.expr("coalesce(map_contains_key(voices, alias), false)"))
     per = hit.groupBy("template").agg(F.sum("n").alias("n"), F.sum(F.expr("if(hit, n, 0)")).alias("hits"))
     return per.where(f"n >= {min_support} AND hits >= {min_share} * n").select("template", "n", F.expr("hits / n").alias("share"))
 

@@ -58,3 +58,15 @@ def test_spark(spark):
     assert sorted(map(tuple, leaks.p9_found(docs, items).collect())) == [(1, 1), (4, 1), (4, 2)]
     assert leaks.p9_found(docs.limit(0), items).collect() == [] and leaks.p9_found(docs, items.limit(0)).collect() == []
     assert {r.item_id: r.docs for r in leaks.leaked_items(docs, items).collect()} == {1: 2, 2: 1}
+    assert sorted(map(tuple, leaks.p9_found(docs, items, block_items=2).collect())) == [(1, 1), (4, 1), (4, 2)]
+    w = A.split()
+    mixed = spark.createDataFrame([(7, " ".join(w[10:] + ["and", "then"] + w[:10]))], "doc_id bigint, text string")
+    got = leaks.coverage(mixed, items).collect()
+    assert [(r.item_id, r.reordered) for r in got] == [(1, True)] and got[0].share > 0.9
+
+
+def test_gaps():
+    w = A.split()
+    lone = " ".join(x if i not in (6, 8) else "zz" for i, x in enumerate(w[:16]))
+    assert 1 in H.leaked(lone)
+    assert leaks.covers(leaks.tiles(list("abcdefghijklmnopqrstuvwxy"), list("abcdefghijklZZZpqrstuvwxy"), 2), 15, list("abcdefghijklmnopqrstuvwxy"), list("abcdefghijklZZZpqrstuvwxy"))

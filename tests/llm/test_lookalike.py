@@ -29,4 +29,9 @@ def test_pairs(spark):
     got = sorted(map(tuple, lookalike.p10_found(df).collect()))
     assert got == [(0, 1), (0, 4), (1, 3), (1, 4), (3, 4)]
     assert lookalike.p10_found(df.limit(0)).collect() == []
-    assert {r.doc_id: r.rep for r in lookalike.classes(df).collect()} == {0: 0, 1: 1, 3: 0, 4: 4}
+    assert [(r.variants, r.docs, r.first_doc) for r in lookalike.classes(df).collect()] == [(3, 4, 0)]
+
+
+def test_accented_look_alikes(spark):
+    got = forms(spark, ["a\u0308b", "\u0430\u0308b", "\u04d3b", "\u00e4b"])
+    assert len(set(got.values())) == 1
