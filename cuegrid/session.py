@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,22 +30,44 @@ def local_session(cores: int = 8, name: str = "cuegrid", **conf: str) -> SparkSe
     return spark
 
 
+def _local(spark: SparkSession) -> bool:
+    return re.match(r"local(\[|$)", spark.sparkContext.master) is not None
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Make the package importable on executors and give checkpoints a home.
 
-    The folder in ``spark.checkpoint.dir`` is used as it is; only where it is unset (tests) a temporary one is chosen.
+    The folder in ``spark.checkpoint.dir`` is used as it is; only where it is unset and everything runs on one machine
+    (tests) a temporary one is chosen.
     """
     sc = spark.sparkContext
     if not getattr(sc, "_cuegrid_ready", False):
-        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        if not re.match(r"local(\[|$)", sc.master):
-            sc.addPyFile(_zipped(root))
-        if not sc.getConf().get("spark.checkpoint.dir", ""):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="cuegrid-ckpt-"))
+        if not _local(spark):
+            sc.addPyFile(_zipped(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
         sc._cuegrid_ready = True
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where driver and executors are one process."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", "") or getattr(sc, "_cuegrid_dir", "")
+    if not found:
+        if not _local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = sc._cuegrid_dir = tempfile.mkdtemp(prefix="cuegrid-ckpt-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return found
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table to the shared folder and read again: its lineage ends there, and each use reads its own columns."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cuegrid-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _zipped(root: str) -> str:
     """The package as a zip archive for executors that do not share the driver's file system."""
     import zipfile
