@@ -1,9 +1,10 @@
 """Problem 7: broken prompt and response pairs (answers of translation tasks).
 
-Every answer is paired with its cue's text.  *Refusals* are found by recurrence: the openings of the answers are clustered
-by MinHash, band collisions are verified by Jaccard similarity, and a cluster that recurs across unrelated prompts (no
-word is common to the prompts of one language beyond its usual share) is a refusal template.  *Copy*, *language* (the
-rank-order profiles of ``lang``) and *termination* (sentence counts and marks of ``sentences``) checks label the rest.
+Every answer is paired with its cue's text.  *Refusals* are found by recurrence: the different openings of answers are
+clustered by MinHash (band collisions, verified by Jaccard similarity, connected components), and a cluster whose prompts
+have little in common is a refusal template: answers that begin alike without their prompts being alike translate nothing.
+*Copy*, *language* (the rank-order profiles of ``lang``, in every script) and *termination* (sentence counts and marks of
+``sentences``) checks label the rest.
 """
 
 from __future__ import annotations
@@ -15,24 +16,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuegrid.functions.lines import plain, read_lines
 from cuegrid.llm.fillers import WORDS as FILLERS
-from cuegrid.llm.lang import _GROUP_OF, _SCRIPTS as _SCRIPT_CLASSES, MARGIN, Profiles, fit_profiles, named_language, passages
+from cuegrid.llm.lang import _GROUP_OF, _SCRIPTS as _SCRIPT_CLASSES, GROUPS, MARGIN, Profiles, fit_profiles, named_language, passages, units
 from cuegrid.llm.sentences import BoundaryModel, cuts
 from cuegrid.llm.sentences import fit as fit_boundaries
+from cuegrid.session import staged
 
-#: An opening is this many words (letters in scripts without spaces); a template recurs over at least so many prompts.
+#: An opening is this many words (letters in scripts without spaces).
 OPENING_WORDS, OPENING_LETTERS = 10, 18
-MIN_RECUR = 6
 SIMILAR = 0.8
-#: Related prompts have so many words in common, each at this share and this many times its usual share.
-COMMON_SHARE, COMMON_LIFT, COMMON_WORDS = 0.5, 1.8, 2
-#: Prompts of one language that an opening needs to tell anything.
-MIN_PROMPTS = 6
+#: Of the way from the overlap of any two prompts of a language to that of equal ones, k unrelated prompts go less than
+#: this times 1 - 1/k (few prompts must be clearly unrelated).
+RELATED = 0.3
+#: Prompts of fewer content words tell nothing.
+LEAST_WORDS = 3
 BANDS, ROWS = 6, 3
 
 #: Contents of ``uncertain`` that give no reason.
@@ -108,7 +109,7 @@ def main_language(found: list[tuple]) -> str | None:
     return max(size, key=size.get) if size else None
 
 
-def check(cue: str | None, answer: str | None, target: str | None, uncertain: str | None, profiles: Profiles, boundaries: BoundaryModel, own: str | None = None, src: str | None = None) -> str | None:
+def check(cue: str | None, answer: str | None, target: str | None, uncertain: str | None, profiles: Profiles, boundaries: BoundaryModel, own: str | None = None, src: str | None = None, found: list[tuple] | None = None) -> str | None:
     """Defect of one pair by the copy, language and termination checks, or None (refusals are found elsewhere)."""
     own = own if own is not None else body(answer) if answer else ""
     if not any(ch.isalnum() for ch in own):
@@ -125,7 +126,7 @@ def check(cue: str | None, answer: str | None, target: str | None, uncertain: st
             if reason or (lang and {x[0] for x in passages(src, profiles, src)} <= {lang}):
                 return None
             return "copy"
-    if lang and _wrong_language(own, lang, profiles):
+    if lang and _wrong_language(own, lang, profiles, found):
         return "wrong_language"
     text, source = own.strip(), src.strip()
     if not source:
@@ -145,83 +146,49 @@ def check(cue: str | None, answer: str | None, target: str | None, uncertain: st
 
 
 _MARK = re.compile(r"[.!?…。！？।؟]|\n *[\[<>\w-]")
-_KANA, _HAN = re.compile("[\u3040-\u30ff]"), re.compile("[\u3400-\u9fff]")
 _BY_SCRIPT = {g: re.compile(f"[{c}]") for g, c in _SCRIPT_CLASSES.items()}
 
 
-def _wrong_language(own: str, lang: str, profiles: Profiles) -> bool:
-    """Whether the answer is in another language; profiles decide where the script leaves a choice."""
-    if own.isascii():
-        group, counts = "latin", {}
-    else:
-        present = [g for g, p in _BY_SCRIPT.items() if p.search(own)]
-        if not present:
-            return False
-        counts = {g: len(_BY_SCRIPT[g].findall(own)) for g in present} if len(present) > 1 or present[0] == "cjk" else {present[0]: 1}
-        group = max(counts, key=counts.get)
-    if group != _GROUP_OF[lang]:
-        return True
-    if group == "cjk":
-        kana = len(_KANA.findall(own))
-        if (lang == "ja") == (kana > 0) and (kana == 0 or 6 * kana > counts["cjk"]):
-            return False
-    elif group != "latin":
-        return False
-    best = main_language(passages(own, profiles, own))
-    if best is None or best == lang or _GROUP_OF[best] != group:
+def _wrong_language(own: str, lang: str, profiles: Profiles, found: list[tuple] | None = None) -> bool:
+    """Whether the answer is in another language: that of most of its passages, by a clear margin where scripts are shared."""
+    best = main_language(passages(own, profiles, own, found))
+    if best is None or best == lang:
         return False
+    group = _GROUP_OF[best]
+    if group != _GROUP_OF[lang]:
+        letters = {g: len(_BY_SCRIPT[g].findall(own)) for g in (group, _GROUP_OF[lang])}
+        return letters[group] > letters[_GROUP_OF[lang]]
     words = " ".join(_WORDS.findall(own.lower()))
     _, _, d = profiles.classify(words, group)
-    return d[lang] - d[best] > MARGIN * d[lang] and len(words) > 8
-
-
-_OUT = pa.schema(
-    [("task_key", pa.string()), ("id", pa.int64()), ("lang", pa.string()), ("defect", pa.string()), ("opening", pa.string()), ("bands", pa.list_(pa.int64())), ("plang", pa.string()), ("words", pa.list_(pa.int32())), ("oh", pa.int64())]
-)
-_DDL = "task_key string, id bigint, lang string, defect string, opening string, bands array<bigint>, plang string, words array<int>, oh bigint"
-
-
-def _script(text: str) -> str:
-    """A cheap stand-in for the prompt's language in the statistics: script and, for Latin, its commonest short word."""
-    for pat, name in () if text.isascii() else _SCRIPTS:
-        if pat.search(text):
-            return name
-    return "latin"
-
+    at = GROUPS[group].index
+    return d[at(lang)] - d[at(best)] > MARGIN * d[at(lang)] and len(words) > 8
 
-_SCRIPTS = [(re.compile(f"[{c}]"), n) for n, c in (("kana", "぀-ヿ"), ("han", "㐀-鿿"), ("hangul", "가-힣"), ("thai", "฀-๿"), ("arabic", "ء-ۿ"), ("devanagari", "ऀ-ॿ"), ("cyrillic", "Ѐ-ӿ"))]
-_LATIN = (("de", re.compile(r"\b(?:der|die|das|im|zum|vor|während|nach)\b", re.I)), ("es", re.compile(r"\b(?:el|los|del|al|después|sin)\b", re.I)), ("fr", re.compile(r"\b(?:le|les|du|après|pendant|sans|dans)\b|[ldn]['’]", re.I)), ("pt", re.compile(r"\b(?:o|os|ao|da|do|depois|sem|um|uma)\b", re.I)))
 
-
-def _prompt_group(text: str) -> str:
-    g = _script(text)
-    if g == "latin":
-        for name, pat in _LATIN:
-            if len(pat.findall(text)) >= 2:
-                return name
-    return g
+_OUT = pa.schema([("task_key", pa.string()), ("id", pa.int64()), ("defect", pa.string()), ("opening", pa.string()), ("plang", pa.string()), ("words", pa.list_(pa.int32())), ("oh", pa.int64())])
+_DDL = "task_key string, id bigint, defect string, opening string, plang string, words array<int>, oh bigint"
 
 
 def _checker(profiles: Profiles, boundaries: BoundaryModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            cols = {n: b.column(n).to_pylist() for n in ("task_key", "id", "target_lang", "answer", "uncertain", "cue")}
+            own = [body(x) if x else "" for x in cols["answer"]]
+            found = [units(x, profiles, x) if x else [] for x in own]
+            said = [body(x) if x else "" for x in cols["cue"]]
+            asked = [units(x, profiles, x) if x else [] for x in said]
+            profiles.measure((u[1], u[4]) for us in (*found, *asked) for u in us)
             rows = []
-            for key, id_, target, answer, uncertain, cue in zip(*(b.column(n).to_pylist() for n in ("task_key", "id", "target_lang", "answer", "uncertain", "cue"))):
-                own, src = body(answer) if answer else "", body(cue) if cue else ""
-                defect = check(cue, answer, target, uncertain, profiles, boundaries, own, src)
-                op = opening(own) if defect not in ("empty", "copy") and own else None
-                rows.append((key, id_, target, defect, op or None, bands(op) if op else None, _prompt_group(src), content_words(src) if op else None, xxhash.xxh64_intdigest(op) - (1 << 63) if op else None))
-            cols = list(zip(*rows)) or [[]] * len(_OUT)
-            yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(cols, _OUT)], schema=_OUT)
+            for key, id_, target, answer, uncertain, cue, text, us, src, vs in zip(*cols.values(), own, found, said, asked):
+                defect = check(cue, answer, target, uncertain, profiles, boundaries, text, src, us)
+                op = opening(text) if defect not in ("empty", "copy") and text else None
+                plang = main_language(passages(src, profiles, src, vs)) if op and src else None
+                rows.append((key, id_, defect, op or None, plang, content_words(src) if plang else None, xxhash.xxh64_intdigest(op) - (1 << 63) if op else None))
+            out = list(zip(*rows)) or [[]] * len(_OUT)
+            yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(out, _OUT)], schema=_OUT)
 
     return run
 
 
-def _jaccard(x: str, y: str) -> float:
-    a, b = tokens_of(x), tokens_of(y)
-    return len(a & b) / max(1, len(a | b))
-
-
 def pairs(translations: DataFrame, cues: DataFrame) -> DataFrame:
     """Distinct answers with their cue's text (null where there is none)."""
     t = translations.where("task_key IS NOT NULL AND id IS NOT NULL").select("task_key", "id", "target_lang", F.col("text").alias("answer"), "uncertain", "answered_at")
@@ -233,41 +200,90 @@ def pairs(translations: DataFrame, cues: DataFrame) -> DataFrame:
 
 def checked(translations: DataFrame, cues: DataFrame) -> DataFrame:
     profiles, boundaries = fit_profiles(cues), fit_boundaries(cues)
-    return pairs(translations, cues).mapInArrow(_checker(profiles, boundaries), _DDL).persist(StorageLevel.MEMORY_AND_DISK)
+    return staged(pairs(translations, cues).mapInArrow(_checker(profiles, boundaries), _DDL), "pairs")
+
+
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        band, oh, toks = [], [], []
+        for h, op in zip(b.column("oh").to_pylist(), b.column("opening").to_pylist()):
+            ts = sorted(zlib.crc32(t.encode()) - (1 << 31) for t in tokens_of(op))
+            for k in bands(op):
+                band.append(k)
+                oh.append(h)
+                toks.append(ts)
+        yield pa.record_batch([pa.array(band, pa.int64()), pa.array(oh, pa.int64()), pa.array(toks, pa.list_(pa.int32()))], names=["band", "oh", "toks"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by band; each opening of a band is verified against the band's leaders and joins those near it, or leads."""
+    band, leaders = None, []
+    for b in batches:
+        out: list[tuple[int, int]] = []
+        for k, h, toks in zip(*(b.column(c).to_pylist() for c in ("band", "oh", "toks"))):
+            if k != band:
+                band, leaders = k, []
+            own = set(toks)
+            near = [x for x, ts in leaders if len(own & ts) >= SIMILAR * len(own | ts)]
+            out += [(h, x) for x in near]
+            if not near:
+                leaders.append((h, own))
+        cols = list(zip(*out)) or [[]] * 2
+        yield pa.record_batch([pa.array(list(c), pa.int64()) for c in cols], schema=_EDGES)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``id, comp``: connected components of the links ``a, b``; labels go along links until none changes, each round a table."""
+    both = staged(edges.union(edges.select("b", "a")).distinct(), "links")
+    labels = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("comp")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
+        moved = labels.join(near, labels.id == near.a).select("id", F.least("comp", "near").alias("comp"), (F.col("near") < F.col("comp")).alias("moved"))
+        labels = staged(moved, "labels")
+        if labels.where("moved").limit(1).count() == 0:
+            return labels.select("id", "comp")
+
+
+def opening_clusters(features: DataFrame) -> DataFrame:
+    """``oh, comp`` of openings that are near others; all others are their own cluster."""
+    different = features.where("oh IS NOT NULL").groupBy("oh").agg(F.first("opening").alias("opening"))
+    n = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    banded = different.mapInArrow(_banded, "band bigint, oh bigint, toks array<int>").repartition(n, "band").sortWithinPartitions("band", "oh")
+    return components(banded.mapInArrow(_verified, "a bigint, b bigint").distinct()).select(F.col("id").alias("oh"), "comp")
 
 
 def refusal_openings(features: DataFrame) -> DataFrame:
-    """Openings of refusal templates, with those that are near them by verified MinHash."""
-    every = features.where("oh IS NOT NULL")
-    heavy = every.groupBy("oh").agg(F.count("*").alias("n")).where(f"n >= {MIN_RECUR}").select("oh")
-    # How common are words among the prompts of an opening, against all prompts of the language?
-    said = every.select("oh", "plang", "words").join(heavy, "oh")
-    size = said.groupBy("oh", "plang").agg(F.count("*").alias("k")).where(f"k >= {MIN_PROMPTS}")  # fewer prompts tell nothing
-    per = said.withColumn("w", F.explode("words")).groupBy("oh", "plang", "w").agg(F.count("*").alias("c"))
-    all_n = every.groupBy("plang").agg(F.count("*").alias("all_k"))
-    all_w = every.select("plang", F.explode("words").alias("w")).groupBy("plang", "w").agg(F.count("*").alias("all_c"))
-    often = per.join(size, ["oh", "plang"]).where(f"c >= {COMMON_SHARE} * k")
-    lift = often.join(all_w, ["plang", "w"]).join(F.broadcast(all_n), "plang").where(f"(c / k) >= {COMMON_LIFT} * (all_c / all_k)")  # all_n: one row per script
-    related = lift.groupBy("oh", "plang").agg(F.count("*").alias("m")).where(f"m >= {COMMON_WORDS}").withColumn("related", F.lit(True))
-    verdict = size.join(related, ["oh", "plang"], "left").groupBy("oh").agg(F.sum(F.expr("if(related, 0, k)")).alias("off"), F.sum("k").alias("total"))
-    # A handful of hashes, read three times below: written to the shared checkpoint folder, so that plans stay small.
-    core = verdict.where("off > 0.5 * total").select(F.col("oh").alias("core")).checkpoint()
-    # Near openings: band collisions with a core (by hash), then Jaccard on the strings of those alone.
-    of_core = every.join(core, every.oh == core.core).groupBy("core").agg(F.first("bands").alias("bands"), F.first("opening").alias("core_opening"))
-    hits = every.select("oh", F.explode("bands").alias("band")).join(of_core.select("core", F.explode("bands").alias("band")), "band").where("oh <> core").select("oh", "core").distinct()
-    near = every.join(hits, "oh").groupBy("oh", "core").agg(F.first("opening").alias("opening")).join(of_core.select("core", "core_opening"), "core").select("oh", "opening", "core_opening")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [o for o, x, y in zip(*(b.column(c).to_pylist() for c in ("oh", "opening", "core_opening"))) if _jaccard(x, y) >= SIMILAR]
-            yield pa.record_batch([pa.array(keep, pa.int64())], names=["oh"])
-
-    return core.withColumnRenamed("core", "oh").union(near.mapInArrow(verify, "oh bigint")).distinct()
-
-
-def p7_found(translations: DataFrame, cues: DataFrame) -> DataFrame:
+    """``oh`` of the openings in clusters whose prompts are no more alike than any.
+
+    Of a cluster's prompts of one language, ``shared`` words stand in another of them too, on average of all pairs; the
+    same figure over all prompts of the language is what any two have in common.  Both come from counts of words, so no
+    pairs are formed, and a cluster of two prompts is judged by the same rule as one of a million.
+    """
+    clusters = opening_clusters(features)
+    prompts = features.where(f"oh IS NOT NULL AND plang IS NOT NULL AND size(words) >= {LEAST_WORDS}").select("oh", "plang", "words")
+    named = prompts.join(clusters, "oh", "left").select(F.coalesce("comp", "oh").alias("comp"), "plang", "words")
+
+    def alike(keys: list[str]) -> DataFrame:
+        per = named.withColumn("w", F.explode("words")).groupBy(*keys, "w").agg(F.count("*").alias("c"))
+        words = per.groupBy(*keys).agg(F.sum("c").alias("words"), F.sum(F.expr("c * (c - 1.0D)")).alias("pairs"))
+        return words.join(named.groupBy(*keys).agg(F.count("*").alias("k")), keys)
+
+    own = alike(["comp", "plang"]).where("k > 1").withColumn("shared", F.expr("pairs / (k - 1)"))
+    usual = alike(["plang"]).select("plang", F.expr("pairs / greatest(k - 1, 1) / words").alias("usual"))
+    per = own.join(F.broadcast(usual), "plang").groupBy("comp").agg(F.sum("shared").alias("shared"), F.sum("words").alias("words"), F.sum("k").alias("k"), F.sum(F.expr("usual * words")).alias("usual"))  # usual: one row per language
+    refused = per.where(f"shared < usual + {RELATED} * (1 - 1 / k) * (words - usual)").select("comp")
+    # An opening near no other is its own cluster.
+    near = clusters.join(refused, "comp", "left_semi").select("oh")
+    return near.union(refused.select(F.col("comp").alias("oh"))).distinct()
+
+
+def p7_found(translations: DataFrame, cues: DataFrame, salts: int = 8) -> DataFrame:
     """``task_key, id, defect``: a refusal goes before what its language or end would make of it."""
     f = checked(translations, cues)
-    r = refusal_openings(f).withColumn("refused", F.lit(True))
-    g = f.select("task_key", "id", "defect", "oh").join(r, "oh", "left")
-    return g.withColumn("defect", F.expr("CASE WHEN refused THEN 'refusal' ELSE defect END")).where("defect IS NOT NULL").select("task_key", "id", "defect")
+    r = refusal_openings(f).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnRenamed("oh", "_oh")
+    opened = f.where("oh IS NOT NULL").select("task_key", "id", "defect", "oh", F.pmod(F.xxhash64("task_key", "id"), F.lit(salts)).cast("int").alias("_s"))
+    g = opened.join(r, (opened.oh == r._oh) & (opened._s == r._salt), "left").select("task_key", "id", F.expr("CASE WHEN _oh IS NOT NULL THEN 'refusal' ELSE defect END").alias("defect"))
+    return g.union(f.where("oh IS NULL").select("task_key", "id", "defect")).where("defect IS NOT NULL")

@@ -55,7 +55,7 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_disclosure(spark: SparkSession, d: str) -> DataFrame:
-    return pii.disclosure(table(spark, d, "cues"), table(spark, d, "name_parts")).select("term", "n", "given_share", "family_share", "given_bits", "family_bits")
+    return pii.disclosure(table(spark, d, "cues"), table(spark, d, "name_parts")).select("term", "n", "given_share", "family_share", "given_bits", "family_bits", "thing_share", "number_n")
 
 
 QUERIES |= {"p4_found": p4_found, "p4_redacted": p4_redacted, "p4_disclosure": p4_disclosure}

@@ -13,12 +13,37 @@ HARMLESS = ["The word idiot is spelled wrong in the subtitle.", "The useless gar
             "We killed the noise and beat the deadline.", "Many Korvians listen to the show after lunch.", "The dumb terminal and the slave clock both failed.", "", "   ", "[Musik]", "You are right. The garbage was moved."]
 
 
+#: Nothing of these stands in the tables that the lexicon was written beside.
+HELD_OUT = {
+    "abuse": ["He is a complete fool.", "I will strangle you tonight.", "Get lost, you pathetic clown.", "Du bist so ein Versager.", "Tu es vraiment une ordure.", "Eres una inútil.", "Ты просто придурок.", "他就是个混蛋。", "お前はアホだ。", "I'm going to break your fingers."],
+    "hate": ["These people are the scum of the earth.", "All foreigners are parasites, send them back.", "Immigrants are filthy and should be kicked out.", "Les étrangers sont des rats.", "外国人全是小偷，赶出去。"],
+    "sexual": ["He sent nude photos from the bed.", "Elle gémit toute la nuit, nue."],
+}
+INNOCENT = ["You are not an idiot.", "I am such an idiot, you were right.", "You said I was stupid and I agreed.", "She called me a moron.", "I will not hurt you.", "Foreigners are not vermin.", "Put the trash in the bin.", "All the rats were thrown out of the barn.", "你不是白痴。", "Du bist kein Idiot.",
+            "Nobody needs this list.", "Sex education is taught in May.", "The doctor broke the bad news.", "Many immigrants like the show."]
+
+
+def over(text):
+    return {k for k, w in abuse.score(text).items() if w >= abuse.THRESHOLD}
+
+
+def test_held_out():
+    for kind, texts in HELD_OUT.items():
+        for t in texts:
+            assert kind in over(t), (t, abuse.score(t))
+    for t in INNOCENT:
+        assert not over(t), (t, abuse.score(t))
+    for t in ("s.c.u.m", "j-e-r-k", "i_d_i_o_t", "i·d·i·o·t"):
+        assert over(f"You {t}!") == {"abuse"}, t
+    assert abuse.score("That idiot again")["abuse"] > 0 and abuse.score("The host waits.") == {}
+
+
 def test_cases():
     for kind, texts in CASES.items():
         for t in texts:
-            assert list(abuse.score("[00:01] spk1: " + t)) == [kind], (t, abuse.score(t))
+            assert kind in over("[00:01] spk1: " + t) and over(t) <= {kind, "abuse"}, (t, abuse.score(t))
     for t in HARMLESS:
-        assert abuse.score(t) == {}, (t, abuse.score(t))
+        assert all(w < abuse.THRESHOLD for w in abuse.score(t).values()), (t, abuse.score(t))
     assert abuse.score("The host needs it after lunch. " * 4000 + CASES["abuse"][0])
 
 

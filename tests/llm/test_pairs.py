@@ -27,7 +27,7 @@ def test_checks(cue, answer, target, uncertain, defect):
 
 def test_openings():
     a, b = pairs.opening("I cannot help with that request."), pairs.opening("I cannot help with that request!")
-    assert a == b and pairs.bands(a) == pairs.bands(b) and pairs._jaccard(a, b) == 1
+    assert a == b and pairs.bands(a) == pairs.bands(b)
 
 
 def test_refusals_and_copies_in_spark(spark):
@@ -49,3 +49,31 @@ def test_refusals_and_copies_in_spark(spark):
     assert sorted(r.id for r in got if r.defect == "refusal") == [i for i in range(160) if i % 8 == 0]
     assert {r.id for r in got if r.defect == "empty"} == {900, 901}
     assert pairs.p7_found(tr.limit(0), cu).collect() == []
+
+
+def test_templates_that_differ_in_a_word(spark):
+    """A template that is never repeated word for word is found, one of related prompts is not, however few there are."""
+    rng = random.Random(4)
+    subj, verb, obj, when = ["host", "guest", "editor", "narrator", "listener"], ["needs", "checks", "forgets", "explains"], ["angle", "room", "passage", "schedule", "label"], ["after lunch", "every morning", "during the break", "before noon"]
+    cues, answers = [], []
+    for i in range(240):
+        s, v, o, w = rng.choice(subj), rng.choice(verb), rng.choice(obj), rng.choice(when)
+        cues.append((i, f"The {s} {v} the {o} {w}.", "en"))
+        if i % 12 == 0:
+            a = f"Leider kann ich Ihnen bei Zeile Nummer {['eins', 'zwei', 'drei', 'vier', 'elf'][i // 12 % 5]}{i} heute nicht weiter helfen."
+        else:
+            a = f"Der {s.title()}er {v}t {dict(zip(when, ['nach dem Mittagessen', 'jeden Morgen', 'in der Pause', 'am Vormittag']))[w]} das {o.title()} noch einmal."
+        answers.append((f"k{i}", i, "de", a, None, "t"))
+    tr = spark.createDataFrame(answers, "task_key string, id bigint, target_lang string, text string, uncertain string, answered_at string")
+    cu = spark.createDataFrame(cues + [(5000 + i, DE[i % 4], "de") for i in range(60)], "cue_id bigint, text string, lang string")
+    got = {r.id: r.defect for r in pairs.p7_found(tr, cu).collect()}
+    want = {i for i in range(240) if i % 12 == 0}
+    refused = {i for i, x in got.items() if x == "refusal"}
+    assert len(refused & want) >= 0.9 * len(want) and len(refused - want) <= 0.1 * len(want), (len(refused & want), refused - want)
+
+
+def test_components(spark):
+    links = [(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (7, 9), (20, 20)]
+    got = {r.id: r.comp for r in pairs.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7, 20: 20}
+    assert pairs.components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
