@@ -9,9 +9,11 @@ have little in common is a refusal template: answers that begin alike without th
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +28,17 @@ from cuegrid.llm.sentences import BoundaryModel, cuts
 from cuegrid.llm.sentences import fit as fit_boundaries
 from cuegrid.session import staged
 
-#: An opening is this many words (letters in scripts without spaces).
-OPENING_WORDS, OPENING_LETTERS = 10, 18
+#: An opening is this many words (letters in scripts without spaces: in Han and kana, in Thai).
+OPENING_WORDS, OPENING_LETTERS, OPENING_THAI = 10, 18, 40
 SIMILAR = 0.8
 #: Of the way from the overlap of any two prompts of a language to that of equal ones, k unrelated prompts go less than
-#: this times 1 - 1/k (few prompts must be clearly unrelated).
-RELATED = 0.3
+#: ``RELATED * (1 - 2 / k)``: of two, none may have more in common than usual, as among many clusters some do by chance.
+RELATED = 0.18
+#: Beyond this prompts are clearly alike.
+CLEARLY = 0.25
 #: Prompts of fewer content words tell nothing.
 LEAST_WORDS = 3
-BANDS, ROWS = 6, 3
+BANDS, ROWS = 8, 4
 
 #: Contents of ``uncertain`` that give no reason.
 NO_REASON = ("", "no", "none", "-", "n/a", "na", "null", "nil", "false", "0", "ok", "无", "否", "没有", "--", ".")
@@ -45,6 +49,8 @@ _NOT_WORD = re.compile(r"[^\w]+|_+")
 _TERMINAL = re.compile(r"[.!?。！？।؟｡][\"”»’」』“)\]\s]*$")
 _DOTS = re.compile(r"(?:\.\.\.|…)[\"”»’」』“)\]\s]*$|[\s][–—-]\s*$")
 _WORDS = re.compile(r"[^\W\d_][\w'’ऀ-ॿ฀-๿ً-ٟ]*")
+_BY_SCRIPT = {g: re.compile(f"[{c}]") for g, c in _SCRIPT_CLASSES.items()}
+_THAI = re.compile("[\u0e00-\u0e7f]")
 _DENSE = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
 
 _SEEDS = np.random.RandomState(11).randint(1, 2**31 - 1, size=(2, BANDS * ROWS)).astype(np.uint64)
@@ -64,7 +70,7 @@ def opening(masked: str) -> str:
     words = _WORDS.findall(masked.lower())
     joined = " ".join(words)
     if _DENSE.search(joined):
-        return "".join(words)[:OPENING_LETTERS]
+        return "".join(words)[: OPENING_THAI if _THAI.search(joined) else OPENING_LETTERS]
     return " ".join(words[:OPENING_WORDS])
 
 
@@ -90,16 +96,24 @@ def bands(opening_: str) -> list[int]:
     return [zlib.crc32(sig[i * 8 * ROWS : (i + 1) * 8 * ROWS]) * 8 + i for i in range(BANDS)]
 
 
-def content_words(prompt: str) -> list[int]:
-    """Hashes of the prompt's words (letter pairs where words are not spaced)."""
+@lru_cache(200_000)
+def _word_hash(w: str) -> int:
+    return zlib.crc32(w.encode()) - (1 << 31)
+
+
+def content_words(prompt: str) -> tuple[list[int], str, str]:
+    """Hashes of the prompt's words (letter pairs where words are not spaced), its script, and the words joined by blanks."""
     ws = [w for w in _WORDS.findall(prompt.lower()) if w not in FILLERS]
-    out = set()
+    out, groups = set(), {}
     for w in ws:
-        if _DENSE.search(w):
-            out |= {w[i : i + 2] for i in range(len(w) - 1)}
+        g = "latin" if w.isascii() else next((g for g, p in _BY_SCRIPT.items() if p.match(w)), "latin")
+        groups[g] = groups.get(g, 0) + len(w)
+        if g in ("cjk", "thai"):
+            out.update(w[i : i + 2] for i in range(len(w) - 1))
         elif len(w) > 2:
             out.add(w)
-    return [zlib.crc32(w.encode()) - (1 << 31) for w in out]
+    group = max(groups, key=groups.get) if groups else ""
+    return [_word_hash(w) for w in out], group, " ".join(ws)
 
 
 def main_language(found: list[tuple]) -> str | None:
@@ -134,19 +148,19 @@ def check(cue: str | None, answer: str | None, target: str | None, uncertain: st
     dots_in_source = bool(_DOTS.search(source))
     if _DOTS.search(text) and not dots_in_source:
         return "truncated"
-    thai = bool(re.search("[฀-๿]", source))
+    thai = _THAI.search(source) is not None
     if not _TERMINAL.search(text) and not _DOTS.search(text) and (thai or _TERMINAL.search(source) or dots_in_source):
         return "truncated"
     # One sentence cannot be cut short of another; only cues with a mark (in Thai, a blank) before their end are counted.
     inner = source.rstrip(" .!?…。！？।؟”»\"'」")
     if (thai and " " in inner) or _MARK.search(inner):
-        if len(cuts(answer, boundaries)) < len(cuts(cue, boundaries)):
+        n = len(cuts(cue, boundaries))
+        if n > 1 and len(cuts(answer, boundaries)) < n:
             return "truncated"
     return None
 
 
 _MARK = re.compile(r"[.!?…。！？।؟]|\n *[\[<>\w-]")
-_BY_SCRIPT = {g: re.compile(f"[{c}]") for g, c in _SCRIPT_CLASSES.items()}
 
 
 def _wrong_language(own: str, lang: str, profiles: Profiles, found: list[tuple] | None = None) -> bool:
@@ -175,14 +189,14 @@ def _checker(profiles: Profiles, boundaries: BoundaryModel):
             own = [body(x) if x else "" for x in cols["answer"]]
             found = [units(x, profiles, x) if x else [] for x in own]
             said = [body(x) if x else "" for x in cols["cue"]]
-            asked = [units(x, profiles, x) if x else [] for x in said]
-            profiles.measure((u[1], u[4]) for us in (*found, *asked) for u in us)
+            asked = [content_words(x) if x else ([], "", "") for x in said]
+            profiles.measure([(u[1], u[4]) for us in found for u in us] + [(g, w) for _, g, w in asked if w])
             rows = []
-            for key, id_, target, answer, uncertain, cue, text, us, src, vs in zip(*cols.values(), own, found, said, asked):
+            for key, id_, target, answer, uncertain, cue, text, us, src, (words, group, joined) in zip(*cols.values(), own, found, said, asked):
                 defect = check(cue, answer, target, uncertain, profiles, boundaries, text, src, us)
                 op = opening(text) if defect not in ("empty", "copy") and text else None
-                plang = main_language(passages(src, profiles, src, vs)) if op and src else None
-                rows.append((key, id_, defect, op or None, plang, content_words(src) if plang else None, xxhash.xxh64_intdigest(op) - (1 << 63) if op else None))
+                plang = profiles.classify(joined, group)[0] if op and joined else None
+                rows.append((key, id_, defect, op or None, plang, words if plang else None, xxhash.xxh64_intdigest(op) - (1 << 63) if op else None))
             out = list(zip(*rows)) or [[]] * len(_OUT)
             yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(out, _OUT)], schema=_OUT)
 
@@ -219,65 +233,106 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by band; each opening of a band is verified against the band's leaders and joins those near it, or leads."""
-    band, leaders = None, []
+    """Rows come sorted by band; each opening of a band joins the first of the band's leaders it is near to, or leads.
+
+    Two sets of tokens as near as ``SIMILAR`` have one of the first tokens of either in common, so leaders are found by those.
+    """
+    band, leaders = None, {}
     for b in batches:
         out: list[tuple[int, int]] = []
         for k, h, toks in zip(*(b.column(c).to_pylist() for c in ("band", "oh", "toks"))):
             if k != band:
-                band, leaders = k, []
-            own = set(toks)
-            near = [x for x, ts in leaders if len(own & ts) >= SIMILAR * len(own | ts)]
-            out += [(h, x) for x in near]
-            if not near:
-                leaders.append((h, own))
+                band, leaders = k, {}
+            own, n = set(toks), len(toks)
+            head = toks[: n - math.ceil(SIMILAR * n - 1e-9) + 1]
+            seen: set[int] = set()
+            lead = None
+            for t in head:
+                for x, ts in leaders.get(t, ()):
+                    if x not in seen:
+                        seen.add(x)
+                        both = len(own & ts)
+                        if both >= SIMILAR * (n + len(ts) - both):
+                            lead = x
+                            break
+                if lead is not None:
+                    break
+            if lead is None:
+                for t in head:
+                    leaders.setdefault(t, []).append((h, own))
+            else:
+                out.append((h, lead))
         cols = list(zip(*out)) or [[]] * 2
         yield pa.record_batch([pa.array(list(c), pa.int64()) for c in cols], schema=_EDGES)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``id, comp``: connected components of the links ``a, b``; labels go along links until none changes, each round a table."""
-    both = staged(edges.union(edges.select("b", "a")).distinct(), "links")
+    """``id, comp``: connected components of the links ``a, b``.
+
+    Every round roots hook onto the least root they are linked to and all labels jump to their label's label, so the rounds
+    grow with the logarithm of the longest chain; each round is a table in the shared folder.
+    """
+    links = staged(edges.where("a <> b").distinct(), "links")
+    both = links.union(links.select("b", "a"))
+    alone = edges.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("comp"))
     labels = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("comp")), "labels")
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        moved = labels.join(near, labels.id == near.a).select("id", F.least("comp", "near").alias("comp"), (F.col("near") < F.col("comp")).alias("moved"))
-        labels = staged(moved, "labels")
-        if labels.where("moved").limit(1).count() == 0:
-            return labels.select("id", "comp")
-
-
-def opening_clusters(features: DataFrame) -> DataFrame:
-    """``oh, comp`` of openings that are near others; all others are their own cluster."""
+        near = links.join(labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
+        hooks = near.where("ca <> cb").groupBy(F.greatest("ca", "cb").alias("root")).agg(F.min(F.least("ca", "cb")).alias("onto"))
+        hooks = staged(hooks, "hooks")
+        if hooks.limit(1).count() == 0:
+            return labels.union(alone).groupBy("id").agg(F.min("comp").alias("comp"))
+        hooked = labels.join(hooks, labels.comp == hooks.root, "left").select("id", F.least("comp", F.coalesce("onto", "comp")).alias("comp"))
+        hooked = staged(hooked, "labels")
+        jump = hooked.select(F.col("id").alias("_id"), F.col("comp").alias("_comp"))
+        labels = staged(hooked.join(jump, hooked.comp == jump._id, "left").select("id", F.least("comp", F.coalesce("_comp", "comp")).alias("comp")), "labels")
+
+
+def opening_links(features: DataFrame) -> DataFrame:
+    """``a, b``: verified links of different openings to the leaders of their bands."""
     different = features.where("oh IS NOT NULL").groupBy("oh").agg(F.first("opening").alias("opening"))
     n = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     banded = different.mapInArrow(_banded, "band bigint, oh bigint, toks array<int>").repartition(n, "band").sortWithinPartitions("band", "oh")
-    return components(banded.mapInArrow(_verified, "a bigint, b bigint").distinct()).select(F.col("id").alias("oh"), "comp")
+    return staged(banded.mapInArrow(_verified, "a bigint, b bigint").distinct(), "edges")
+
+
+def _overlap(prompts: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: prompts ``k``, their ``words``, and ``shared``, the words that stand in another prompt too, averaged over all pairs."""
+    per = prompts.withColumn("w", F.explode("words")).groupBy(*keys, "w").agg(F.count("*").alias("c"))
+    words = per.groupBy(*keys).agg(F.sum("c").alias("words"), F.sum(F.expr("c * (c - 1.0D)")).alias("pairs"))
+    n = prompts.groupBy(*keys).agg(F.count("*").alias("k"))
+    return words.join(n, keys).withColumn("shared", F.expr("pairs / greatest(k - 1, 1)"))
+
+
+def _relation(prompts: DataFrame, usual: DataFrame) -> DataFrame:
+    """``comp, k, rel``: how far the overlap of a cluster's prompts goes from the usual one of their languages (0) to equality (1)."""
+    own = _overlap(prompts, ["comp", "plang"]).where("k > 1")
+    per = own.join(F.broadcast(usual), "plang").groupBy("comp").agg(F.sum("shared").alias("s"), F.sum("words").alias("w"), F.sum("k").alias("k"), F.sum(F.expr("usual * words")).alias("u"))  # usual: one row per language
+    return per.select("comp", "k", F.expr("(s - u) / greatest(w - u, 1e-9)").alias("rel"))
 
 
 def refusal_openings(features: DataFrame) -> DataFrame:
     """``oh`` of the openings in clusters whose prompts are no more alike than any.
 
-    Of a cluster's prompts of one language, ``shared`` words stand in another of them too, on average of all pairs; the
-    same figure over all prompts of the language is what any two have in common.  Both come from counts of words, so no
-    pairs are formed, and a cluster of two prompts is judged by the same rule as one of a million.
+    Of a cluster's prompts of one language, so many words stand in another of them too, on average of all pairs; the same
+    figure over all prompts of the language is what any two have in common.  Both come from counts of words, so no pairs
+    are formed, and a cluster of two prompts is judged by the same rule as one of a million.  First every opening is judged
+    with the openings that have the same leader; those whose prompts are clearly alike are translations and link nothing.
+    What is left is linked to components, which are judged again.
     """
-    clusters = opening_clusters(features)
-    prompts = features.where(f"oh IS NOT NULL AND plang IS NOT NULL AND size(words) >= {LEAST_WORDS}").select("oh", "plang", "words")
-    named = prompts.join(clusters, "oh", "left").select(F.coalesce("comp", "oh").alias("comp"), "plang", "words")
-
-    def alike(keys: list[str]) -> DataFrame:
-        per = named.withColumn("w", F.explode("words")).groupBy(*keys, "w").agg(F.count("*").alias("c"))
-        words = per.groupBy(*keys).agg(F.sum("c").alias("words"), F.sum(F.expr("c * (c - 1.0D)")).alias("pairs"))
-        return words.join(named.groupBy(*keys).agg(F.count("*").alias("k")), keys)
-
-    own = alike(["comp", "plang"]).where("k > 1").withColumn("shared", F.expr("pairs / (k - 1)"))
-    usual = alike(["plang"]).select("plang", F.expr("pairs / greatest(k - 1, 1) / words").alias("usual"))
-    per = own.join(F.broadcast(usual), "plang").groupBy("comp").agg(F.sum("shared").alias("shared"), F.sum("words").alias("words"), F.sum("k").alias("k"), F.sum(F.expr("usual * words")).alias("usual"))  # usual: one row per language
-    refused = per.where(f"shared < usual + {RELATED} * (1 - 1 / k) * (words - usual)").select("comp")
-    # An opening near no other is its own cluster.
-    near = clusters.join(refused, "comp", "left_semi").select("oh")
-    return near.union(refused.select(F.col("comp").alias("oh"))).distinct()
+    prompts = staged(features.where(f"oh IS NOT NULL AND plang IS NOT NULL AND size(words) >= {LEAST_WORDS}").select("oh", "plang", "words"), "prompts")
+    usual = staged(_overlap(prompts, ["plang"]).select("plang", F.expr("shared / words").alias("usual")), "usual")
+    links = opening_links(features)
+    stars = staged(links.groupBy(F.col("a").alias("oh")).agg(F.least(F.min("a"), F.min("b")).alias("comp")), "stars")
+    first = _relation(prompts.join(stars, "oh", "left").select(F.coalesce("comp", "oh").alias("comp"), "plang", "words"), usual)
+    alike = staged(first.where(f"rel > {CLEARLY}").select("comp"), "alike")
+    translated = stars.join(alike, "comp").select("oh").union(alike.select(F.col("comp").alias("oh"))).distinct()
+    open_links = links.join(translated.withColumnRenamed("oh", "a"), "a", "left_anti").join(translated.withColumnRenamed("oh", "b"), "b", "left_anti")
+    clusters = staged(components(open_links.select("a", "b")), "clusters")
+    rest = prompts.join(translated, "oh", "left_anti").join(clusters.withColumnRenamed("id", "oh"), "oh", "left").select(F.coalesce("comp", "oh").alias("comp"), "plang", "words")
+    refused = _relation(rest, usual).where(f"rel < {RELATED} * (1 - 2 / k)").select("comp")
+    near = clusters.join(refused, "comp", "left_semi").select(F.col("id").alias("oh"))
+    return near.union(refused.select(F.col("comp").alias("oh"))).distinct()  # an opening near no other is its own cluster
 
 
 def p7_found(translations: DataFrame, cues: DataFrame, salts: int = 8) -> DataFrame:
