@@ -1,4 +1,4 @@
-"""Unicode text kernels: graphemes, tokens, display width, sentence boundaries and width-bounded segmentation.
+"""Unicode text kernels: graphemes, tokens, display width and sentence boundaries (segmentation is in ``segmenting``).
 
 They run as Arrow batches in Python, as the JVM's grapheme rules differ for Indic scripts; offsets are code points.
 """
@@ -12,9 +12,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _G = regex.compile(r"\X")
-_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
-#: Marks that end a sentence, and softer ones that may end a line.
-HARD, SOFT = "。！？!?…।؟", "，、；：,;:"
+#: Marks that end a sentence, softer ones that may end a line, and tails behind which nothing is joined.
+HARD, SOFT = "。！？!?…؟۔।॥", "，、,;；:：،؛"
+TAILS = HARD + "."
+_FLAG = range(0x1F1E6, 0x1F200)
+_SKIN = range(0x1F3FB, 0x1F400)
+
+
+def is_han(ch: str) -> bool:
+    """An ideograph."""
+    return bool(ch) and (0x3400 <= ord(ch) <= 0x9FFF or 0x20000 <= ord(ch) <= 0x323AF)
+
+
+def is_unspaced(ch: str) -> bool:
+    """A letter of a script written without blanks between words (Han, kana, Thai, Lao, Khmer, Burmese)."""
+    return is_han(ch) or any(a <= ord(ch) <= b for a, b in ((0x3040, 0x30FF), (0x0E00, 0x0EFF), (0x1780, 0x17FF), (0x1000, 0x109F)))
+
+
+def chinese_rules(text: str, language: str | None) -> bool:
+    """P1, of one text: language ``zh`` and neither kana nor Hangul."""
+    return language == "zh" and not any(0x3040 <= ord(c) <= 0x30FF or 0xAC00 <= ord(c) <= 0xD7AF for c in text)
 
 
 def graphemes(text: str) -> list[tuple[int, int]]:
@@ -33,7 +50,7 @@ def tokens(text: str) -> list[tuple[int, int]]:
         if ch.isspace() or kind in "PC":
             between += ch
             continue
-        unspaced = bool(_UNSPACED.match(ch))
+        unspaced = is_unspaced(ch[0])
         if kind in "LNM" and not unspaced and glue and between in ("", "'", "’", "-"):
             out[-1][1] = b
         else:
@@ -43,16 +60,38 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _cluster_halves(cluster: str) -> int:
+    """Half-width units of one cluster: marks and joined characters count nothing, a flag or an emoji form two."""
+    if len(cluster) == 1:
+        ch = cluster
+        if unicodedata.category(ch) in ("Cc", "Cf", "Mn", "Me", "Mc", "Zl", "Zp"):
+            return 0
+        return 2 if unicodedata.east_asian_width(ch) in "WF" else 1
+    if any(unicodedata.category(ch) == "Cc" for ch in cluster):
+        return 0
+    if ord(cluster[0]) in _FLAG:
+        return 2
+    n, joined = 0, False
+    for ch in cluster:
+        if joined:
+            joined = False
+        elif ch == "\u200d":
+            joined = True
+        elif ch == "\ufe0f":
+            n = max(n, 2)
+        elif not (n and ord(ch) in _SKIN):
+            n += _cluster_halves(ch)
+    return n
+
+
 def _halves(text: str) -> list[int]:
-    """Display width of ``text[:i]`` in half-width units, for every ``i``; a cluster counts by its first visible character."""
+    """Display width of ``text[:i]`` in half-width units, for every ``i``."""
+    if text.isascii() and text.isprintable():
+        return list(range(len(text) + 1))
     out = [0] * (len(text) + 1)
     at = 0
     for a, b in graphemes(text):
-        for ch in text[a:b]:
-            if unicodedata.combining(ch) or unicodedata.category(ch) in ("Cc", "Cf", "Mn", "Me"):
-                continue
-            at += 2 if unicodedata.east_asian_width(ch) in "WF" else 1
-            break
+        at += _cluster_halves(text[a:b])
         out[a + 1 : b + 1] = [at] * (b - a)
     return out
 
@@ -78,52 +117,12 @@ def boundary(text: str, i: int, soft: bool = False) -> bool:
     return ch in HARD or (soft and ch in SOFT)
 
 
-def wrap(text: str, most: float, first: int = 0, end: int | None = None, halves: list[int] | None = None) -> list[tuple[int, int]]:
-    """Spans of the fewest pieces no wider than ``most``, evened out where that keeps them within it; cut at tokens."""
-    end = len(text) if end is None else end
-    halves = halves or _halves(text)
-    whole = _span_width(text, halves, first, end)
-    starts = [] if whole <= most else [first + a for a, _ in tokens(text[first:end])]
-    if not starts:
-        return [(first, end)]
-
-    def cut(limit: float) -> list[tuple[int, int]]:
-        out, at, last = [], first, first
-        for s in [*starts[1:], end]:
-            if _span_width(text, halves, at, s) > limit and last > at:
-                out.append((at, last))
-                at = last
-            last = s
-        return [*out, (at, end)]
-
-    def widest(spans: list[tuple[int, int]]) -> float:
-        return max(_span_width(text, halves, a, b) for a, b in spans)
-
-    greedy = cut(most)
-    even = cut(whole / len(greedy) + 0.5)
-    return even if len(even) <= len(greedy) and widest(even) <= max(most, widest(greedy)) else greedy
-
-
-def segments(text: str, most: float) -> list[tuple[int, int]]:
-    """G1: pieces at marks, joined again while they fit (not past a hard end), over-wide ones wrapped; joined they are the text."""
-    halves = _halves(text)
-    cuts = sorted({0, len(text), *(i + 1 for i, ch in enumerate(text) if (ch in HARD or ch in SOFT or ch == ".") and boundary(text, i, soft=True))})
-    edges = {b for _, b in graphemes(text)} | {0}
-    cuts = [c for c in cuts if c in edges]
-    out: list[list[int]] = []
-    closed = False
-    for a, b in zip(cuts, cuts[1:]):
-        if out and not closed and _span_width(text, halves, out[-1][0], b) <= most:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-        closed = b > 0 and boundary(text, b - 1)
-    return [s for a, b in out for s in wrap(text, most, a, b, halves)]
-
-
 def _each(fn, kind: str):
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: fn(t) if isinstance(t, str) else None)
+        known: dict = {None: None}  # texts repeat
+        for t in s.unique():
+            known[t] = fn(t) if isinstance(t, str) else None
+        return pd.Series([known.get(t) for t in s], dtype=object)
 
     return F.pandas_udf(run, kind)
 
@@ -140,6 +139,6 @@ def grapheme_count(c) -> Column:
     return _each(lambda t: len(graphemes(t)), "int")(c)
 
 
-def segment_spans(c, most: float) -> Column:
-    """G1 as an array of spans; null text gives null."""
-    return _each(lambda t: [{"a": a, "b": b} for a, b in segments(t, most)], "array<struct<a:int,b:int>>")(c)
+def boundary_count(c, soft: bool = False) -> Column:
+    """P3 by text: how many offsets may end a sentence."""
+    return _each(lambda t: sum(boundary(t, i, soft) for i, ch in enumerate(t) if ch in HARD or ch == "." or (soft and ch in SOFT)), "int")(c)

@@ -1,4 +1,4 @@
-"""Clusters, ranges and batches: what needs memory of the rows before is a streamed fold, all else windows."""
+"""Clusters and batches: what needs memory of the rows before is a streamed fold, all else windows."""
 
 from __future__ import annotations
 
@@ -10,60 +10,68 @@ from cuegrid.operators.fold import fold
 
 
 class _Cluster:
-    def __init__(self, span: float):
-        self.span, self.first, self.rows, self.no = span, None, [], 0
+    """State of one open cluster; it closes on a pause after its own last end, then on its span."""
+
+    def __init__(self, gap: float, span: float):
+        self.gap, self.span, self.rec = gap, span, None
 
     def row(self, r: dict) -> list[tuple]:
-        out = []
-        if self.rows and r["end_ms"] - self.first > self.span:
-            out = self.end()
-        if not self.rows:
-            self.first, self.seen, self.n, self.least, self.end_ms = r["start_ms"], set(), 0, r["cue_id"], r["end_ms"]
-            self.rows = [r["rec_id"]]
+        full = self.rec is not None and (r["start_ms"] - self.end_ms > self.gap or r["end_ms"] - self.first > self.span)
+        out = self.end() if full else []
+        if self.rec is None:
+            self.rec, self.first, self.seen, self.n, self.least, self.end_ms = r["rec_id"], r["start_ms"], set(), 0, r["cue_id"], r["end_ms"]
         self.seen.add(r["speaker"])
         self.n += 1
         self.end_ms = max(self.end_ms, r["end_ms"])
         return out
 
     def end(self) -> list[tuple]:
-        if not self.rows:
-            return []
-        rec = self.rows[0]
-        self.rows = []
-        return [(rec, self.least, self.first, self.end_ms, self.n, len(self.seen))] if len(self.seen) > 1 else []
+        rec, self.rec = self.rec, None
+        return [(rec, self.least, self.first, self.end_ms, self.n, len(self.seen))] if rec is not None and len(self.seen) > 1 else []
 
 
 _CLUSTERS = pa.schema([("rec_id", pa.string()), ("first_cue", pa.int64()), ("start_ms", pa.float64()), ("end_ms", pa.float64()), ("n", pa.int64()), ("speakers", pa.int64())])
 
 
+def _islands(cues: DataFrame, gap_ms: float) -> DataFrame:
+    """``island``: a pause after all that came before closes every cluster, so a hot recording is many keys."""
+    w = Window.partitionBy("rec_id").orderBy("start_ms", "end_ms", "cue_id")
+    c = cues.where("start_ms IS NOT NULL AND end_ms IS NOT NULL AND rec_id IS NOT NULL")
+    c = c.withColumn("fresh", F.coalesce((F.col("start_ms") - F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1)) > gap_ms).cast("int"), F.lit(1)))
+    return c.withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
+
+
 def crosstalk_clusters(cues: DataFrame, gap_ms: float = 800, span_ms: float = 40_000) -> DataFrame:
     """Groups of cues without a pause over ``gap_ms`` and no longer than ``span_ms``, with at least two speakers.
 
-    A pause always closes a group, so islands between pauses are found by a window and folded one by one: a hot recording
-    is many keys.  A null speaker counts as one.
+    Both limits are told by the group's own cues: behind a span cut, what lasted longer before counts no more.  A null
+    speaker counts as one; cues without times are left out.
     """
-    w = Window.partitionBy("rec_id").orderBy("start_ms", "cue_id")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    c = cues.select("rec_id", "cue_id", "start_ms", "end_ms", "speaker")
-    c = c.withColumn("fresh", F.coalesce(F.expr("CAST(1 AS INT)") * (F.col("start_ms") - F.max("end_ms").over(before) > gap_ms).cast("int"), F.lit(1)))
-    c = c.withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
-    return fold(c, ["rec_id", "island"], ["start_ms", "cue_id"], lambda: _Cluster(span_ms), "rec_id string, first_cue bigint, start_ms double, end_ms double, n bigint, speakers bigint", _CLUSTERS)
+    c = _islands(cues.select("rec_id", "cue_id", "start_ms", "end_ms", "speaker"), gap_ms)
+    return fold(c, ["rec_id", "island"], ["start_ms", "end_ms", "cue_id"], lambda: _Cluster(gap_ms, span_ms), "rec_id string, first_cue bigint, start_ms double, end_ms double, n bigint, speakers bigint", _CLUSTERS)
 
 
-def merge_ranges(items: DataFrame) -> DataFrame:
-    """T4 + A9: ranges ``rec_id, cue, cue_end, category, severity`` (0 worst) that overlap or adjoin become one entry.
+class _Member(_Cluster):
+    """The same clusters, but each cue is given the first cue of its own; the speakers are counted afterwards."""
 
-    Per category the worst severity stays; the label lists them worst first.
-    """
-    w = Window.partitionBy("rec_id").orderBy("cue", "cue_end", "category", "severity")
-    i = items.withColumn("reach", F.max("cue_end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    i = i.withColumn("g", F.sum(F.expr("CASE WHEN reach IS NULL OR cue > reach + 1 THEN 1 ELSE 0 END")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    tags = i.groupBy("rec_id", "g", "category").agg(F.min("severity").alias("severity"), F.min("cue").alias("cue"), F.max("cue_end").alias("cue_end"))
-    return tags.groupBy("rec_id", "g").agg(
-        F.min("cue").alias("cue"), F.max("cue_end").alias("cue_end"), F.min("severity").alias("top_severity"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("severity", "category"))), lambda x: F.concat(x["category"], F.lit(":"), x["severity"].cast("string"))), "｜").alias("label"),
-        F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"),
-    ).drop("g")
+    def row(self, r: dict) -> list[tuple]:
+        super().row(r)
+        return [(r["rec_id"], r["cue_id"], self.least)]
+
+    def end(self) -> list[tuple]:
+        self.rec = None
+        return []
+
+
+_MEMBERS = pa.schema([("rec_id", pa.string()), ("cue_id", pa.int64()), ("first_cue", pa.int64())])
+
+
+def cluster_members(cues: DataFrame, gap_ms: float = 800, span_ms: float = 40_000) -> DataFrame:
+    """T3 by cue: ``rec_id, cue_id, first_cue`` of the cues in clusters of at least two speakers."""
+    c = _islands(cues.select("rec_id", "cue_id", "start_ms", "end_ms", "speaker"), gap_ms)
+    m = fold(c, ["rec_id", "island"], ["start_ms", "end_ms", "cue_id"], lambda: _Member(gap_ms, span_ms), "rec_id string, cue_id bigint, first_cue bigint", _MEMBERS)
+    several = crosstalk_clusters(cues, gap_ms, span_ms).select("rec_id", "first_cue")
+    return m.join(several, ["rec_id", "first_cue"], "left_semi").select("rec_id", "cue_id", "first_cue")
 
 
 class _Batch:
@@ -89,31 +97,3 @@ def batches(cues: DataFrame, most_cues: int = 100, most_chars: int = 4000) -> Da
     return fold(c, ["rec_id"], ["start_ms", "cue_id"], lambda: _Batch(most_cues, most_chars), "rec_id string, cue_id bigint, batch bigint", schema)
 
 
-class _Highlights:
-    """Keeps one pending item, as a chapter may still replace it."""
-
-    def __init__(self, gap: float):
-        self.gap, self.last, self.seen = gap, None, set()
-
-    def row(self, r: dict) -> list[tuple]:
-        if r["key"] in self.seen:
-            return []
-        out = []
-        if self.last is not None and r["start_ms"] - self.last["start_ms"] < self.gap:
-            if not (r["kind"] == "chapter" and self.last["kind"] != "chapter"):
-                return []
-            self.seen.discard(self.last["key"])
-        elif self.last is not None:
-            out = [(self.last["rec_id"], self.last["cue_id"], self.last["kind"])]
-        self.last = r
-        self.seen.add(r["key"])
-        return out
-
-    def end(self) -> list[tuple]:
-        return [(self.last["rec_id"], self.last["cue_id"], self.last["kind"])] if self.last else []
-
-
-def dedupe_highlights(items: DataFrame, gap_ms: float = 8000) -> DataFrame:
-    """Items ``rec_id, cue_id, start_ms, kind, key``: repeated texts and items too near the last kept one go; a chapter replaces a highlight."""
-    schema = pa.schema([("rec_id", pa.string()), ("cue_id", pa.int64()), ("kind", pa.string())])
-    return fold(items.select("rec_id", "cue_id", "start_ms", "kind", "key"), ["rec_id"], ["start_ms", "cue_id"], lambda: _Highlights(gap_ms), "rec_id string, cue_id bigint, kind string", schema)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-import re
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -12,40 +12,81 @@ from pyspark.sql import functions as F
 
 from cuegrid.operators.fold import fold
 
-_STRIP = re.compile(r"[\W_]+")
+#: What the two normalisers leave out (cross-channel duplicates; anchoring of quotes).
+_MARKS = r"[\s，。！？；：、,.!?;:…—～~“”\"'‘’()（）《》]+"
+_QUOTE_MARKS = r"[\s，。、；：,.;:！？!?]+"
 
 
-def similarity(a: str, b: str) -> float:
-    """Ratcliff-Obershelp ratio of the texts without marks and blanks; not symmetric."""
-    x, y = _STRIP.sub("", a or ""), _STRIP.sub("", b or "")
-    if x == y:
-        return 1.0
-    m = difflib.SequenceMatcher(None, x, y)
-    return m.ratio()
-
-
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+def normal(c: Column, marks: str = _MARKS) -> Column:
+    """a text without marks and blanks; null becomes empty."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)" + marks, "")
 
 
-def ratio(a: str, b: str) -> Column:
-    """``similarity`` in Arrow batches."""
-    return F.pandas_udf(_ratio, "double")(a, b)
-
-
-def overlapping_pairs(cues: DataFrame, bucket_ms: int = 10_000) -> DataFrame:
+def similarity(a: str, b: str) -> float:
+    """Ratcliff-Obershelp ratio, ``a`` sought in ``b``; not symmetric.  Two empty texts are alike."""
+    return 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def may_reach(a: Column, b: Column, least: float) -> Column:
+    """Whether the ratio of two texts can be ``least``: no more characters match than the shorter text has."""
+    x, y = F.length(a), F.length(b)
+    return 2 * F.least(x, y) >= least * (x + y) - 1e-9
+
+
+def _ratio(least: float):
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        """The ratio, or -1 where the shared characters already show that it is under ``least``; one matcher serves equal second texts."""
+        out, m, of = [], difflib.SequenceMatcher(None), None
+        seen: dict = {}
+        for x, y in zip(a, b):
+            hit = seen.get((x, y))
+            if hit is None:
+                if x == y:
+                    hit = 1.0
+                elif 2.0 * (Counter(x) & Counter(y)).total() < least * (len(x) + len(y)) - 1e-9:
+                    hit = -1.0
+                else:
+                    if y != of:
+                        m.set_seq2(y)
+                        of = y
+                    m.set_seq1(x)
+                    hit = m.ratio()
+                seen[x, y] = hit
+            out.append(hit)
+        return pd.Series(out, dtype="float64")
+
+    return run
+
+
+def ratio(a: str, b: str, least: float = 0.0) -> Column:
+    """``similarity`` in Arrow batches; below ``least`` it may come out as -1."""
+    return F.pandas_udf(_ratio(least), "double")(a, b)
+
+
+def overlapping_pairs(cues: DataFrame, bucket_ms: int = 10_000, longest_ms: int = 3_600_000) -> DataFrame:
     """Pairs of a recording's cues of different speakers that overlap in time, each once.
 
     Rows are put into the time buckets they touch and joined on (recording, bucket), so a hot recording is many keys; a
-    pair is kept in the bucket in which its later start lies.
+    pair is kept in the bucket in which its later start lies.  Cues longer than ``longest_ms`` (wild stamps) go into
+    buckets of that length instead, so that no row explodes without bound: they meet all others there.
     """
-    b = cues.where("end_ms > start_ms").withColumn("bucket", F.explode(F.expr(f"sequence(CAST(floor(start_ms / {bucket_ms}) AS BIGINT), CAST(floor(end_ms / {bucket_ms}) AS BIGINT))")))
-    cols = ["cue_id", "start_ms", "end_ms", "speaker", "text", "level"]
-    x = b.select("rec_id", "bucket", *[F.col(c).alias(f"a_{c}") for c in cols])
-    y = b.select("rec_id", "bucket", *[F.col(c).alias(f"b_{c}") for c in cols])
+    c = cues.where("end_ms > start_ms")
+
+    def bucketed(rows: DataFrame, size: int) -> DataFrame:
+        span = f"sequence(CAST(floor(start_ms / {size}) AS BIGINT), CAST(floor(least(end_ms, start_ms + 4096.0D * {size}) / {size}) AS BIGINT))"
+        return rows.withColumn("bucket", F.explode(F.expr(span)))
+
+    cols = ["cue_id", "start_ms", "end_ms", "speaker", "norm", "level"]
     first = "(a_start_ms < b_start_ms OR (a_start_ms = b_start_ms AND a_cue_id < b_cue_id))"
-    near = f"a_start_ms < b_end_ms AND b_start_ms < a_end_ms AND NOT (a_speaker <=> b_speaker) AND {first} AND bucket = CAST(floor(b_start_ms / {bucket_ms}) AS BIGINT)"
-    return x.join(y, ["rec_id", "bucket"]).where(near).drop("bucket")
+
+    def joined(x: DataFrame, y: DataFrame, size: int) -> DataFrame:
+        x = bucketed(x, size).select("rec_id", "bucket", *[F.col(k).alias(f"a_{k}") for k in cols])
+        y = bucketed(y, size).select("rec_id", "bucket", *[F.col(k).alias(f"b_{k}") for k in cols])
+        near = f"a_start_ms < b_end_ms AND b_start_ms < a_end_ms AND NOT (a_speaker <=> b_speaker) AND {first} AND bucket = CAST(floor(b_start_ms / {size}) AS BIGINT)"
+        return x.join(y, ["rec_id", "bucket"]).where(near).drop("bucket")
+
+    short, long = c.where(f"end_ms - start_ms <= {longest_ms}"), c.where(f"end_ms - start_ms > {longest_ms}")
+    return joined(short, short, bucket_ms).union(joined(short, long, longest_ms)).union(joined(long, c, longest_ms))
 
 
 class _Greedy:
@@ -55,7 +96,8 @@ class _Greedy:
     def row(self, r: dict) -> list[tuple]:
         if r["a_cue_id"] in self.dropped or r["b_cue_id"] in self.dropped:
             return []
-        lose = r["a_cue_id"] if (r["a_level"] or -90.0) < (r["b_level"] or -90.0) else r["b_cue_id"]
+        a, b = (-90.0 if r[k] is None else r[k] for k in ("a_level", "b_level"))
+        lose = r["a_cue_id"] if a < b else r["b_cue_id"]
         self.dropped.add(lose)
         return [(r["rec_id"], lose, r["b_cue_id"] if lose == r["a_cue_id"] else r["a_cue_id"])]
 
@@ -70,7 +112,9 @@ def dedupe_cross_channel(cues: DataFrame, similar: float = 0.55, overlap: float
     keyed by islands of overlapping pairs.
     """
     share = f"(least(a_end_ms, b_end_ms) - greatest(a_start_ms, b_start_ms)) >= {overlap} * least(a_end_ms - a_start_ms, b_end_ms - b_start_ms)"
-    p = overlapping_pairs(cues).where(share).withColumn("sim", ratio("a_text", "b_text")).where(f"sim >= {similar}")
+    c = cues.withColumn("norm", normal(F.col("text"))).where("norm <> ''")  # nothing said is no repetition
+    p = overlapping_pairs(c).where(share).where(may_reach(F.col("a_norm"), F.col("b_norm"), similar))
+    p = p.withColumn("sim", ratio("a_norm", "b_norm", similar)).where(f"sim >= {similar}")
     w = Window.partitionBy("rec_id").orderBy("a_start_ms", "a_cue_id", "b_start_ms", "b_cue_id")
     reach = F.max(F.greatest("a_end_ms", "b_end_ms")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     p = p.withColumn("island", F.sum(F.coalesce((F.col("a_start_ms") >= reach).cast("int"), F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -79,20 +123,31 @@ def dedupe_cross_channel(cues: DataFrame, similar: float = 0.55, overlap: float
     return fold(p, ["rec_id", "island"], ["a_start_ms", "a_cue_id", "b_start_ms", "b_cue_id"], _Greedy, "rec_id string, cue_id bigint, kept_id bigint", schema)
 
 
-def anchor(items: DataFrame, cues: DataFrame, least: float = 0.6, reach_ms: int = 60_000) -> DataFrame:
-    """J7 on ``rec_id, item_id, time_ms, quote``: the cue of the recording that says the quote best; ties by time, then id.
+def anchor(items: DataFrame, cues: DataFrame, least: float = 0.6) -> DataFrame:
+    """J7 on ``rec_id, item_id, time_ms, quote``: the cue of the recording that says the quote best, wherever it is.
 
-    A quote equal to a cue's text anchors wherever the cue is, by an equality join; others are compared with the cues
-    within ``reach_ms`` of the item, found by time bucket.
+    All cues of the recording are compared, as it is the times that cannot be trusted: those whose text is the quote by an
+    equality join, all others if length and shared letters let them reach ``least``.  Equal texts of a recording are
+    compared once, and joined back by the nearest start.  Ties go by distance in time, then by start and id.  Items
+    without a cue come out with ``anchored`` false and their own time, empty quotes with null.
     """
-    norm = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
-    i = items.withColumn("q", norm("quote")).where("q <> ''")
-    c = cues.select("rec_id", "cue_id", F.col("start_ms").alias("c_start"), F.col("text").alias("c_text")).withColumn("t", norm("c_text")).where("t <> ''")
-    exact = i.join(c.withColumnRenamed("t", "q"), ["rec_id", "q"]).withColumn("sim", F.lit(1.0))
-    ib = i.withColumn("bucket", F.explode(F.expr(f"sequence(CAST(floor(time_ms / {reach_ms}) AS BIGINT) - 1, CAST(floor(time_ms / {reach_ms}) AS BIGINT) + 1)")))
-    cb = c.withColumn("bucket", F.expr(f"CAST(floor(c_start / {reach_ms}) AS BIGINT)"))
-    near = ib.join(cb, ["rec_id", "bucket"]).where(f"abs(c_start - time_ms) <= {reach_ms}").withColumn("sim", ratio("quote", "c_text")).where(f"sim >= {least}")
-    cols = ["rec_id", "item_id", "time_ms", "cue_id", "c_start", "sim"]
-    w = Window.partitionBy("rec_id", "item_id").orderBy(F.desc("sim"), F.abs(F.col("c_start") - F.col("time_ms")), "cue_id")
-    return exact.select(*cols).union(near.select(*cols)).withColumn("rk", F.row_number().over(w)).where("rk = 1").select("rec_id", "item_id", "cue_id", F.col("c_start").alias("anchored_ms"))
-
+    c = cues.where("rec_id IS NOT NULL").select("rec_id", "cue_id", F.col("start_ms").alias("c_start"), normal(F.col("text"), _QUOTE_MARKS).alias("t")).where("t <> ''")
+    i = items.withColumn("q", normal(F.col("quote"), _QUOTE_MARKS))
+    asked = i.where("q <> ''").select("rec_id", "q").distinct()
+    said = c.groupBy("rec_id", "t").agg(F.count("*").alias("times")).withColumn("n", F.length("t"))
+    exact = asked.join(said, (asked.rec_id == said.rec_id) & (asked.q == said.t), "left_semi").select("rec_id", "q", F.col("q").alias("t"), F.lit(1.0).alias("sim"))
+    open_ = asked.join(exact.select("rec_id", "q"), ["rec_id", "q"], "left_anti")
+    # Candidates by length: 2 min / (a + b) >= least bounds the lengths, so the join is on recording and band of length.
+    band = 8
+    lo, hi = F.floor(F.length("q") * least / (2 - least) / band), F.floor(F.length("q") * (2 - least) / least / band)
+    o = open_.withColumn("band", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))
+    s = said.withColumn("band", F.floor(F.col("n") / band).cast("int"))
+    near = o.join(s, ["rec_id", "band"]).where(may_reach(F.col("q"), F.col("t"), least)).withColumn("sim", ratio("q", "t", least)).where(f"sim >= {least}").select("rec_id", "q", "t", "sim")
+    best = near.groupBy("rec_id", "q").agg(F.max("sim").alias("sim")).join(near, ["rec_id", "q", "sim"]).select("rec_id", "q", "t", "sim").union(exact)
+    # Many cues may say the same: starts are kept sorted per text, and an item looks up the nearest.
+    starts = c.groupBy("rec_id", "t").agg(F.sort_array(F.collect_list(F.struct("c_start", "cue_id"))).alias("at"))
+    j = i.where("q <> ''").join(best, ["rec_id", "q"]).join(starts, ["rec_id", "t"])
+    j = j.withColumn("hit", F.expr("array_min(transform(at, x -> struct(CASE WHEN time_ms IS NULL THEN 0.0D ELSE coalesce(abs(x.c_start - time_ms), 1e18D) END AS d, x.c_start AS c_start, x.cue_id AS cue_id)))"))
+    w = Window.partitionBy("rec_id", "item_id").orderBy("hit.d", "hit.c_start", "hit.cue_id")
+    found = j.withColumn("rk", F.row_number().over(w)).where("rk = 1").select("rec_id", "item_id", F.col("hit.cue_id").alias("cue_id"), F.col("hit.c_start").alias("at_ms"), "sim")
+    return i.join(found, ["rec_id", "item_id"], "left").select("rec_id", "item_id", "cue_id", F.coalesce("at_ms", "time_ms").alias("anchored_ms"), F.expr("CASE WHEN q <> '' THEN cue_id IS NOT NULL END").alias("anchored"))

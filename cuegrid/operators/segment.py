@@ -1,120 +1,137 @@
-"""From sentences to cues and back: character times, segmentation, seams inside terms, line width, and lists for people."""
+"""From sentences to cues and back: segmentation as one Arrow operator, seams inside terms, line width, lists for people."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.functions.text import segments, tokens, width, wrap
+from cuegrid.functions.segmenting import NO_TERMS, PAUSE_MS, Line, Terms, flat_sentences, inside, segments, sentence_cues
+from cuegrid.functions.text import TAILS, _halves, _span_width, chinese_rules, display_width, width
 from cuegrid.operators.fold import fold
-from cuegrid.sources.subtitles import format_stamp
+from cuegrid.sources.subtitles import format_stamp, parse_stamp_strict
 
-PAUSE_MS, JOIN_GAP_MS, JOIN_WIDTH = 600, 500, 3.0
+JOIN_GAP_MS, JOIN_WIDTH = 500.0, 3.0
+_FLAT = pa.schema([("cue_id", pa.int64()), ("piece", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
 
 
-def char_times(text: str, start: float, end: float, words: list[dict] | None = None, stamps: list[dict] | None = None) -> list[tuple[float, float]]:
-    """begin and end of every code point: words found one after the other, else stamps of as many tokens, else even.
+def segment_texts(cues: DataFrame, most: float = 16.0, terms: Terms = NO_TERMS) -> DataFrame:
+    """G1 on ``cue_id, text, language``: ``cue_id, piece, a, b`` of every piece; redelivered cues are made distinct before, null texts have none."""
 
-    What stands between anchors is interpolated; times stay within the sentence and never run backwards.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, no, xs, ys = [], [], [], []
+            for c, t, lang in zip(*(b.column(k).to_pylist() for k in ("cue_id", "text", "language"))):
+                for i, (x, y) in enumerate(segments(t, most, terms, lang)):
+                    ids.append(c)
+                    no.append(i)
+                    xs.append(x)
+                    ys.append(y)
+            yield pa.record_batch([pa.array(v, f.type) for v, f in zip((ids, no, xs, ys), _FLAT)], schema=_FLAT)
+
+    return cues.where("text IS NOT NULL").select("cue_id", "text", "language").distinct().mapInArrow(run, "cue_id bigint, piece int, a int, b int")
+
+
+_CUE = pa.schema([("rec_id", pa.string()), ("sent_id", pa.int64()), ("piece", pa.int32()), ("start_ms", pa.float64()), ("end_ms", pa.float64()), ("text", pa.string()), ("speaker", pa.string()), ("language", pa.string())])
+_CUE_DDL = "rec_id string, sent_id bigint, piece int, start_ms double, end_ms double, text string, speaker string, language string"
+
+
+def cues_of_sentences(sentences: DataFrame, most: float = 16.0, pause_ms: float = PAUSE_MS, offset_ms: float = 0.0, diarize: bool = True, terms: Terms = NO_TERMS) -> DataFrame:
+    """G8 on ``rec_id, sent_id, start_ms, end_ms, text`` and, where there are such columns, ``spk, language, words, stamps, bystander``.
+
+    One row per cue; null and blank texts have none, a missing start is 0, a missing end the start.  Bystanders get no speaker.
     """
-    n = len(text)
-    if not n:
-        return []
-    anchors: list[tuple[int, int, float, float]] = []
-    at = 0
-    for w in words or []:
-        i = text.find((w.get("word") or "").strip(), at) if (w.get("word") or "").strip() else -1
-        if i >= 0:
-            at = i + len(w["word"].strip())
-            anchors.append((i, at, w["start"], w["end"]))
-    if not anchors and stamps and len(stamps) == len(t := tokens(text)):
-        anchors = [(a, b, s["s"], s["e"]) for (a, b), s in zip(t, stamps)]
-    edges = [start] + [None] * (n - 1) + [end]
-    for a, b, s, e in anchors:
-        for i in range(a, b + 1):
-            edges[i] = s + (e - s) * (i - a) / (b - a) if edges[i] is None or i == a else edges[i]
-    known = [i for i, x in enumerate(edges) if x is not None]
-    for i, j in zip(known, known[1:]):
-        for k in range(i + 1, j):
-            edges[k] = edges[i] + (edges[j] - edges[i]) * (k - i) / (j - i)
-    last = start
-    for i, x in enumerate(edges):
-        last = edges[i] = min(end, max(start, last, x))
-    return list(zip(edges, edges[1:]))
-
-
-def sentence_cues(text: str, start: float, end: float, most: float, words: list[dict] | None = None, pause_ms: float = PAUSE_MS) -> list[dict]:
-    """G8 + T11: segments of a sentence with times, also cut where the speaker pauses (``pause_ms`` of 0 turns that off)."""
-    times = char_times(text, start, end, words)
-    cuts = {0, len(text)} | {b for _, b in segments(text, most)}
-    if pause_ms > 0 and words:
-        cuts |= {i for i in range(1, len(text)) if times[i][0] - times[i - 1][1] >= pause_ms and i not in cuts}
-    at = sorted(cuts)
-    out = []
-    for a, b in zip(at, at[1:]):
-        if text[a:b].strip():
-            s = times[a][0]
-            out.append({"start_ms": s, "end_ms": min(end, max(times[b - 1][1], s + 1)), "text": text[a:b].strip()})
-    return out
-
-
-_CUE = "array<struct<start_ms:double,end_ms:double,text:string>>"
-
-
-def cues_of_sentences(sentences: DataFrame, most: float = 16.0) -> DataFrame:
-    """G8 on ``rec_id, sent_id, start_ms, end_ms, text``: one row per cue; null texts and times have none."""
-
-    def cut(t: pd.Series, s: pd.Series, e: pd.Series) -> pd.Series:
-        return pd.Series([sentence_cues(x, a, b, most) if isinstance(x, str) and a == a and b == b and b > a else [] for x, a, b in zip(t, s, e)])
-
-    u = F.pandas_udf(cut, _CUE)
-    return sentences.select("rec_id", "sent_id", F.posexplode(u("text", "start_ms", "end_ms")).alias("piece", "c")).select("rec_id", "sent_id", "piece", "c.start_ms", "c.end_ms", "c.text")
-
-
-def enforce_width(cues: DataFrame, most: float = 16.0) -> DataFrame:
-    """An over-wide one-line cue becomes several; its time is shared by width, the last piece ends where the cue does."""
-
-    def cut(t: pd.Series) -> pd.Series:
-        def one(x):
-            spans = [(0, len(x))] if "\n" in x or width(x) <= most else wrap(x, most)
-            return [{"t": x[a:b].strip(), "w": max(width(x[a:b]), 0.25)} for a, b in spans]
-
-        return t.map(lambda x: one(x) if isinstance(x, str) else [{"t": None, "w": 1.0}])
+    extra = {"spk": "int", "language": "string", "words": "array<struct<word:string,start:double,end:double>>", "stamps": "array<struct<s:double,e:double>>", "bystander": "boolean"}
+    cols = [F.col(c) if c in sentences.columns else F.lit(None).cast(t).alias(c) for c, t in extra.items()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for r, i, s, e, t, spk, lang, words, stamps, by in zip(*(c.to_pylist() for c in b.columns)):
+                who = f"spk{spk + 1}" if diarize and spk is not None and not by else None
+                for k, c in enumerate(sentence_cues(t, s, e, most, words, stamps, pause_ms, terms, lang or "auto")):
+                    rows.append((r, i, k, c["start_ms"] + offset_ms, c["end_ms"] + offset_ms, c["text"], who, lang or "auto"))
+            out = list(zip(*rows)) or [[]] * len(_CUE)
+            yield pa.record_batch([pa.array(list(v), f.type) for v, f in zip(out, _CUE)], schema=_CUE)
+
+    return sentences.select("rec_id", "sent_id", "start_ms", "end_ms", "text", *cols).mapInArrow(run, _CUE_DDL)
+
+
+def sentences_of_flat(texts: DataFrame) -> DataFrame:
+    """F4 on ``rec_id, text, stamps``: ``rec_id, sent_no, text, start_ms, end_ms``."""
+    cut = lambda t, s: pd.Series([flat_sentences(x, None if y is None else list(y)) for x, y in zip(t, s)])
+
+    def run(t: pd.Series, s: pd.Series) -> pd.Series:
+        return cut(t, s)
+
+    u = F.pandas_udf(run, "array<struct<text:string,start_ms:double,end_ms:double>>")
+    return texts.select("rec_id", F.posexplode(u("text", "stamps")).alias("sent_no", "x")).select("rec_id", "sent_no", "x.text", "x.start_ms", "x.end_ms")
+
+
+def enforce_width(cues: DataFrame, most: float = 16.0, terms: Terms = NO_TERMS) -> DataFrame:
+    """An over-wide one-line cue becomes several; its time is shared by width, the last piece ends where the cue does.
+
+    ``pieces`` tells into how many a cue went (1: as it was); null texts and times stay null.
+    """
+
+    def cut(t: pd.Series, lang: pd.Series) -> pd.Series:
+        def one(x, k):
+            if not isinstance(x, str):
+                return [{"t": None, "w": 1.0}]
+            if "\n" in x or width(x) <= most:
+                return [{"t": x, "w": 1.0}]
+            spans = Line(x, terms.protected(x, k)).wrap(0, len(x), most)
+            if len(spans) < 2:
+                return [{"t": x, "w": 1.0}]
+            h = _halves(x)
+            return [{"t": x[a:b].strip(), "w": _span_width(x, h, a, b)} for a, b in spans]
+
+        return pd.Series([one(x, k) for x, k in zip(t, lang)])
 
     u = F.pandas_udf(cut, "array<struct<t:string,w:double>>")
-    p = cues.withColumn("ps", u("text")).withColumn("total", F.expr("aggregate(ps, 0D, (s, p) -> s + p.w)"))
+    lang = F.col("language") if "language" in cues.columns else F.lit("auto")
+    p = cues.withColumn("ps", u("text", lang)).withColumn("total", F.expr("aggregate(ps, 0D, (s, p) -> s + p.w)")).withColumn("total", F.expr("CASE WHEN total = 0 THEN 1.0D ELSE total END"))
     p = p.select("*", F.posexplode("ps").alias("piece", "p")).withColumn("done", F.expr("aggregate(slice(ps, 1, piece), 0D, (s, q) -> s + q.w)"))
-    length = F.col("end_ms") - F.col("start_ms")
-    return p.withColumns(
-        {
-            "new_start": F.col("start_ms") + length * F.col("done") / F.col("total"),
-            "new_end": F.when(F.col("piece") == F.size("ps") - 1, F.col("end_ms")).otherwise(F.col("start_ms") + length * (F.col("done") + F.col("p.w")) / F.col("total")),
-        }
-    ).select("rec_id", "cue_id", "piece", F.col("new_start").alias("start_ms"), F.col("new_end").alias("end_ms"), "speaker", F.col("p.t").alias("text"))
+    span = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(1.0))
+    n = F.size("ps")
+    new = {
+        "new_start": F.when(n == 1, F.col("start_ms")).otherwise(F.col("start_ms") + span * F.col("done") / F.col("total")),
+        "new_end": F.when(F.col("piece") == n - 1, F.col("end_ms")).otherwise(F.col("start_ms") + span * (F.col("done") + F.col("p.w")) / F.col("total")),
+    }
+    return p.withColumns(new).select("rec_id", "cue_id", "piece", F.col("new_start").alias("start_ms"), F.col("new_end").alias("end_ms"), "speaker", F.col("p.t").alias("text"), n.alias("pieces"))
 
 
 class _Seams:
-    def __init__(self, terms: list[str], most: float):
-        self.pattern = re.compile("|".join(re.escape(t) for t in sorted(terms, key=lambda t: (-len(t), t))) or r"(?!)", re.I)
-        self.most, self.cur, self.n = most, None, 0
-
-    def _split_term(self, a: str, b: str) -> bool:
-        cut = len(a)
-        return any(m.start() < cut < m.end() for m in self.pattern.finditer(a + b))
+    def __init__(self, terms: Terms, most: float):
+        self.terms, self.most, self.cur, self.n = terms, most, None, 0
+
+    def _joined(self, c: dict, r: dict) -> str | None:
+        """The two texts as one, if their seam parts a term or a count and nothing speaks against it."""
+        head, tail = c["text"] or "", r["text"] or ""
+        if c["language"] != r["language"] or not chinese_rules(head + tail, r["language"]) or "\n" in head + tail or c["speaker"] != r["speaker"]:
+            return None
+        if c["end_ms"] is None or r["start_ms"] is None or r["start_ms"] - c["end_ms"] > JOIN_GAP_MS:
+            return None
+        latin = [x[-1:].isascii() and x[-1:].isalnum() for x in (head, tail[:1])]
+        glue = " " if all(latin) else ""
+        text, seam = head + glue + tail, len(head) + len(glue)
+        if width(text) > JOIN_WIDTH * self.most:
+            return None
+        if inside(seam, self.terms.glossary(text)):
+            return text
+        ended = c["sentence_end"] if c["sentence_end"] is not None else head.rstrip()[-1:] != "" and head.rstrip()[-1:] in TAILS
+        return None if ended or not inside(seam, self.terms.protected(text, r["language"])) else text
 
     def row(self, r: dict) -> list[tuple]:
         c = self.cur
-        if c is not None and c["text"] and r["text"] and "\n" not in c["text"] + r["text"] and c["speaker"] == r["speaker"] and r["start_ms"] - c["end_ms"] <= JOIN_GAP_MS:
-            glue = " " if re.search(r"[A-Za-z]$", c["text"]) and re.match(r"[A-Za-z]", r["text"]) else ""
-            joined = c["text"] + glue + r["text"]
-            if width(joined) <= JOIN_WIDTH * self.most and (self._split_term(c["text"], r["text"]) or self._split_term(c["text"] + glue, r["text"])):
-                c["text"], c["end_ms"] = joined, max(c["end_ms"], r["end_ms"])
-                self.n += 1
-                return []
+        text = self._joined(c, r) if c is not None else None
+        if text is not None:
+            c["text"], c["end_ms"] = text, r["end_ms"]
+            self.n += 1
+            return []
         out = self.end()
         self.cur, self.n = dict(r), 1
         return out
@@ -124,22 +141,28 @@ class _Seams:
         return [(c["rec_id"], c["cue_id"], c["start_ms"], c["end_ms"], c["speaker"], c["text"], self.n)] if c else []
 
 
-def repair_term_splits(cues: DataFrame, terms: list[str], most: float = 16.0) -> DataFrame:
-    """Neighbouring cues of one speaker are joined where their seam cuts a term; short pauses only, bounded width."""
+def repair_term_splits(cues: DataFrame, terms: Terms, most: float = 16.0) -> DataFrame:
+    """T9 on ``rec_id, cue_id, start_ms, end_ms, speaker, text, language`` and, if there, ``sentence_end``: cues whose seam parts a term become one.
+
+    Only Chinese single-line cues of one speaker, with a pause of at most 500 ms and no more than three lines of width;
+    a seam inside a glossary term is mended even behind a full stop.  ``parts`` counts the cues in a row.
+    """
     schema = pa.schema([("rec_id", pa.string()), ("cue_id", pa.int64()), ("start_ms", pa.float64()), ("end_ms", pa.float64()), ("speaker", pa.string()), ("text", pa.string()), ("parts", pa.int64())])
     ddl = "rec_id string, cue_id bigint, start_ms double, end_ms double, speaker string, text string, parts bigint"
-    return fold(cues.select("rec_id", "cue_id", "start_ms", "end_ms", "speaker", "text"), ["rec_id"], ["start_ms", "end_ms", "cue_id"], lambda: _Seams(terms, most), ddl, schema)
+    se = F.col("sentence_end") if "sentence_end" in cues.columns else F.lit(None).cast("boolean").alias("sentence_end")
+    return fold(cues.select("rec_id", "cue_id", "start_ms", "end_ms", "speaker", "text", "language", se), ["rec_id"], ["start_ms", "end_ms", "cue_id"], lambda: _Seams(terms, most), ddl, schema)
 
 
-def uncertain_list(items: DataFrame) -> DataFrame:
-    """Three-second cues of doubtful lines ``rec_id, item_id, time_ms, text, candidates``; no time counts as 0."""
-    start = F.coalesce("time_ms", F.lit(0.0))
-    other = F.when(F.size(F.coalesce("candidates", F.array())) > 0, F.array_join("candidates", " ／ ")).otherwise("-")
-    return items.select("rec_id", "item_id", format_stamp(start).alias("start"), format_stamp(start + 3000).alias("end"), F.concat_ws("\n", F.coalesce("text", F.lit("")), other).alias("text"))
+def width_audit(cues: DataFrame, most: float = 16.0) -> DataFrame:
+    """A10: widest line and lines over ``most`` per recording, speaker prefixes (``spkN: ``) left out; null texts have none."""
+    lines = cues.where("text IS NOT NULL").select("rec_id", F.explode(F.split("text", "\n")).alias("line"))
+    w = lines.select("rec_id", display_width(F.regexp_replace("line", r"^spk\d+: ", "")).alias("w"))
+    return w.groupBy("rec_id").agg(F.max("w").alias("widest"), F.sum((F.col("w") > most).cast("int")).alias("over"))
 
 
-def review_report(entries: DataFrame) -> DataFrame:
-    """Markdown rows of review entries ``cue, cue_end, top_severity, label`` and their count per severity."""
-    n = F.count("*").over(Window.partitionBy("rec_id", "top_severity"))
-    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
-    return entries.select("rec_id", "cue", "top_severity", n.alias("of_severity"), F.concat(F.lit("| "), cell("cue"), F.lit("–"), cell("cue_end"), F.lit(" | "), cell("label"), F.lit(" |")).alias("row"))
+def uncertain_list(items: DataFrame, vtt: bool = False) -> DataFrame:
+    """S13 on ``rec_id, item_id, time, text, candidates, anchored``: three-second cues of doubtful lines; a bad time counts as 0, a place not found is said."""
+    start = F.coalesce(parse_stamp_strict(F.col("time")).cast("double"), F.lit(0.0))
+    other = F.when(F.size(F.coalesce("candidates", F.expr("CAST(array() AS ARRAY<STRING>)"))) > 0, F.array_join("candidates", " ／ ")).otherwise("-")
+    other = F.concat(other, F.when(~F.coalesce("anchored", F.lit(True)), "　【时间未校准】").otherwise(""))
+    return items.select("rec_id", "item_id", format_stamp(start, vtt).alias("start"), format_stamp(start + 3000, vtt).alias("end"), F.concat(F.lit("【存疑】"), F.coalesce("text", F.lit("")), F.lit("　→？"), other).alias("text"))

@@ -52,23 +52,15 @@ def merge_speaker_overlaps(cues: DataFrame, max_ms: int = 6000) -> DataFrame:
     return c.withColumn("end_ms", F.expr(f"CASE WHEN n2 IS NULL THEN end_ms ELSE least(end_ms, greatest(n2 - {GUARD_MS}, start_ms + 1)) END")).drop("ns", "ne", "nspeaker", "ntext", "rn", "m", "last_false", "opens", "gone", "n2")
 
 
-def rule_chapters(cues: DataFrame, gap_ms: int = 20_000) -> DataFrame:
-    """A chapter begins where a cue starts at least ``gap_ms`` after the one before ends."""
-    w = _w()
-    return cues.withColumn("p", F.lag("end_ms").over(w)).where(f"start_ms - p >= {gap_ms}").drop("p")
-
-
-def assign_timeline(items: DataFrame, chapter_ms: int = 3500, highlight_ms: int = 2600) -> DataFrame:
-    """Time, number and label of highlight items ``rec_id, cue_id, start_ms, kind, last_end``; chapters are numbered from 1, highlights have 0."""
-    w = _w("start_ms", "cue_id")
-    i = items.withColumns({"ns": F.lead("start_ms").over(w), "no": F.sum(F.expr("CAST(kind = 'chapter' AS INT)")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    end = f"greatest(least(start_ms + CASE WHEN kind = 'chapter' THEN {chapter_ms} ELSE {highlight_ms} END, coalesce(ns - 100, last_end), last_end), start_ms + 1200)"
-    return i.select("rec_id", "cue_id", "kind", "start_ms", F.expr(end).alias("end_ms"), F.expr("CASE WHEN kind = 'chapter' THEN no ELSE 0 END").alias("chapter_no"), F.expr("CASE WHEN kind = 'chapter' THEN concat('【', no, '】') ELSE '' END").alias("label"))
-
-
 def shift(cues: DataFrame, speed: float, offset_ms: float) -> DataFrame:
-    """Local times onto the shared timeline."""
-    return cues.withColumns({"start_ms": F.col("start_ms") * speed + offset_ms, "end_ms": F.col("end_ms") * speed + offset_ms})
+    """Local times onto the shared timeline, with those of ``words`` and ``stamps`` where there are such columns."""
+    at = lambda c: c * speed + offset_ms
+    out = cues.withColumns({"start_ms": at(F.col("start_ms")), "end_ms": at(F.col("end_ms"))})
+    if "words" in cues.columns:
+        out = out.withColumn("words", F.transform("words", lambda w: F.struct(w["word"].alias("word"), at(w["start"]).alias("start"), at(w["end"]).alias("end"))))
+    if "stamps" in cues.columns:
+        out = out.withColumn("stamps", F.transform("stamps", lambda x: F.struct(at(x["s"]).alias("s"), at(x["e"]).alias("e"))))
+    return out
 
 
 def layout_offsets(media: DataFrame) -> DataFrame:
@@ -108,10 +100,48 @@ def top_speakers(cues: DataFrame, n: int) -> DataFrame:
     return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def bystanders(cues: DataFrame, share: float = 0.03, least_ms: float = 20_000) -> DataFrame:
-    """A1: speakers with under ``share`` of the time and under ``least_ms`` are bystanders; the first never is one."""
-    g = cues.groupBy("rec_id", "speaker").agg(F.sum(F.expr("greatest(0.0, end_ms - start_ms)")).alias("total_ms"))
+def bystanders(cues: DataFrame, share: float = 0.03, least_ms: float = 20_000, most: int | None = None) -> DataFrame:
+    """A1: speakers by time; with ``most`` the others are bystanders, else those under ``share`` of the time and under ``least_ms``.
+
+    Cues of nobody count for nothing; the one who speaks longest never is a bystander.  Seconds and shares are rounded half to even.
+    """
+    g = cues.where("speaker IS NOT NULL").groupBy("rec_id", "speaker").agg(F.sum(F.expr("greatest(0.0, coalesce(end_ms, 0) - coalesce(start_ms, 0))")).alias("total_ms"))
     w = Window.partitionBy("rec_id")
     g = g.withColumn("all_ms", F.sum("total_ms").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("total_ms"), "speaker")))
-    kept = f"rank = 1 OR total_ms >= {share} * CASE WHEN all_ms = 0 THEN 1.0 ELSE all_ms END OR total_ms >= {least_ms}"
-    return g.select("rec_id", "speaker", "total_ms", "rank", F.expr(f"NOT ({kept})").alias("bystander"))
+    g = g.withColumn("share", F.expr("total_ms / CASE WHEN all_ms = 0 THEN 1.0 ELSE all_ms END"))
+    kept = f"rank <= {int(most)}" if most else f"share >= {share} OR total_ms >= {least_ms} OR rank = 1"
+    if not most:  # the first is kept only where nobody else would be, which is the same: who is first has most of both
+        kept = f"({kept})"
+    return g.select("rec_id", "speaker", "total_ms", "rank", F.bround(F.col("total_ms") / 1000, 1).alias("seconds"), F.bround("share", 3).alias("share"), F.expr(f"NOT ({kept})").alias("bystander"))
+
+
+def speaker_summary(stats: DataFrame) -> DataFrame:
+    """one line per recording: speakers with their share in percent, doubtful ones marked."""
+    one = F.concat("speaker", F.lit(" "), F.bround(F.col("share") * 100, 0).cast("int").cast("string"), F.lit("%"), F.when(F.col("bystander"), "（疑似旁人）").otherwise(""))
+    g = stats.withColumn("line", one).groupBy("rec_id")
+    return g.agg(F.expr("array_join(transform(array_sort(collect_list(struct(rank, line))), x -> x.line), '、')").alias("line"))
+
+
+def distinct_speakers(cues: DataFrame) -> DataFrame:
+    """The speakers of a recording, sorted; nobody is no speaker."""
+    return cues.where("speaker IS NOT NULL").groupBy("rec_id").agg(F.array_sort(F.collect_set("speaker")).alias("speakers"))
+
+
+def drop_empty(cues: DataFrame) -> DataFrame:
+    """Cues with something in them; ``dropped`` of the recording goes along as a column."""
+    full = F.coalesce(F.regexp_replace("text", "(?U)\\s+", "") != "", F.lit(False))
+    n = F.sum((~full).cast("int")).over(Window.partitionBy("rec_id"))
+    return cues.withColumn("dropped", n).where(full)
+
+
+def stage_shares(stages: DataFrame) -> DataFrame:
+    """A11 on ``run_id, stage, seconds``: each stage's share of its run."""
+    return stages.withColumn("share", F.expr("seconds / nullif(sum(seconds) OVER (PARTITION BY run_id), 0)"))
+
+
+def union_tracks(*parts: DataFrame) -> DataFrame:
+    """The cues of several files or tracks one below the other; a column that one lacks is null there."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out

@@ -57,3 +57,44 @@ def versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 VERSIONS = EV() + """, b AS (SELECT rec_id, cue_id AS pos, concat(CAST(CAST(start_ms AS BIGINT) AS VARCHAR), '>', CAST(CAST(end_ms AS BIGINT) AS VARCHAR)) AS stamp, text FROM c),
     a AS (SELECT rec_id, pos, stamp, CASE WHEN pos % 29 = 0 THEN concat(text, ' and quite a lot more') WHEN pos % 11 = 0 THEN concat(text, '!') ELSE text END AS text FROM b WHERE pos % 37 <> 0)"""
+
+
+def hard_cues(spark: SparkSession, d: str) -> DataFrame:
+    """The event cues with null speakers, cues longer than any limit, and a language."""
+    c = event_cues(spark, d, 3)
+    return c.withColumns({"speaker": F.expr("CASE WHEN cue_id % 17 <> 0 THEN speaker END"), "end_ms": F.expr("CASE WHEN cue_id % 40 = 0 THEN end_ms + 55000 ELSE end_ms END"), "language": F.expr("CASE WHEN cue_id % 5 = 0 THEN 'en' ELSE 'zh' END")})
+
+
+HARD = EV(3).replace("c AS (", "c0 AS (", 1) + """, c AS (SELECT rec_id, cue_id, start_ms, CASE WHEN cue_id % 40 = 0 THEN end_ms + 55000 ELSE end_ms END AS end_ms, CASE WHEN cue_id % 17 <> 0 THEN speaker END AS speaker, text, event_type,
+    CASE WHEN cue_id % 5 = 0 THEN 'en' ELSE 'zh' END AS language FROM c0)"""
+
+
+def marks(spark: SparkSession, d: str) -> DataFrame:
+    """Review items on the ordinals of the event cues, with empty reasons, repeated actions and an unknown severity."""
+    return table(spark, d, "events").select(
+        F.expr("CAST(date(ts) AS STRING)").alias("rec_id"), F.col("event_id").alias("item_no"), F.expr("event_id % 300").alias("cue"), F.expr("event_id % 300 + user_id % 3").alias("cue_end"),
+        F.col("event_type").alias("category"), F.expr("element_at(array('高', '中', '低', '?'), CAST(CAST(floor(value) AS BIGINT) % 4 + 1 AS INT))").alias("severity"),
+        F.expr("CASE WHEN event_id % 3 = 0 THEN '' ELSE concat('r', event_id % 4) END").alias("reason"), F.expr("concat('a', event_id % 2)").alias("action"),
+    ).where("item_no % 7 < 2")
+
+
+MARKS = """r AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS rec_id, event_id AS item_no, event_id % 300 AS cue, event_id % 300 + user_id % 3 AS cue_end, event_type AS category,
+    ['高', '中', '低', '?'][CAST(floor(value) AS BIGINT) % 4 + 1] AS severity, CAST(floor(value) AS BIGINT) % 4 AS rank0, CASE WHEN event_id % 3 = 0 THEN '' ELSE concat('r', event_id % 4) END AS reason, concat('a', event_id % 2) AS action
+    FROM events WHERE event_id % 7 < 2)"""
+
+
+def versions_hard(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two versions: rows gone, texts longer or only spaced anew, a stamp made up, and in some recordings the order turned or the text much longer."""
+    b, _ = versions(spark, d)
+    day = "CAST(substring(rec_id, 9, 2) AS INT)"
+    a = b.where(f"NOT (pos % 37 = 0 AND {day} % 2 = 0)").withColumns({
+        "text": F.expr(f"CASE WHEN pos % 29 = 0 AND {day} % 3 = 0 THEN concat(text, ' and quite a lot more') WHEN pos % 11 = 0 THEN concat(text, '!') WHEN pos % 13 = 0 THEN concat(' ', text) ELSE text END"),
+        "stamp": F.expr(f"CASE WHEN pos % 41 = 0 AND {day} % 5 = 0 THEN concat('x', stamp) ELSE stamp END"), "pos": F.expr(f"CASE WHEN {day} % 7 = 0 THEN -pos ELSE pos END"),
+    })
+    return b, a
+
+
+VERSIONS_HARD = EV() + """, b AS (SELECT rec_id, cue_id AS pos, concat(CAST(CAST(start_ms AS BIGINT) AS VARCHAR), '>', CAST(CAST(end_ms AS BIGINT) AS VARCHAR)) AS stamp, text, CAST(rec_id[9:10] AS INT) AS dd FROM c),
+    a AS (SELECT rec_id, CASE WHEN dd % 7 = 0 THEN -pos ELSE pos END AS pos, CASE WHEN pos % 41 = 0 AND dd % 5 = 0 THEN concat('x', stamp) ELSE stamp END AS stamp,
+    CASE WHEN pos % 29 = 0 AND dd % 3 = 0 THEN concat(text, ' and quite a lot more') WHEN pos % 11 = 0 THEN concat(text, '!') WHEN pos % 13 = 0 THEN concat(' ', text) ELSE text END AS text FROM b WHERE NOT (pos % 37 = 0 AND dd % 2 = 0))"""
+
