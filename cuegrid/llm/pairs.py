@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cuegrid.functions.lines import plain, read_lines
 from cuegrid.llm.fillers import WORDS as FILLERS
-from cuegrid.llm.lang import _GROUP_OF, _SCRIPTS as _SCRIPT_CLASSES, GROUPS, MARGIN, Profiles, fit_profiles, named_language, passages, units
+from cuegrid.llm.lang import _GROUP_OF, _SCRIPTS as _SCRIPT_CLASSES, GROUPS, MARGIN, Profiles, fit_profiles, named_language, passages
 from cuegrid.llm.sentences import BoundaryModel, cuts
 from cuegrid.llm.sentences import fit as fit_boundaries
 from cuegrid.session import staged
@@ -66,11 +66,11 @@ def body(text: str) -> str:
     return text if plain(text) else read_lines(text)[0]
 
 
-def opening(masked: str) -> str:
-    words = _WORDS.findall(masked.lower())
-    joined = " ".join(words)
-    if _DENSE.search(joined):
-        return "".join(words)[: OPENING_THAI if _THAI.search(joined) else OPENING_LETTERS]
+def opening(masked: str, words: list[str] | None = None) -> str:
+    words = _WORDS.findall(masked.lower()) if words is None else words
+    joined = " ".join(words[:40])
+    if not joined.isascii() and _DENSE.search(joined):
+        return "".join(words[:40])[: OPENING_THAI if _THAI.search(joined) else OPENING_LETTERS]
     return " ".join(words[:OPENING_WORDS])
 
 
@@ -101,29 +101,36 @@ def _word_hash(w: str) -> int:
     return zlib.crc32(w.encode()) - (1 << 31)
 
 
-def content_words(prompt: str) -> tuple[list[int], str, str]:
-    """Hashes of the prompt's words (letter pairs where words are not spaced), its script, and the words joined by blanks."""
-    ws = [w for w in _WORDS.findall(prompt.lower()) if w not in FILLERS]
-    out, groups = set(), {}
-    for w in ws:
-        g = "latin" if w.isascii() else next((g for g, p in _BY_SCRIPT.items() if p.match(w)), "latin")
-        groups[g] = groups.get(g, 0) + len(w)
-        if g in ("cjk", "thai"):
-            out.update(w[i : i + 2] for i in range(len(w) - 1))
-        elif len(w) > 2:
-            out.add(w)
-    group = max(groups, key=groups.get) if groups else ""
-    return [_word_hash(w) for w in out], group, " ".join(ws)
+@lru_cache(200_000)
+def _script_of_word(w: str) -> str:
+    return next((g for g, p in _BY_SCRIPT.items() if p.match(w)), "latin")
+
+
+def script_of(words: list[str]) -> str:
+    """The script in which most of the words' letters are written; empty where there are none."""
+    joined = "".join(words)
+    if joined.isascii():
+        return "latin" if joined else ""
+    sizes: dict[str, int] = {}
+    for w in words:
+        g = _script_of_word(w)
+        sizes[g] = sizes.get(g, 0) + len(w)
+    return max(sizes, key=sizes.get)
 
 
-def main_language(found: list[tuple]) -> str | None:
-    size: dict[str, float] = {}
-    for lang, _, a, z, _n in found:
-        size[lang] = size.get(lang, 0) + z - a
-    return max(size, key=size.get) if size else None
+def said(text: str) -> list[str]:
+    """The words of a text without fillers."""
+    return [w for w in _WORDS.findall(text.lower()) if w not in FILLERS]
 
 
-def check(cue: str | None, answer: str | None, target: str | None, uncertain: str | None, profiles: Profiles, boundaries: BoundaryModel, own: str | None = None, src: str | None = None, found: list[tuple] | None = None) -> str | None:
+def content_words(words: list[str], group: str) -> list[int]:
+    """Hashes of different words of some length (letter pairs where words are not spaced)."""
+    if group in ("cjk", "thai"):
+        return [_word_hash(w) for w in {w[i : i + 2] for w in words for i in range(len(w) - 1)}]
+    return [_word_hash(w) for w in {w for w in words if len(w) > 2}]
+
+
+def check(cue: str | None, answer: str | None, target: str | None, uncertain: str | None, profiles: Profiles, boundaries: BoundaryModel, own: str | None = None, src: str | None = None, words: list[str] | None = None, group: str | None = None) -> str | None:
     """Defect of one pair by the copy, language and termination checks, or None (refusals are found elsewhere)."""
     own = own if own is not None else body(answer) if answer else ""
     if not any(ch.isalnum() for ch in own):
@@ -140,7 +147,7 @@ def check(cue: str | None, answer: str | None, target: str | None, uncertain: st
             if reason or (lang and {x[0] for x in passages(src, profiles, src)} <= {lang}):
                 return None
             return "copy"
-    if lang and _wrong_language(own, lang, profiles, found):
+    if lang and _wrong_language(said(own) if words is None else words, lang, profiles, group):
         return "wrong_language"
     text, source = own.strip(), src.strip()
     if not source:
@@ -163,19 +170,19 @@ def check(cue: str | None, answer: str | None, target: str | None, uncertain: st
 _MARK = re.compile(r"[.!?…。！？।؟]|\n *[\[<>\w-]")
 
 
-def _wrong_language(own: str, lang: str, profiles: Profiles, found: list[tuple] | None = None) -> bool:
-    """Whether the answer is in another language: that of most of its passages, by a clear margin where scripts are shared."""
-    best = main_language(passages(own, profiles, own, found))
-    if best is None or best == lang:
+def _wrong_language(words: list[str], lang: str, profiles: Profiles, group: str | None = None) -> bool:
+    """Whether the answer as a whole is nearest to another language's profile, by a clear margin where they share a script."""
+    group = script_of(words) if group is None else group
+    if not group:
+        return False
+    joined = " ".join(words)
+    best, _, d = profiles.classify(joined, group)
+    if best == lang:
         return False
-    group = _GROUP_OF[best]
     if group != _GROUP_OF[lang]:
-        letters = {g: len(_BY_SCRIPT[g].findall(own)) for g in (group, _GROUP_OF[lang])}
-        return letters[group] > letters[_GROUP_OF[lang]]
-    words = " ".join(_WORDS.findall(own.lower()))
-    _, _, d = profiles.classify(words, group)
+        return True
     at = GROUPS[group].index
-    return d[at(lang)] - d[at(best)] > MARGIN * d[at(lang)] and len(words) > 8
+    return d[at(lang)] - d[at(best)] > MARGIN * d[at(lang)] and len(joined) > 8
 
 
 _OUT = pa.schema([("task_key", pa.string()), ("id", pa.int64()), ("defect", pa.string()), ("opening", pa.string()), ("plang", pa.string()), ("words", pa.list_(pa.int32())), ("oh", pa.int64())])
@@ -187,16 +194,16 @@ def _checker(profiles: Profiles, boundaries: BoundaryModel):
         for b in batches:
             cols = {n: b.column(n).to_pylist() for n in ("task_key", "id", "target_lang", "answer", "uncertain", "cue")}
             own = [body(x) if x else "" for x in cols["answer"]]
-            found = [units(x, profiles, x) if x else [] for x in own]
-            said = [body(x) if x else "" for x in cols["cue"]]
-            asked = [content_words(x) if x else ([], "", "") for x in said]
-            profiles.measure([(u[1], u[4]) for us in found for u in us] + [(g, w) for _, g, w in asked if w])
+            src = [body(x) if x else "" for x in cols["cue"]]
+            ours, theirs = [said(x) for x in own], [said(x) for x in src]
+            groups, scripts = [script_of(ws) for ws in theirs], [script_of(ws) for ws in ours]
+            profiles.measure([(g, " ".join(ws)) for g, ws in zip(scripts, ours) if g] + [(g, " ".join(ws)) for g, ws in zip(groups, theirs) if g])
             rows = []
-            for key, id_, target, answer, uncertain, cue, text, us, src, (words, group, joined) in zip(*cols.values(), own, found, said, asked):
-                defect = check(cue, answer, target, uncertain, profiles, boundaries, text, src, us)
-                op = opening(text) if defect not in ("empty", "copy") and text else None
-                plang = profiles.classify(joined, group)[0] if op and joined else None
-                rows.append((key, id_, defect, op or None, plang, words if plang else None, xxhash.xxh64_intdigest(op) - (1 << 63) if op else None))
+            for key, id_, target, answer, uncertain, cue, text, source, mine, its, g, h in zip(*cols.values(), own, src, ours, theirs, groups, scripts):
+                defect = check(cue, answer, target, uncertain, profiles, boundaries, text, source, mine, h)
+                op = opening(text, mine) if defect not in ("empty", "copy") and mine else None
+                plang = profiles.classify(" ".join(its), g)[0] if op and g else None
+                rows.append((key, id_, defect, op or None, plang, content_words(its, g) if plang else None, xxhash.xxh64_intdigest(op) - (1 << 63) if op else None))
             out = list(zip(*rows)) or [[]] * len(_OUT)
             yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(out, _OUT)], schema=_OUT)
 
@@ -224,7 +231,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         band, oh, toks = [], [], []
         for h, op in zip(b.column("oh").to_pylist(), b.column("opening").to_pylist()):
-            ts = sorted(zlib.crc32(t.encode()) - (1 << 31) for t in tokens_of(op))
+            ts = [_word_hash(t) for t in sorted(tokens_of(op), key=lambda t: (-len(t), t))]  # long tokens, which are rare, first
             for k in bands(op):
                 band.append(k)
                 oh.append(h)

@@ -59,5 +59,5 @@ def test_counts_cover_all_cues(spark):
         got, want = getattr(part, name), getattr(whole, name)
         assert all(got.get(k) == n for k, n in want.items() if n > 2), name
     assert part.dotted.get("cf") == whole.dotted["cf"] == 2
-    key = ("cf", False, False, True, "host", "A", False)
-    assert list(part.features(*key)) == list(whole.features(*key)) and part.features(*key)[11] == 1
+    key = ("cf", sentences.PERIOD, True, "host", "A", False, sentences.NONE, sentences.PLAIN, False)
+    assert list(part.features(*key)) == list(whole.features(*key)) and part.features(*key)[15] == 1
