@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cuegrid.functions.rules import chinese
 from cuegrid.operators.fold import fold
+from cuegrid.operators.timeline import neighbours
 
 SINGLE_CUES, SINGLE_CHARS, BATCH_CUES = 4000, 60_000, 200
 CHAPTER_MS, HIGHLIGHT_MS, LEAST_MS, BEFORE_NEXT_MS, MIN_GAP_MS = 3500, 2600, 1200, 100, 8000
@@ -108,5 +109,4 @@ def assign_timeline(items: DataFrame) -> DataFrame:
 
 def rule_chapters(cues: DataFrame, gap_ms: float = 20_000) -> DataFrame:
     """A chapter begins where a cue starts at least ``gap_ms`` after the one before ends."""
-    w = Window.partitionBy("rec_id").orderBy("start_ms", "end_ms", "cue_id")
-    return cues.withColumn("p", F.lag("end_ms").over(w)).where(f"start_ms - p >= {gap_ms}").drop("p")
+    return neighbours(cues, {"p": "end_ms"}, back=True).where(f"start_ms - p >= {gap_ms}").drop("p")

@@ -16,6 +16,32 @@ def _w(*order: str):
     return Window.partitionBy("rec_id").orderBy(*(order or ("start_ms", "end_ms", "cue_id")))
 
 
+#: Length of the time slabs into which a recording is cut where only neighbours are looked at.
+SLAB_MS = 3_600_000
+
+
+def neighbours(cues: DataFrame, columns: dict[str, str], back: bool = False, order: tuple[str, ...] = ("start_ms", "end_ms", "cue_id"), slab_ms: int = SLAB_MS) -> DataFrame:
+    """The next row's (``back``: the last row's) values of ``columns`` (new name to old), in the order of a recording.
+
+    The window is keyed by recording and time slab, so a hot recording is many keys.  Only the edge of each slab is seen
+    by its neighbour: one row per slab, over which a second window goes.  Rows without a start are a slab of their own,
+    before all others.
+    """
+    s = cues.withColumn("_slab", F.coalesce(F.expr(f"CAST(floor(start_ms / {slab_ms}) AS BIGINT)"), F.lit(-(2**62))))
+    w = Window.partitionBy("rec_id", "_slab").orderBy(*order)
+    whole = F.struct(*[F.col(c).alias(k) for k, c in columns.items()])
+    move = F.lag if back else F.lead
+    s = s.withColumn("_near", move(whole).over(w)).withColumn("_edge", (F.row_number().over(w.orderBy(*[F.desc(c) for c in order]) if not back else w) == 1))
+    key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    ends = s.groupBy("rec_id", "_slab").agg((F.max_by if back else F.min_by)(whole, key).alias("_end"))
+    ends = ends.withColumn("_beyond", move("_end").over(Window.partitionBy("rec_id").orderBy("_slab"))).select(F.col("rec_id").alias("_r"), F.col("_slab").alias("_s"), "_beyond")
+    # Only edge rows look beyond their slab: the join key of all others is null and goes nowhere.
+    inner, edge = s.where("NOT _edge").withColumn("_at", F.col("_near")), s.where("_edge")
+    edge = edge.join(ends, (edge.rec_id == ends._r) & (edge._slab == ends._s), "left").withColumn("_at", F.col("_beyond")).drop("_r", "_s", "_beyond")
+    out = inner.unionByName(edge)
+    return out.select(*cues.columns, *[F.col(f"_at.{k}").alias(k) for k in columns])
+
+
 def cross_talk(end: str, nstart: str, nend: str, speaker: str = "speaker", nspeaker: str = "nspeaker", start: str = "start_ms") -> str:
     """P4 as SQL: two named, different speakers overlap by at least ``CROSS_TALK_MS``."""
     return f"coalesce({speaker} <> '' AND {nspeaker} <> '' AND {speaker} <> {nspeaker} AND least({end}, {nend}) - greatest({start}, {nstart}) >= {CROSS_TALK_MS}, false)"
@@ -23,8 +49,7 @@ def cross_talk(end: str, nstart: str, nend: str, speaker: str = "speaker", nspea
 
 def normalize_timeline(cues: DataFrame, min_ms: int = 1000, max_ms: int = 6000) -> DataFrame:
     """Durations brought between the limits without running into the next cue; cross-talk keeps its overlap."""
-    w = _w()
-    c = cues.withColumns({"ns": F.lead("start_ms").over(w), "ne": F.lead("end_ms").over(w), "nspeaker": F.lead("speaker").over(w)})
+    c = neighbours(cues, {"ns": "start_ms", "ne": "end_ms", "nspeaker": "speaker"})
     c = c.withColumn("e1", F.expr(f"least(end_ms, start_ms + {max_ms})"))
     new = f"""CASE WHEN ns IS NULL THEN greatest(e1, start_ms + {min_ms}) WHEN {cross_talk("e1", "ns", "ne")} THEN e1
         ELSE least(greatest(e1, least(start_ms + {min_ms}, ns - {GUARD_MS})), greatest(ns - {GUARD_MS}, start_ms + 1)) END"""

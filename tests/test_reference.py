@@ -62,6 +62,13 @@ def test_timeline(spark):
     assert times(timeline.normalize_timeline(cues(spark, rows))) == [x[:2] for x in fold_t1(rows, 1000, 6000)]
     assert times(timeline.merge_speaker_overlaps(cues(spark, rows))) == fold_t2(rows, 6000)
     assert timeline.normalize_timeline(cues(spark, rows).limit(0)).collect() == []
+    c = cues(spark, rows)
+    for back in (False, True):
+        w = timeline._w()
+        want = c.select("cue_id", (F.lag if back else F.lead)("cue_id").over(w).alias("n"))
+        for slab in (500, 20_000, 10**9):
+            got = timeline.neighbours(c, {"n": "cue_id"}, back=back, slab_ms=slab).select("cue_id", "n")
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
 def test_clusters_ranges_batches(spark):
