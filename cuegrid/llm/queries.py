@@ -122,3 +122,8 @@ def p10_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p10_found": p10_found, "p10_canonical": p10_canonical, "p10_classes": p10_classes}
+
+_FORM = f"SELECT doc_id, text, {lookalike.canonical_sql()} AS form FROM documents"
+SQL["p10_canonical"] = f"SELECT doc_id, form AS text FROM ({_FORM})"
+SQL["p10_found"] = f"""WITH k AS (SELECT DISTINCT doc_id, form, text FROM ({_FORM}) WHERE text IS NOT NULL AND doc_id IS NOT NULL AND regexp_matches(form, '[^\\s\\p{{C}}\\p{{Z}}\\x{{fe00}}-\\x{{fe0f}}]')),
+    t AS (SELECT form, text, min(doc_id) AS rep FROM k GROUP BY 1, 2) SELECT DISTINCT least(doc_id, rep) AS doc_id_a, greatest(doc_id, rep) AS doc_id_b FROM k JOIN t ON t.form = k.form AND t.text <> k.text"""
