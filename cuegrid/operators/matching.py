@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import difflib
-from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -33,27 +33,39 @@ def may_reach(a: Column, b: Column, least: float) -> Column:
     return 2 * F.least(x, y) >= least * (x + y) - 1e-9
 
 
+def _letters(texts: np.ndarray) -> np.ndarray:
+    """Counts of letters by their code, 128 of them, one row per text."""
+    return np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % 128, minlength=128) for t in texts]).astype(np.int32)
+
+
 def _ratio(least: float):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        """The ratio, or -1 where the shared characters already show that it is under ``least``; one matcher serves equal second texts."""
-        out, m, of = [], difflib.SequenceMatcher(None), None
-        seen: dict = {}
-        for x, y in zip(a, b):
-            hit = seen.get((x, y))
-            if hit is None:
-                if x == y:
-                    hit = 1.0
-                elif 2.0 * (Counter(x) & Counter(y)).total() < least * (len(x) + len(y)) - 1e-9:
-                    hit = -1.0
+        """The ratio, or -1 where the letters two texts share already show that it is under ``least``; the matcher keeps its second text."""
+        out = np.full(len(a), -1.0)
+        if not len(a):
+            return pd.Series(out)
+        (xi, xs), (yi, ys) = pd.factorize(a), pd.factorize(b)
+        hx, hy = _letters(xs), _letters(ys)
+        nx, ny = hx.sum(1), hy.sum(1)
+        may = np.zeros(len(out), bool)
+        for i in range(0, len(out), 8192):
+            p, q = xi[i : i + 8192], yi[i : i + 8192]
+            may[i : i + 8192] = 2 * np.minimum(hx[p], hy[q]).sum(1) >= least * (nx[p] + ny[q]) - 1e-9
+        m, of, seen = difflib.SequenceMatcher(None), -1, {}
+        at = may.nonzero()[0]
+        for k in at[np.argsort(yi[at], kind="stable")]:
+            key = (xi[k], yi[k])
+            if key not in seen:
+                if xs[xi[k]] == ys[yi[k]]:
+                    seen[key] = 1.0
                 else:
-                    if y != of:
-                        m.set_seq2(y)
-                        of = y
-                    m.set_seq1(x)
-                    hit = m.ratio()
-                seen[x, y] = hit
-            out.append(hit)
-        return pd.Series(out, dtype="float64")
+                    if yi[k] != of:
+                        of = yi[k]
+                        m.set_seq2(ys[of])
+                    m.set_seq1(xs[xi[k]])
+                    seen[key] = m.ratio() if m.quick_ratio() >= least - 1e-9 else -1.0
+            out[k] = seen[key]
+        return pd.Series(out)
 
     return run
 
