@@ -39,8 +39,19 @@ def graphemes(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _G.finditer(text)]
 
 
+#: What tokens are in plain text: words, and symbols (no punctuation) one by one.
+_ASCII_TOKEN = regex.compile(r"[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*|[$+<=>^`|~]")
+
+
 def tokens(text: str) -> list[tuple[int, int]]:
     """words of spaced scripts (with inner apostrophes and hyphens), one cluster each in unspaced ones; no marks or blanks."""
+    if text.isascii():
+        return [m.span() for m in _ASCII_TOKEN.finditer(text)]
+    return _clustered(text)
+
+
+def _clustered(text: str) -> list[tuple[int, int]]:
+    """``tokens`` of any text, cluster by cluster."""
     out: list[list] = []
     glue = False  # whether the last token may still grow, and what stands between
     between = ""

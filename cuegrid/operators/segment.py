@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuegrid.functions.segmenting import NO_TERMS, PAUSE_MS, Line, Terms, flat_sentences, inside, segments, sentence_cues
-from cuegrid.functions.text import TAILS, _halves, _span_width, chinese_rules, display_width, width
+from cuegrid.functions.text import TAILS, chinese_rules, display_width, width
 from cuegrid.operators.fold import fold
 from cuegrid.sources.subtitles import format_stamp, parse_stamp_strict
 
@@ -71,37 +71,39 @@ def sentences_of_flat(texts: DataFrame) -> DataFrame:
     return texts.select("rec_id", F.posexplode(u("text", "stamps")).alias("sent_no", "x")).select("rec_id", "sent_no", "x.text", "x.start_ms", "x.end_ms")
 
 
+_WIDE = pa.schema([("rec_id", pa.string()), ("cue_id", pa.int64()), ("piece", pa.int32()), ("start_ms", pa.float64()), ("end_ms", pa.float64()), ("speaker", pa.string()), ("text", pa.string()), ("pieces", pa.int32())])
+
+
 def enforce_width(cues: DataFrame, most: float = 16.0, terms: Terms = NO_TERMS) -> DataFrame:
     """An over-wide one-line cue becomes several; its time is shared by width, the last piece ends where the cue does.
 
     ``pieces`` tells into how many a cue went (1: as it was); null texts and times stay null.
     """
 
-    def cut(t: pd.Series, lang: pd.Series) -> pd.Series:
-        def one(x, k):
-            if not isinstance(x, str):
-                return [{"t": None, "w": 1.0}]
-            if "\n" in x or width(x) <= most:
-                return [{"t": x, "w": 1.0}]
-            spans = Line(x, terms.protected(x, k)).wrap(0, len(x), most)
-            if len(spans) < 2:
-                return [{"t": x, "w": 1.0}]
-            h = _halves(x)
-            return [{"t": x[a:b].strip(), "w": _span_width(x, h, a, b)} for a, b in spans]
-
-        return pd.Series([one(x, k) for x, k in zip(t, lang)])
-
-    u = F.pandas_udf(cut, "array<struct<t:string,w:double>>")
-    lang = F.col("language") if "language" in cues.columns else F.lit("auto")
-    p = cues.withColumn("ps", u("text", lang)).withColumn("total", F.expr("aggregate(ps, 0D, (s, p) -> s + p.w)")).withColumn("total", F.expr("CASE WHEN total = 0 THEN 1.0D ELSE total END"))
-    p = p.select("*", F.posexplode("ps").alias("piece", "p")).withColumn("done", F.expr("aggregate(slice(ps, 1, piece), 0D, (s, q) -> s + q.w)"))
-    span = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(1.0))
-    n = F.size("ps")
-    new = {
-        "new_start": F.when(n == 1, F.col("start_ms")).otherwise(F.col("start_ms") + span * F.col("done") / F.col("total")),
-        "new_end": F.when(F.col("piece") == n - 1, F.col("end_ms")).otherwise(F.col("start_ms") + span * (F.col("done") + F.col("p.w")) / F.col("total")),
-    }
-    return p.withColumns(new).select("rec_id", "cue_id", "piece", F.col("new_start").alias("start_ms"), F.col("new_end").alias("end_ms"), "speaker", F.col("p.t").alias("text"), n.alias("pieces"))
+    def cut(x: str | None, lang: str | None) -> list[tuple[str | None, float]]:
+        if x is None or "\n" in x or len(x) <= most / 2 or width(x) <= most:
+            return [(x, 1.0)]
+        line = Line(x, terms.protected(x, lang))
+        spans = line.wrap(0, len(x), most)
+        return [(x[a:b].strip(), line.width(a, b)) for a, b in spans] if len(spans) > 1 else [(x, 1.0)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for rec, cue, start, end, who, x, lang in zip(*(c.to_pylist() for c in b.columns)):
+                ps = cut(x, lang)
+                n, total, done = len(ps), sum(w for _, w in ps) or 1.0, 0.0
+                span = max(end - start, 1.0) if start is not None and end is not None else None
+                for i, (t, w) in enumerate(ps):
+                    at = start if n == 1 or span is None else start + span * done / total
+                    done += w
+                    rows.append((rec, cue, i, at, end if i == n - 1 or span is None else start + span * done / total, who, t, n))
+            cols = list(zip(*rows)) or [[]] * len(_WIDE)
+            yield pa.record_batch([pa.array(list(v), f.type) for v, f in zip(cols, _WIDE)], schema=_WIDE)
+
+    lang = F.col("language") if "language" in cues.columns else F.lit("auto").alias("language")
+    ddl = "rec_id string, cue_id bigint, piece int, start_ms double, end_ms double, speaker string, text string, pieces int"
+    return cues.select("rec_id", "cue_id", "start_ms", "end_ms", "speaker", "text", lang).mapInArrow(run, ddl)
 
 
 class _Seams:

@@ -96,6 +96,13 @@ def test_text_kernels():
     assert text.boundary("3.5 a.", 1) is False and text.boundary("3.5 a.", 5) is True
 
 
+def test_plain_tokens():
+    rng = random.Random(3)
+    for _ in range(2000):
+        t = "".join(rng.choice("ab1'-  $|.,_(\n") for _ in range(rng.randint(0, 14)))
+        assert text.tokens(t) == text._clustered(t), t
+
+
 def test_rules(spark):
     df = spark.createDataFrame([("我觉得我觉得",), ("的老大的老大的",), ("一九年三四年十九八年一五一九年二零二五年九八年九九年",), ("你你好",), (None,)], "t string")
     out = df.select(rules.stutter(F.col("t")).alias("a"), rules.years(F.col("t")).alias("b")).collect()
