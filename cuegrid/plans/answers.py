@@ -213,10 +213,10 @@ def s4(s, d):
     return subtitles.parse_text(docs.select(F.col("rec_id").alias("path"), F.col("document").alias("raw")))
 
 
-GLOSS = ["# notes", " 麦克, 话筒 → 第二支麦克风 ", "片尾字幕", "", "camera angle", "片尾字幕", "Refore, refor → Refore HTML to Figma"]
+GLOSS = ["# notes", " 麦克, 话筒 → 第二支麦克风 ", "片尾字幕", "", "camera angle", "片尾字幕", "Bluedor, blu dor → Blue Door to Studio"]
 
 
-@query("u2_glossary", "SELECT * FROM (VALUES (1, '麦克, 话筒 → 第二支麦克风', '麦克|话筒', '第二支麦克风'), (2, '片尾字幕', '', '片尾字幕'), (3, 'camera angle', '', 'camera angle'), (4, 'Refore, refor → Refore HTML to Figma', 'Refore|refor', 'Refore HTML to Figma'), (5, 'small studio', '', 'small studio')) t(line_no, line, wrong, \"right\")")
+@query("u2_glossary", "SELECT * FROM (VALUES (1, '麦克, 话筒 → 第二支麦克风', '麦克|话筒', '第二支麦克风'), (2, '片尾字幕', '', '片尾字幕'), (3, 'camera angle', '', 'camera angle'), (4, 'Bluedor, blu dor → Blue Door to Studio', 'Bluedor|blu dor', 'Blue Door to Studio'), (5, 'small studio', '', 'small studio')) t(line_no, line, wrong, \"right\")")
 def u2(s, d):
     a = glossary.clean_lines(s.createDataFrame(list(enumerate(GLOSS)), "line_no int, line string"))
     b = s.createDataFrame(list(enumerate(glossary.listed("camera angle，small studio、 片尾字幕"))), "line_no int, line string")

@@ -498,7 +498,7 @@ def g1(s, d):
 
 
 def _terms():
-    return Terms(["camera angle", "small studio", "麦克 → 第二支麦克风", "片尾字幕", "Refore HTML to Figma"])
+    return Terms(["camera angle", "small studio", "麦克 → 第二支麦克风", "片尾字幕", "Blue Door to Studio"])
 
 
 MASK = "text"

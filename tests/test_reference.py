@@ -206,15 +206,15 @@ def test_segmentation(spark):
     words = [{"word": "one", "start": 1000, "end": 2000}, {"word": "two", "start": 3000, "end": 4000}]
     got = segmenting.sentence_cues("one two", 1000, 4000, 99, words)
     assert [(c["text"], c["start_ms"], c["end_ms"]) for c in got] == [("one", 1000, 3000), ("two", 3000, 4000)] or len(got) == 1
-    terms = segmenting.Terms(["麦, 克 → Refore HTML to Figma", "x", "Figma"])
-    assert segmenting.canonical_terms(terms.lines) == ["Refore HTML to Figma", "Figma"]
-    t = "接下来用 Refore HTML to Figma 为例来介绍"
+    terms = segmenting.Terms(["麦, 克 → Blue Door to Studio", "x", "Studio"])
+    assert segmenting.canonical_terms(terms.lines) == ["Blue Door to Studio", "Studio"]
+    t = "接下来用 Blue Door to Studio 为例来介绍"
     cut = segmenting.wrap(t, 12.0, terms, "zh")
     assert "".join(t[a:b] for a, b in cut) == t and not any(segmenting.inside(a, terms.glossary(t)) for a, _ in cut)
     assert segmenting.Terms().protected("走了3 个小时", "zh") == [(2, 5), (2, 6)] and segmenting.Terms().protected("走了3 个小时", "en") == []
-    row = [("r", 0, 0.0, 100.0, "a", "接下来用 Refore HTML", "zh"), ("r", 1, 110.0, 200.0, "a", "to Figma 为例", "zh"), ("r", 2, 900.0, 950.0, "a", "完。", "zh"), ("r", 3, 960.0, 970.0, None, None, None)]
+    row = [("r", 0, 0.0, 100.0, "a", "接下来用 Blue Door", "zh"), ("r", 1, 110.0, 200.0, "a", "to Studio 为例", "zh"), ("r", 2, 900.0, 950.0, "a", "完。", "zh"), ("r", 3, 960.0, 970.0, None, None, None)]
     c = spark.createDataFrame(row, CUES + ", language string")
-    assert [(r.text, r.parts) for r in segment.repair_term_splits(c, terms).orderBy("start_ms").collect()] == [("接下来用 Refore HTML to Figma 为例", 2), ("完。", 1), (None, 1)]
+    assert [(r.text, r.parts) for r in segment.repair_term_splits(c, terms).orderBy("start_ms").collect()] == [("接下来用 Blue Door to Studio 为例", 2), ("完。", 1), (None, 1)]
     english = c.withColumn("language", F.lit("en"))
     assert segment.repair_term_splits(english, terms).count() == 4
     wide = segment.enforce_width(c.withColumn("text", F.lit("several words that are far too wide for a line")), 8.0)
