@@ -29,10 +29,13 @@ _TOKEN_MARKS = re.compile(r"[\wऀ-ॿ฀-๿ً-ٟ]+(?:[-'’][\w]+)*")
 LEAD_INS = {"bueno", "enfin", "ну", "nun ja", "well", "also", "alors", "pues"}
 
 
-def is_speech(masked: str) -> bool:
-    """Whether anything but fillers is said in a text whose trimmings are blanked (a yes or no is speech, empty text none)."""
+def is_speech(masked: str, low: str | None = None) -> bool:
+    """Whether anything but fillers is said in a text whose trimmings are blanked (a yes or no is speech, empty text none).
+
+    ``low``: the text in lower case, where it is at hand.
+    """
     you = said = False
-    for m in _TOKEN_MARKS.finditer(masked.lower()):
+    for m in _TOKEN_MARKS.finditer(masked.lower() if low is None else low):
         said, w = True, m[0]
         if you:
             if w != "know":

@@ -10,8 +10,11 @@ sentences were sorted by the first profiles, as labels may be wrong and cues mix
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -61,11 +64,25 @@ _MAIL = re.compile(r"[\w.+-]+(?:\s?[@＠]\s?|\s?[\[(]\s?at\s?[\])]\s?| arroba )[
 
 def ngrams(word: str) -> list[str]:
     w = f"_{word}_"
-    return [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1) if w[i : i + n] != "_"]
+    twos = [*map(add, w, w[1:])]
+    return [*word.replace("_", ""), *twos, *map(add, twos, w[2:])]
 
 
-#: Passages measured at once.
-_BLOCK = 4096
+#: Passages measured at once; their n-grams fit a core's cache.
+_BLOCK = 512
+#: Bits of an n-gram's number and of its count, where passage, count and n-gram are sorted as one number.
+_GRAM, _COUNT = 22, 20
+
+
+class _Grams(dict):
+    """The numbers of a word's n-grams, as the bytes of an array."""
+
+    def __init__(self, ids: dict[str, int]):
+        self.ids = ids
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = array("i", map(self.ids.get, ngrams(word), repeat(len(self.ids)))).tobytes()
+        return found
 
 
 class Profiles:
@@ -85,12 +102,12 @@ class Profiles:
             for k in langs:
                 for t in self.ranked.get(k, []):
                     ids.setdefault(t, len(ids))
-            r = np.full((len(langs), len(ids) + 1), 4 * PROFILE, np.int32)  # beyond any distance that counts
+            r = np.full((len(langs), len(ids) + 1), 4 * PROFILE, np.int16)  # beyond any distance that counts
             for j, k in enumerate(langs):
                 for i, t in enumerate(self.ranked.get(k, [])):
                     r[j, ids[t]] = i
             self.ids[g], self.ranks[g] = ids, r
-        self.words: dict[str, dict[str, np.ndarray]] = {g: {} for g in GROUPS}
+        self.words = {g: _Grams(ids) for g, ids in self.ids.items()}
 
     def __getstate__(self):
         return self.ranked
@@ -99,48 +116,44 @@ class Profiles:
         self.ranked, self.cache, self.sentences = state, {}, {}
         self._build()
 
-    def _grams(self, words: list[str], group: str) -> list[np.ndarray]:
-        known, out = self.words[group], []
-        for w in words:
-            g = known.get(w)
-            if g is None:
-                if len(known) > 100_000:
-                    known.clear()
-                ids, last = self.ids[group], len(self.ids[group])
-                g = known[w] = np.array([ids.get(t, last) for t in ngrams(w)], np.int32)
-            out.append(g)
-        return out
-
     def distances(self, passages: list[list[str]], group: str) -> np.ndarray:
         """Out-of-place distance per n-gram of each passage (a list of words) to each of the group's languages.
 
         All passages are ranked at once: n-grams are sorted by passage and id, counted, and sorted again by count.
         """
-        parts = [self._grams(ws, group) for ws in passages]
-        sizes = np.array([sum(map(len, p)) for p in parts], np.int64)
+        known = self.words[group]
+        if len(known) > 100_000:
+            known.clear()
+        parts = [b"".join(map(known.__getitem__, ws)) for ws in passages]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         if not sizes.sum():
             return np.full((len(passages), len(GROUPS[group])), PROFILE, np.float64)
-        width = len(self.ids[group]) + 1
-        every = np.repeat(np.arange(len(parts)) * width, sizes) + np.concatenate([g for p in parts for g in p])
+        every = np.repeat(np.arange(len(parts)) << _GRAM, sizes) | np.frombuffer(b"".join(parts), np.intc)
         every.sort()
         new = np.empty(len(every), bool)
         new[0] = True
         np.not_equal(every[1:], every[:-1], out=new[1:])
         at = new.nonzero()[0]
         count = np.diff(at, append=len(every))
-        owner, gram = np.divmod(every[at], width)
-        order = np.argsort(owner * (1 << 20) - np.minimum(count, (1 << 20) - 1), kind="stable")  # most frequent first, then by id
+        every = every[at]
+        owner, gram = every >> _GRAM, every & ((1 << _GRAM) - 1)
+        most = (1 << _COUNT) - 1
+        order = (((owner << _COUNT) | (most - np.minimum(count, most))) << _GRAM) | gram  # most frequent first, then by id
+        order.sort()
+        gram = order & ((1 << _GRAM) - 1)
         starts = np.searchsorted(owner, np.arange(len(parts)))
         n = np.diff(starts, append=len(owner))
-        own = np.arange(len(owner)) - np.repeat(starts, n)
-        gram = gram[order]
+        own = np.minimum(np.arange(len(owner)) - np.repeat(starts, n), 3 * PROFILE).astype(np.int16)  # as far from every rank as counts
         out = np.empty((len(parts), len(GROUPS[group])))
         some = n > 0
+        first, size = starts[some], n[some]
         for j, ranks in enumerate(self.ranks[group]):
-            d = np.abs(ranks[gram] - own)
+            d = ranks[gram]
+            d -= own
+            np.abs(d, out=d)
             np.minimum(d, PROFILE, out=d)  # a missing n-gram counts as the profile's length
             out[:, j] = PROFILE
-            out[some, j] = np.add.reduceat(d, starts[some]) / n[some]
+            out[some, j] = np.add.reduceat(d, first, dtype=np.int64) / size
         return out
 
     def measure(self, wanted: Iterable[tuple[str, str]]) -> None:
@@ -352,16 +365,23 @@ def fit_profiles(cues: DataFrame, per_language: int = PER_LANGUAGE) -> Profiles:
 
     Languages without a labelled cue get an empty profile, at full distance from everything.
     """
-    head = F.element_at(F.split(F.lower(F.trim("lang")), r"[-_ (]"), 1)
-    named = cues.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 12").withColumn("_l", head).where(F.col("_l").isin(*NAMES))
+    head = F.substring_index(F.translate(F.lower(F.trim("lang")), "_ (", "---"), "-", 1)
+    usable = "lang IS NOT NULL AND text IS NOT NULL AND length(text) > 12"
+
+    def spelled_out(some: DataFrame) -> DataFrame:
+        return some.withColumn("_l", head).where(F.col("_l").isin(*NAMES))
+
     share: dict[str, int] = {}
-    for r in named.groupBy("_l").count().collect():  # known spellings only: at most one row each
-        share[NAMES[r["_l"]]] = share.get(NAMES[r["_l"]], 0) + r["count"]
+    labels = cues.where(usable).groupBy("lang").agg(F.count("*").alias("n"))
+    for r in spelled_out(labels).groupBy("_l").agg(F.sum("n").alias("n")).collect():  # known spellings only: at most one row each
+        share[NAMES[r["_l"]]] = share.get(NAMES[r["_l"]], 0) + r["n"]
     if not share:
         return Profiles({})
     spelled = {c: k for k in share for c in NAMES if NAMES[c] == k}
     frac = F.create_map(*[x for c, k in spelled.items() for x in (F.lit(c), F.lit(min(1.0, per_language / share[k])))])
-    picked = named.withColumn("_f", F.coalesce(frac[F.col("_l")], F.lit(0.0))).where(F.pmod(F.xxhash64("cue_id", F.lit(17)), F.lit(1_000_003)) < F.col("_f") * 1_000_003)
+    by = F.pmod(F.xxhash64("cue_id", F.lit(17)), F.lit(1_000_003))
+    some = cues.where(by < min(1.0, per_language / min(share.values())) * 1_000_003)  # none of the others is picked for any language
+    picked = spelled_out(some.where(usable)).withColumn("_f", F.coalesce(frac[F.col("_l")], F.lit(0.0))).where(by < F.col("_f") * 1_000_003)
     rows = picked.select("_l", "text").collect()
     return train(sorted((NAMES[r["_l"]], r.text) for r in rows))
 

@@ -18,12 +18,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuegrid.functions.lines import plain, read_lines
 from cuegrid.llm.fillers import WORDS as FILLERS
-from cuegrid.llm.lang import _GROUP_OF, _SCRIPTS as _SCRIPT_CLASSES, GROUPS, MARGIN, Profiles, fit_profiles, named_language, passages
+from cuegrid.llm.lang import _GROUP_OF, _SCRIPTS as _SCRIPT_CLASSES, GROUPS, MARGIN, Profiles, fit_profiles, named_language, passages, units
 from cuegrid.llm.sentences import BoundaryModel, cuts
 from cuegrid.llm.sentences import fit as fit_boundaries
 from cuegrid.session import staged
@@ -48,7 +48,10 @@ _LEAD_IN = re.compile(r"^\s*(?:[^\W\d_]+[ ]?){1,5}[:：]\s*")
 _NOT_WORD = re.compile(r"[^\w]+|_+")
 _TERMINAL = re.compile(r"[.!?。！？।؟｡][\"”»’」』“)\]\s]*$")
 _DOTS = re.compile(r"(?:\.\.\.|…)[\"”»’」』“)\]\s]*$|[\s][–—-]\s*$")
-_WORDS = re.compile(r"[^\W\d_][\w'’ऀ-ॿ฀-๿ً-ٟ]*")
+#: Letters that are common come first in a class, where a bitmap finds them.
+_WORDS = re.compile(r"[^\W\d_][a-z0-9ß-öø-ÿа-яё一-鿿\w'’ऀ-ॿ฀-๿ً-ٟ]*")
+#: The same for small ASCII letters.
+_WORDS_ASCII = re.compile(r"[a-z][a-z0-9_']*")
 _BY_SCRIPT = {g: re.compile(f"[{c}]") for g, c in _SCRIPT_CLASSES.items()}
 _THAI = re.compile("[\u0e00-\u0e7f]")
 _DENSE = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
@@ -62,8 +65,15 @@ def squash(text: str) -> str:
     return _NOT_WORD.sub("", text.lower())
 
 
-def body(text: str) -> str:
-    return text if plain(text) else read_lines(text)[0]
+def _last_word_character(low: str) -> str:
+    """The last letter or digit that ``squash`` leaves of a text in lower case, or nothing where that takes a closer look."""
+    last = low.rstrip(" .!?…。！？\n")[-1:]
+    return last if last.isalnum() else ""
+
+
+def _read(text: str) -> tuple[str, list[tuple[str | None, int, int]]]:
+    """The text masked, and its lines."""
+    return (text, [(None, 0, len(text))]) if plain(text) else read_lines(text)[:2]
 
 
 def opening(masked: str, words: list[str] | None = None) -> str:
@@ -102,8 +112,8 @@ def _word_hash(w: str) -> int:
 
 
 @lru_cache(200_000)
-def _script_of_word(w: str) -> str:
-    return next((g for g, p in _BY_SCRIPT.items() if p.match(w)), "latin")
+def _script_of_letter(ch: str) -> str:
+    return next((g for g, p in _BY_SCRIPT.items() if p.match(ch)), "latin")
 
 
 def script_of(words: list[str]) -> str:
@@ -113,14 +123,15 @@ def script_of(words: list[str]) -> str:
         return "latin" if joined else ""
     sizes: dict[str, int] = {}
     for w in words:
-        g = _script_of_word(w)
+        g = _script_of_letter(w[0])
         sizes[g] = sizes.get(g, 0) + len(w)
     return max(sizes, key=sizes.get)
 
 
 def said(text: str) -> list[str]:
     """The words of a text without fillers."""
-    return [w for w in _WORDS.findall(text.lower()) if w not in FILLERS]
+    low = text.lower()
+    return [w for w in (_WORDS_ASCII if low.isascii() else _WORDS).findall(low) if w not in FILLERS]
 
 
 def content_words(words: list[str], group: str) -> list[int]:
@@ -130,24 +141,58 @@ def content_words(words: list[str], group: str) -> list[int]:
     return [_word_hash(w) for w in {w for w in words if len(w) > 2}]
 
 
-def check(cue: str | None, answer: str | None, target: str | None, uncertain: str | None, profiles: Profiles, boundaries: BoundaryModel, own: str | None = None, src: str | None = None, words: list[str] | None = None, group: str | None = None) -> str | None:
+def _copied(own: str, src: str) -> bool:
+    """Whether a masked answer repeats its masked cue, perhaps behind a few words that introduce it."""
+    a, c = _last_word_character(own.lower()), _last_word_character(src.lower())
+    if a and c and a != c:
+        return False
+    a, c = squash(own), squash(src)
+    if not c:
+        return False
+    return a == c or len(a) > len(c) and a.endswith(c) and (squash(_LEAD_IN.sub("", own)) == c or len(own[: len(own) - len(src.strip())].split()) <= 5)
+
+
+def _reason(uncertain: str | None) -> bool:
+    return uncertain is not None and uncertain.strip().lower() not in NO_REASON
+
+
+class Pair:
+    """A cue and its answer as they are read: masked, in lines, in words, with the script of either's words."""
+
+    __slots__ = ("answer_lines", "copied", "cue_lines", "group", "its", "lang", "mine", "own", "reason", "script", "src", "units")
+
+    def __init__(self, cue: str | None, answer: str | None, target: str | None, uncertain: str | None):
+        self.own, self.answer_lines = _read(answer) if answer else ("", [])
+        self.src, self.cue_lines = _read(cue) if cue else ("", [])
+        self.lang = named_language(target)
+        self.mine, self.its = said(self.own), said(self.src)
+        self.script, self.group = script_of(self.mine), script_of(self.its)
+        self.copied = _copied(self.own, self.src)
+        self.reason = self.copied and _reason(uncertain)
+        self.units: list[tuple] | None = None
+
+    def to_measure(self, profiles: Profiles) -> list[tuple[str, str]]:
+        """What ``check`` asks the profiles: the language of a copied cue, or of an answer in a script of more languages than one."""
+        if self.copied:
+            if self.reason or not self.lang:
+                return []
+            self.units = units(self.src, profiles, self.src)
+            return [(u[1], u[4]) for u in self.units]
+        asked = self.lang and self.script and self.script == _GROUP_OF[self.lang] and len(GROUPS[self.script]) > 1
+        return [(self.script, " ".join(self.mine))] if asked else []
+
+
+def check(cue: str | None, answer: str | None, target: str | None, uncertain: str | None, profiles: Profiles, boundaries: BoundaryModel, pair: Pair | None = None) -> str | None:
     """Defect of one pair by the copy, language and termination checks, or None (refusals are found elsewhere)."""
-    own = own if own is not None else body(answer) if answer else ""
-    if not any(ch.isalnum() for ch in own):
+    pair = pair or Pair(cue, answer, target, uncertain)
+    own, src, lang = pair.own, pair.src, pair.lang
+    if not (pair.mine or any(ch.isalnum() for ch in own)):
         return "empty"
-    lang = named_language(target)
-    src = src if src is not None else body(cue) if cue else ""
-    a, c = squash(own), squash(src)
-    if c:
-        copied = a == c
-        if not copied and len(a) > len(c) and a.endswith(c):
-            copied = squash(_LEAD_IN.sub("", own)) == c or len(own[: len(own) - len(src.strip())].split()) <= 5
-        if copied:
-            reason = uncertain is not None and uncertain.strip().lower() not in NO_REASON
-            if reason or (lang and {x[0] for x in passages(src, profiles, src)} <= {lang}):
-                return None
-            return "copy"
-    if lang and _wrong_language(said(own) if words is None else words, lang, profiles, group):
+    if pair.copied:
+        if pair.reason or (lang and {x[0] for x in passages(src, profiles, src, pair.units)} <= {lang}):
+            return None
+        return "copy"
+    if lang and _wrong_language(pair.mine, lang, profiles, pair.script):
         return "wrong_language"
     text, source = own.strip(), src.strip()
     if not source:
@@ -161,8 +206,8 @@ def check(cue: str | None, answer: str | None, target: str | None, uncertain: st
     # One sentence cannot be cut short of another; only cues with a mark (in Thai, a blank) before their end are counted.
     inner = source.rstrip(" .!?…。！？।؟”»\"'」")
     if (thai and " " in inner) or _MARK.search(inner):
-        n = len(cuts(cue, boundaries))
-        if n > 1 and len(cuts(answer, boundaries)) < n:
+        n = len(cuts(cue, boundaries, (src, pair.cue_lines)))
+        if n > 1 and len(cuts(answer, boundaries, (own, pair.answer_lines))) < n:
             return "truncated"
     return None
 
@@ -170,42 +215,47 @@ def check(cue: str | None, answer: str | None, target: str | None, uncertain: st
 _MARK = re.compile(r"[.!?…。！？।؟]|\n *[\[<>\w-]")
 
 
-def _wrong_language(words: list[str], lang: str, profiles: Profiles, group: str | None = None) -> bool:
-    """Whether the answer as a whole is nearest to another language's profile, by a clear margin where they share a script."""
-    group = script_of(words) if group is None else group
+def _wrong_language(words: list[str], lang: str, profiles: Profiles, group: str) -> bool:
+    """Whether the answer as a whole is nearest to another language's profile, by a clear margin where they share a script.
+
+    A script that one language writes needs no distances: its language is the nearest, whatever the words.
+    """
     if not group:
         return False
+    if group != _GROUP_OF[lang]:
+        return True
+    if len(GROUPS[group]) == 1:
+        return False
     joined = " ".join(words)
     best, _, d = profiles.classify(joined, group)
     if best == lang:
         return False
-    if group != _GROUP_OF[lang]:
-        return True
     at = GROUPS[group].index
     return d[at(lang)] - d[at(best)] > MARGIN * d[at(lang)] and len(joined) > 8
 
 
+#: Pairs read, or openings hashed, at once.
+_BLOCK = 4096
+
 _OUT = pa.schema([("task_key", pa.string()), ("id", pa.int64()), ("defect", pa.string()), ("opening", pa.string()), ("plang", pa.string()), ("words", pa.list_(pa.int32())), ("oh", pa.int64())])
 _DDL = "task_key string, id bigint, defect string, opening string, plang string, words array<int>, oh bigint"
 
 
 def _checker(profiles: Profiles, boundaries: BoundaryModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols = {n: b.column(n).to_pylist() for n in ("task_key", "id", "target_lang", "answer", "uncertain", "cue")}
-            own = [body(x) if x else "" for x in cols["answer"]]
-            src = [body(x) if x else "" for x in cols["cue"]]
-            ours, theirs = [said(x) for x in own], [said(x) for x in src]
-            groups, scripts = [script_of(ws) for ws in theirs], [script_of(ws) for ws in ours]
-            profiles.measure([(g, " ".join(ws)) for g, ws in zip(scripts, ours) if g] + [(g, " ".join(ws)) for g, ws in zip(groups, theirs) if g])
-            rows = []
-            for key, id_, target, answer, uncertain, cue, text, source, mine, its, g, h in zip(*cols.values(), own, src, ours, theirs, groups, scripts):
-                defect = check(cue, answer, target, uncertain, profiles, boundaries, text, source, mine, h)
-                op = opening(text, mine) if defect not in ("empty", "copy") and mine else None
-                plang = profiles.classify(" ".join(its), g)[0] if op and g else None
-                rows.append((key, id_, defect, op or None, plang, content_words(its, g) if plang else None, xxhash.xxh64_intdigest(op) - (1 << 63) if op else None))
-            out = list(zip(*rows)) or [[]] * len(_OUT)
-            yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(out, _OUT)], schema=_OUT)
+        for b in (b.slice(i, _BLOCK) for b in batches for i in range(0, b.num_rows, _BLOCK)):
+            rows = [*zip(*(b.column(n).to_pylist() for n in ("cue", "answer", "target_lang", "uncertain")))]
+            found = [Pair(*row) for row in rows]
+            profiles.measure(x for p in found for x in p.to_measure(profiles))
+            defects = [check(*row, profiles, boundaries, p) for row, p in zip(rows, found)]
+            openings = [(opening(p.own, p.mine) or None) if d not in ("empty", "copy") and p.mine else None for d, p in zip(defects, found)]
+            asked = [(p, " ".join(p.its)) if op and p.group else None for op, p in zip(openings, found)]
+            profiles.measure((x[0].group, x[1]) for x in asked if x and len(GROUPS[x[0].group]) > 1)
+            langs = [(GROUPS[x[0].group][0] if len(GROUPS[x[0].group]) == 1 else profiles.classify(x[1], x[0].group)[0]) if x else None for x in asked]
+            words = [content_words(x[0].its, x[0].group) if x else None for x in asked]
+            hashes = [xxhash.xxh64_intdigest(op) - (1 << 63) if op else None for op in openings]
+            out = [b.column("task_key"), b.column("id"), defects, openings, langs, words, hashes]
+            yield pa.record_batch([pa.array(c, f.type) if isinstance(c, list) else c.cast(f.type) for c, f in zip(out, _OUT)], schema=_OUT)
 
     return run
 
@@ -227,16 +277,33 @@ def checked(translations: DataFrame, cues: DataFrame) -> DataFrame:
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _signatures(parts: list[list[str]]) -> np.ndarray:
+    """MinHash signatures of many token lists, one row each; every different token is hashed once."""
+    ids: dict[str, int] = {}
+    at = [ids.setdefault(t, len(ids)) for p in parts for t in p]
+    own = (np.array([zlib.crc32(t.encode()) % int(_PRIME) for t in ids], np.uint64)[:, None] * _SEEDS[0] + _SEEDS[1]) % _PRIME
+    starts = np.cumsum([0, *map(len, parts[:-1])])
+    return np.minimum.reduceat(own[at], starts, axis=0)
+
+
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        band, oh, toks = [], [], []
-        for h, op in zip(b.column("oh").to_pylist(), b.column("opening").to_pylist()):
-            ts = [_word_hash(t) for t in sorted(tokens_of(op), key=lambda t: (-len(t), t))]  # long tokens, which are rare, first
-            for k in bands(op):
-                band.append(k)
-                oh.append(h)
-                toks.append(ts)
-        yield pa.record_batch([pa.array(band, pa.int64()), pa.array(oh, pa.int64()), pa.array(toks, pa.list_(pa.int32()))], names=["band", "oh", "toks"])
+        for i in range(0, b.num_rows, _BLOCK // 8):
+            block = b.slice(i, _BLOCK // 8)
+            # Long tokens, which are rare, first.
+            parts = [sorted(sorted(tokens_of(op)), key=len, reverse=True) for op in block.column("opening").to_pylist()]
+            rows = _signatures(parts)
+            band = [zlib.crc32(row[k * 8 * ROWS : (k + 1) * 8 * ROWS]) * 8 + k for k in range(BANDS) for row in map(np.ndarray.tobytes, rows)]
+            flat, ends = np.fromiter((_word_hash(t) for p in parts for t in p), np.int32), np.cumsum([0, *map(len, parts)])
+            every = np.concatenate([[0], *(ends[1:] + k * len(flat) for k in range(BANDS))])
+            toks = pa.ListArray.from_arrays(pa.array(every, pa.int32()), pa.array(np.tile(flat, BANDS)))
+            yield pa.record_batch([pa.array(band, pa.int64()), pa.array(np.tile(block.column("oh").to_numpy(), BANDS)), toks], names=["band", "oh", "toks"])
+
+
+@lru_cache(10_000)
+def _least_common(n: int, m: int) -> int:
+    """How many tokens sets of ``n`` and ``m`` must share to be as near as ``SIMILAR``; more than they have where none suffice."""
+    return next((both for both in range(min(n, m) + 1) if both >= SIMILAR * (n + m - both)), min(n, m) + 1)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,26 +314,33 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     band, leaders = None, {}
     for b in batches:
         out: list[tuple[int, int]] = []
-        for k, h, toks in zip(*(b.column(c).to_pylist() for c in ("band", "oh", "toks"))):
+        of = b.column("band").to_numpy()
+        again = of[1:] == of[:-1]
+        # An opening alone in its band has nothing to join; what stands at the border of a batch may go on in the next.
+        alone = np.concatenate([[False], ~(again[:-1] | again[1:]), [False]]) if len(of) > 1 else np.zeros(len(of), bool)
+        at = (~alone).nonzero()[0]
+        toks = b.column("toks")
+        flat, ends = toks.flatten().to_numpy().tolist(), toks.offsets.to_numpy() - toks.offsets[0].as_py()
+        for k, h, first, end in zip(of[at].tolist(), b.column("oh").to_numpy()[at].tolist(), ends[at].tolist(), ends[at + 1].tolist()):
             if k != band:
                 band, leaders = k, {}
-            own, n = set(toks), len(toks)
-            head = toks[: n - math.ceil(SIMILAR * n - 1e-9) + 1]
+            n = end - first
+            own, head = set(flat[first:end]), flat[first : end - math.ceil(SIMILAR * n - 1e-9) + 1]
             seen: set[int] = set()
             lead = None
-            for t in head:
-                for x, ts in leaders.get(t, ()):
-                    if x not in seen:
+            for i, t in enumerate(head):
+                for x, ts, size, behind in leaders.get(t, ()):
+                    if x not in seen:  # the first token they share: all others stand behind it in both
                         seen.add(x)
-                        both = len(own & ts)
-                        if both >= SIMILAR * (n + len(ts) - both):
+                        least = _least_common(n, size)
+                        if n - i >= least <= behind and len(own & ts) >= least:
                             lead = x
                             break
                 if lead is not None:
                     break
             if lead is None:
-                for t in head:
-                    leaders.setdefault(t, []).append((h, own))
+                for i, t in enumerate(head):
+                    leaders.setdefault(t, []).append((h, own, len(own), n - i))
             else:
                 out.append((h, lead))
         cols = list(zip(*out)) or [[]] * 2
@@ -312,8 +386,14 @@ def _overlap(prompts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _relation(prompts: DataFrame, usual: DataFrame) -> DataFrame:
-    """``comp, k, rel``: how far the overlap of a cluster's prompts goes from the usual one of their languages (0) to equality (1)."""
-    own = _overlap(prompts, ["comp", "plang"]).where("k > 1")
+    """``comp, k, rel``: how far the overlap of a cluster's prompts goes from the usual one of their languages (0) to equality (1).
+
+    A cluster's prompts of one language meet in one task, so that the words of lone prompts, which nothing comes of, are
+    never counted and those of the others are not shuffled one by one.
+    """
+    many = prompts.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("comp", "plang"))).where("k > 1")
+    per = many.withColumn("w", F.explode("words")).groupBy("comp", "plang", "k", "w").agg(F.count("*").alias("c"))
+    own = per.groupBy("comp", "plang", "k").agg(F.sum("c").alias("words"), F.sum(F.expr("c * (c - 1.0D)")).alias("pairs")).withColumn("shared", F.expr("pairs / (k - 1)"))
     per = own.join(F.broadcast(usual), "plang").groupBy("comp").agg(F.sum("shared").alias("s"), F.sum("words").alias("w"), F.sum("k").alias("k"), F.sum(F.expr("usual * words")).alias("u"))  # usual: one row per language
     return per.select("comp", "k", F.expr("(s - u) / greatest(w - u, 1e-9)").alias("rel"))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.functions.lines import read_lines
+from cuegrid.functions.lines import plain, read_lines
 from cuegrid.llm.fillers import LEAD_INS, WORDS, is_speech
 from cuegrid.llm.lang import _MAIL
 
@@ -186,11 +186,16 @@ class BoundaryModel:
 _MARKS = ".!?…。！？।؟｡"
 #: Blanks and quotation marks behind a sentence.
 _BEHIND = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "\"”»’」』“"
-_TOKEN = re.compile(r"[^\W_][\w'’ऀ-ॿً-ٟ-]*")
+#: Letters that are common come first in the class, where a bitmap finds them.
+_TOKEN = re.compile(r"[^\W_][a-z0-9ß-öø-ÿа-яё一-鿿\w'’ऀ-ॿً-ٟ-]*")
 _TERMS = pa.schema([("term", pa.int32()), ("finals", pa.int64()), ("dotted", pa.int64()), ("starts", pa.int64()), ("total", pa.int64())])
 
 
 def _bodies(text: str) -> list[str]:
+    if plain(text) and "@" not in text and "＠" not in text:
+        low = text.lower()
+        if "www." not in low and " arroba " not in low:
+            return [text.strip()] if is_speech(text, low) else []
     masked, lines, _ = read_lines(text)
     low = masked.lower()
     if "@" in masked or "＠" in masked or "[" in masked or "(" in masked or "://" in masked or "www." in low or " arroba " in low:
@@ -227,16 +232,18 @@ def _tally(bodies: list[str], finals: Counter, dotted: Counter, starts: Counter,
         total.update(map("".join, zip(run, run[1:])))
     for t, n in Counter(_OPENER.findall(low)).items():
         starts[t[:2] if not t.isascii() and _UNSPACED.match(t) else t] += n
+    tails = []
     for body in lines:
         last, bare, _, ended = _tail(body)
         if ended:
-            tail = _prev_token(bare)
-            finals[tail] += 1
-            dotted[tail] += 1
+            tails.append(_prev_token(bare))
         if "." in bare or "…" in bare:
             for m in _candidates(body).finditer(body):
-                if m.end() < len(last) and m["t"] and set(m["t"]) & set(".…"):
-                    dotted[_prev_token(body[: m.start()])] += 1
+                at, mark = m.start(), m["t"]
+                if mark and ("." in mark or "…" in mark) and m.end() < len(last):
+                    dotted[_last_token(body[max(0, at - 24) : at])] += 1
+    finals.update(tails)
+    dotted.update(tails)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,9 +395,12 @@ def _first(masked: str, a: int, b: int) -> int:
 _SAYS = re.compile(r"[^\W_]")
 
 
-def cuts(text: str, model: BoundaryModel) -> list[tuple[int, int]]:
-    """``(first, end)`` of each sentence of a cue, in code points of the original text."""
-    masked, lines, _ = read_lines(text)
+def cuts(text: str, model: BoundaryModel, read: tuple[str, list[tuple[str | None, int, int]]] | None = None) -> list[tuple[int, int]]:
+    """``(first, end)`` of each sentence of a cue, in code points of the original text.
+
+    ``read``: the text masked and its lines, where they are at hand.
+    """
+    masked, lines = read or read_lines(text)[:2]
     if "@" in masked or "＠" in masked or "[" in masked or "(" in masked:
         masked = _MAIL.sub(lambda m: "x" * len(m[0]), masked)
     out: list[tuple[int, int]] = []

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from cuegrid.llm import pairs
@@ -77,3 +78,34 @@ def test_components(spark):
     got = {r.id: r.comp for r in pairs.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7, 20: 20}
     assert pairs.components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_only_what_can_differ_is_measured():
+    """A script of one language needs no distances, nor does an answer in a script that is not its target's."""
+    p = model()
+    ru = "Редактор проверяет запись после обеда."
+    rows = [("a", 1, "ru", ru, None, EN[0]), ("b", 2, "de", DE[0], None, ru), ("c", 3, "ru", JA[0], None, EN[1]), ("d", 4, "de", EN[2], "no", EN[2])]
+    names = ("task_key", "id", "target_lang", "answer", "uncertain", "cue")
+    batch = pa.record_batch([pa.array(c) for c in zip(*rows)], names=names)
+    got = [r for b in pairs._checker(p, M)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["defect"], r["plang"]) for r in got] == [(None, "en"), (None, "ru"), ("wrong_language", "en"), ("copy", None)]
+    assert {g for g, _ in p.cache} == {"latin"}
+
+
+def test_verification_is_the_same_however_it_is_cut():
+    """Leaders of a band go on in the next batch; openings alone in their band link nothing."""
+    texts = [f"we cannot help with line number {a} of today {b}" for a in ("one", "two") for b in ("x", "y", "z")] + ["quite another answer here"]
+    toks = [sorted(pairs._word_hash(t) for t in pairs.tokens_of(pairs.opening(t))) for t in texts]
+    rows = [(k, i, ts) for k in (1, 2) for i, ts in enumerate(toks)] + [(3, 0, toks[0]), (4, 1, toks[1])]
+    whole = pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["band", "oh", "toks"])
+    cut = [{(r["a"], r["b"]) for b in pairs._verified(iter([whole.slice(i, n) for i in range(0, len(rows), n)])) for r in b.to_pylist()} for n in (1, 2, 3, len(rows))]
+    assert cut[0] and all(c == cut[0] for c in cut) and not any(6 in e for e in cut[0])
+
+
+def test_lone_prompts_are_not_counted(spark):
+    """A cluster's prompts of one language meet in one exchange; ``comp`` 2 has one prompt a language and says nothing."""
+    prompts = spark.createDataFrame([(1, "en", [1, 2, 3]), (1, "en", [1, 2, 4]), (1, "de", [7, 8, 9]), (2, "en", [1, 2, 3]), (2, "de", [7, 8, 9])], "comp bigint, plang string, words array<int>")
+    rel = pairs._relation(prompts, spark.createDataFrame([("en", 0.25), ("de", 0.25)], "plang string, usual double"))
+    assert [(r.comp, r.k, round(r.rel, 6)) for r in rel.collect()] == [(1, 2, round((4 - 1.5) / (6 - 1.5), 6))]
+    plan = rel._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("explode(") < plan.find("Window [")  # the plan reads from its end: counted first, exploded then
