@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuegrid.operators.fold import fold
+from cuegrid.session import staged
 
 #: What the two normalisers leave out (cross-channel duplicates; anchoring of quotes).
 _MARKS = r"[\s，。！？；：、,.!?;:…—～~“”\"'‘’()（）《》]+"
@@ -135,31 +137,109 @@ def dedupe_cross_channel(cues: DataFrame, similar: float = 0.55, overlap: float
     return fold(p, ["rec_id", "island"], ["a_start_ms", "a_cue_id", "b_start_ms", "b_cue_id"], _Greedy, "rec_id string, cue_id bigint, kept_id bigint", schema)
 
 
-def anchor(items: DataFrame, cues: DataFrame, least: float = 0.6) -> DataFrame:
-    """J7 on ``rec_id, item_id, time_ms, quote``: the cue of the recording that says the quote best, wherever it is.
+def _nearest(least: float):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The pairs of ``rec_id, q, t`` that may be the best of their quote, with their ratio.
+
+        Those with most letters in common come first, and a quote is done where the letters show that the rest is under
+        its best so far.
+        """
+        top: dict[tuple, float] = {}
+        for f in frames:
+            rows: list[tuple] = []
+            if len(f):
+                rec, (xi, xs), (yi, ys) = f["rec_id"].to_numpy(), pd.factorize(f["q"]), pd.factorize(f["t"])
+                hx, hy = _letters(xs), _letters(ys)
+                nx, ny = hx.sum(1), hy.sum(1)
+                bound = np.empty(len(f))
+                for i in range(0, len(f), 8192):
+                    p, q = xi[i : i + 8192], yi[i : i + 8192]
+                    bound[i : i + 8192] = 2.0 * np.minimum(hx[p], hy[q]).sum(1) / (nx[p] + ny[q])
+                of = pd.factorize(rec)[0] * len(xs) + xi
+                order = np.lexsort((-bound, of))
+                m = difflib.SequenceMatcher(None)
+                for pairs in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+                    r, q = rec[pairs[0]], xs[xi[pairs[0]]]
+                    best = top.get((r, q), least)
+                    for k in pairs:
+                        if bound[k] < best - 1e-9:
+                            break
+                        t = ys[yi[k]]
+                        m.set_seqs(q, t)
+                        sim = m.ratio()
+                        if sim >= best:
+                            best = top[r, q] = sim
+                            rows.append((r, q, t, sim))
+            yield pd.DataFrame(rows, columns=["rec_id", "q", "t", "sim"])
+
+    return run
+
 
-    All cues of the recording are compared, as it is the times that cannot be trusted: those whose text is the quote by an
-    equality join, all others if length and shared letters let them reach ``least``.  Equal texts of a recording are
-    compared once, and joined back by the nearest start.  Ties go by distance in time, then by start and id.  Items
-    without a cue come out with ``anchored`` false and their own time, empty quotes with null.
+def _one_letter_off(asked: DataFrame, cues: DataFrame, least: float) -> DataFrame:
+    """Cues whose text is the quote or has one letter more: ``rec_id, q, c_start, cue_id, sim``.
+
+    Of a quote of n letters that is in no cue, no ratio is over 2n / (2n + 1), and only texts that are the quote and one letter
+    reach it; they are listed if the matcher gives them that much.  So what is listed for a quote can only be beaten by what is
+    listed for it.  Such texts agree in what is before or in what is after their middle letter: two keys for each cue.
     """
-    c = cues.where("rec_id IS NOT NULL").select("rec_id", "cue_id", F.col("start_ms").alias("c_start"), normal(F.col("text"), _QUOTE_MARKS).alias("t")).where("t <> ''")
-    i = items.withColumn("q", normal(F.col("quote"), _QUOTE_MARKS))
-    asked = i.where("q <> ''").select("rec_id", "q").distinct()
-    said = c.groupBy("rec_id", "t").agg(F.count("*").alias("times")).withColumn("n", F.length("t"))
-    exact = asked.join(said, (asked.rec_id == said.rec_id) & (asked.q == said.t), "left_semi").select("rec_id", "q", F.col("q").alias("t"), F.lit(1.0).alias("sim"))
-    open_ = asked.join(exact.select("rec_id", "q"), ["rec_id", "q"], "left_anti")
-    # Candidates by length: 2 min / (a + b) >= least bounds the lengths, so the join is on recording and band of length.
+
+    def key(n: str, half: int, part: str) -> str:
+        return f"xxhash64({n}, {half}, {part})"
+
+    t = cues.withColumn("t", normal(F.col("text"), _QUOTE_MARKS)).withColumn("n", F.length("t")).withColumn("h", F.expr("CAST((n - 1) DIV 2 AS INT)"))
+    t = t.select("rec_id", "cue_id", "c_start", "t", F.explode(F.expr(f"array({key('n', 0, 'substring(t, 1, h)')}, {key('n', 1, 'substring(t, h + 2)')})")).alias("key"))
+    q = asked.withColumn("n", F.length("q")).withColumn("h", F.expr("CAST(n DIV 2 AS INT)"))
+    same = key("n", 0, "substring(q, 1, CAST((n - 1) DIV 2 AS INT))")
+    q = q.select("rec_id", "q", F.explode(F.expr(f"array({same}, {key('n + 1', 0, 'substring(q, 1, h)')}, {key('n + 1', 1, 'substring(q, h + 1)')})")).alias("key"))
+    p = t.join(q, ["rec_id", "key"]).where("t = q OR length(t) = length(q) + 1 AND levenshtein(q, t, 1) = 1")
+    p = p.select("rec_id", "q", "t", "c_start", "cue_id").withColumn("sim", ratio("q", "t", least))
+    # Asked of the best only: a filter on the pairs would run the matcher twice.
+    p = _best(p).where(f"sim >= {least} AND (t = q OR sim >= 2.0D * length(q) / (length(q) + length(t)) - 1e-12D)")
+    return p.select("rec_id", "q", "c_start", "cue_id", "sim")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """Not ``sim = top``: from an equality the optimizer infers one more filter that runs the matcher again."""
+    return pairs.withColumn("top", F.max("sim").over(Window.partitionBy("rec_id", "q"))).where("sim >= top").drop("top")
+
+
+def _any_alike(asked: DataFrame, cues: DataFrame, least: float) -> DataFrame:
+    """The cues most like each quote, of all of its recording whose length lets them reach ``least``; columns as above."""
+    c = cues.join(asked.select("rec_id").distinct(), "rec_id", "left_semi").withColumn("t", normal(F.col("text"), _QUOTE_MARKS)).drop("text")
+    c = staged(c, "said")
+    # 2 min / (a + b) >= least bounds the lengths, so the join is on recording and band of length.
     band = 8
     lo, hi = F.floor(F.length("q") * least / (2 - least) / band), F.floor(F.length("q") * (2 - least) / least / band)
-    o = open_.withColumn("band", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))
-    s = said.withColumn("band", F.floor(F.col("n") / band).cast("int"))
-    near = o.join(s, ["rec_id", "band"]).where(may_reach(F.col("q"), F.col("t"), least)).withColumn("sim", ratio("q", "t", least)).where(f"sim >= {least}").select("rec_id", "q", "t", "sim")
-    best = near.groupBy("rec_id", "q").agg(F.max("sim").alias("sim")).join(near, ["rec_id", "q", "sim"]).select("rec_id", "q", "t", "sim").union(exact)
-    # Many cues may say the same: starts are kept sorted per text, and an item looks up the nearest.
-    starts = c.groupBy("rec_id", "t").agg(F.sort_array(F.collect_list(F.struct("c_start", "cue_id"))).alias("at"))
-    j = i.where("q <> ''").join(best, ["rec_id", "q"]).join(starts, ["rec_id", "t"])
-    j = j.withColumn("hit", F.expr("array_min(transform(at, x -> struct(CASE WHEN time_ms IS NULL THEN 0.0D ELSE coalesce(abs(x.c_start - time_ms), 1e18D) END AS d, x.c_start AS c_start, x.cue_id AS cue_id)))"))
-    w = Window.partitionBy("rec_id", "item_id").orderBy("hit.d", "hit.c_start", "hit.cue_id")
-    found = j.withColumn("rk", F.row_number().over(w)).where("rk = 1").select("rec_id", "item_id", F.col("hit.cue_id").alias("cue_id"), F.col("hit.c_start").alias("at_ms"), "sim")
-    return i.join(found, ["rec_id", "item_id"], "left").select("rec_id", "item_id", "cue_id", F.coalesce("at_ms", "time_ms").alias("anchored_ms"), F.expr("CASE WHEN q <> '' THEN cue_id IS NOT NULL END").alias("anchored"))
+    o = asked.withColumn("band", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))
+    s = c.select("rec_id", "t").distinct().withColumn("band", F.floor(F.length("t") / band).cast("int"))
+    near = s.join(o, ["rec_id", "band"]).where("t <> ''").where(may_reach(F.col("q"), F.col("t"), least)).select("rec_id", "q", "t")
+    best = _best(near.mapInPandas(_nearest(least), "rec_id string, q string, t string, sim double"))
+    return c.join(best, ["rec_id", "t"]).select("rec_id", "q", "c_start", "cue_id", "sim")
+
+
+def anchor(items: DataFrame, cues: DataFrame, least: float = 0.6) -> DataFrame:
+    """J7 on ``rec_id, item_id, time_ms, quote``: the cue of the recording that says the quote best, wherever it is.
+
+    All cues of the recording count, as it is the times that cannot be trusted.  Quotes that a cue says, or would with one letter
+    less, are found by keys, as nothing else can be more like them; only the others are compared with all cues.  Ties go by
+    distance in time, then by start and id.  Items without a cue come out with ``anchored`` false and their own time, empty
+    quotes with null.  Cues given twice count once.
+    """
+    c = cues.where("rec_id IS NOT NULL").select("rec_id", "cue_id", F.col("start_ms").alias("c_start"), "text")
+    i = staged(items.select("rec_id", "item_id", "time_ms", normal(F.col("quote"), _QUOTE_MARKS).alias("q")), "items")
+    asked = i.where("rec_id IS NOT NULL AND q <> ''").select("rec_id", "q").distinct()
+    hits = staged(_one_letter_off(asked, c, least), "anchored")
+    rest = staged(asked.join(hits.select("rec_id", "q").distinct(), ["rec_id", "q"], "left_anti"), "quotes")
+    if not rest.isEmpty():
+        hits = hits.union(_any_alike(rest, c, least))
+    # Starts and asked times of a quote in one order: the nearest start is the last one before or the first one after.
+    at = hits.groupBy("rec_id", "q", "c_start").agg(F.min("cue_id").alias("cue_id"))
+    at = at.select("rec_id", "q", F.lit(None).cast(i.schema["item_id"].dataType).alias("item_id"), F.lit(None).cast(i.schema["time_ms"].dataType).alias("time_ms"), F.struct("c_start", "cue_id").alias("hit"), F.expr("nanvl(CAST(c_start AS DOUBLE), NULL)").alias("pos"))
+    u = at.unionByName(i.where("q <> ''").withColumns({"hit": F.lit(None).cast(at.schema["hit"].dataType), "pos": F.expr("nanvl(CAST(time_ms AS DOUBLE), NULL)")}))
+    w, known = Window.partitionBy("rec_id", "q"), F.expr("CASE WHEN pos IS NOT NULL THEN hit END")
+    up, down = (w.orderBy(o, F.col("hit").isNull()).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("pos"), F.desc("pos")))
+    u = u.withColumns({"any": F.min("hit").over(w), "prev": F.last(known, True).over(up), "next": F.last(known, True).over(down)}).where("hit IS NULL")
+    nearer = "CASE WHEN pos IS NULL THEN any WHEN prev IS NULL THEN coalesce(next, any) WHEN next IS NULL OR pos - prev.c_start <= next.c_start - pos THEN prev ELSE next END"
+    found = u.withColumn("found", F.expr(nearer)).select("rec_id", "item_id", F.col("found.cue_id").alias("cue_id"), F.coalesce("found.c_start", "time_ms").alias("anchored_ms"), F.expr("found.cue_id IS NOT NULL").alias("anchored"))
+    empty = i.where("q = ''").select("rec_id", "item_id", F.lit(None).cast(found.schema["cue_id"].dataType).alias("cue_id"), F.col("time_ms").cast(found.schema["anchored_ms"].dataType).alias("anchored_ms"), F.lit(None).cast("boolean").alias("anchored"))
+    return found.union(empty)

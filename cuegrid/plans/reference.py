@@ -462,10 +462,15 @@ def j10(s, d):
     return c.select("rec_id", "cue_id", F.expr("concat(CASE WHEN size(before) > 1 THEN before[0] ELSE '' END, '/', CASE WHEN size(before) > 0 THEN element_at(before, -1) ELSE '' END)").alias("b"), F.expr("concat(CASE WHEN size(after) > 0 THEN after[0] ELSE '' END, '/', CASE WHEN size(after) > 1 THEN after[1] ELSE '' END)").alias("a"))
 
 
-def _voiced(s, d):
-    """The cues with a level of their recogniser track; redelivered rows count once."""
+def _delivered(s, d):
+    """The cues with a level of their recogniser track, as often as they were delivered."""
     c = table(s, d, "cues").where("rec_id IS NOT NULL AND start_ms IS NOT NULL AND end_ms IS NOT NULL")
-    return c.select("rec_id", "cue_id", "start_ms", "end_ms", "speaker", "text", F.expr("-20.0D - cue_id % 7").alias("level")).distinct()
+    return c.select("rec_id", "cue_id", "start_ms", "end_ms", "speaker", "text", F.expr("-20.0D - cue_id % 7").alias("level"))
+
+
+def _voiced(s, d):
+    """The same; redelivered rows count once."""
+    return _delivered(s, d).distinct()
 
 
 @query("j5_cross_channel_dedupe")
@@ -478,7 +483,7 @@ def j7(s, d):
     """Quotes of every twentieth cue, some with a letter wrong, all with minutes added to their time."""
     c = _voiced(s, d)
     items = c.where("cue_id % 20 = 0 AND text IS NOT NULL").select("rec_id", F.col("cue_id").alias("item_id"), (F.col("start_ms") + 60_000 * (1 + F.col("cue_id") % 7)).alias("time_ms"), F.expr("CASE WHEN cue_id % 40 = 0 THEN concat(substring(text, 1, 4), substring(text, 6)) ELSE text END").alias("quote"))
-    return matching.anchor(items, c)
+    return matching.anchor(items, _delivered(s, d))
 
 
 @query("j13_tree_diff", "WITH a AS (SELECT doc_id % 900 AS k, doc_id, md5(coalesce(text, '')) AS h FROM documents), s AS (SELECT concat('f/', doc_id) AS path, h FROM a WHERE doc_id % 7 <> 0), t AS (SELECT concat('f/', doc_id) AS path, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE h END AS h FROM a WHERE doc_id % 11 <> 0) SELECT coalesce(s.path, t.path) AS path, CASE WHEN s.h IS NULL THEN 'extra' WHEN t.h IS NULL THEN 'missing' WHEN s.h <> t.h THEN 'changed' ELSE 'same' END AS state FROM s FULL JOIN t ON s.path = t.path")

@@ -153,6 +153,81 @@ def test_matching_and_tasks(spark):
         tree.structure("```\nx")
 
 
+def fold_anchor(items, rows, least=0.6):
+    """Every quote against every cue of its recording, one after the other."""
+    import difflib
+    import re
+
+    def norm(x):
+        return re.sub(r"[\s，。、；：,.;:！？!?]+", "", x or "")
+
+    out, said = {}, [(r[0], r[1], r[2], norm(r[5])) for r in rows]
+    for rec, item, time, quote in items:
+        q, best = norm(quote), None
+        for r, cue, start, t in said:
+            if r is not None and r == rec and q and t:
+                sim = 1.0 if t == q else difflib.SequenceMatcher(None, q, t).ratio()
+                if sim >= least:
+                    one = (-sim, 0.0 if time is None else 1e18 if start is None else abs(start - time), start is not None, start or 0.0, cue)
+                    best = one if best is None or one < best else best
+        out[item] = (best and best[4], (best[3] if best[2] else time) if best else time, best is not None if q else None)
+    return out
+
+
+def test_anchor_by_brute_force(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice("ab") for _ in range(r.randint(1, 9))) for _ in range(60)] + ["".join(r.choice("abcdefgh，") for _ in range(r.randint(5, 30))) for _ in range(60)]
+    texts += ["".join(r.choice("abcd") for _ in range(n)) for n in (198, 199, 200, 201, 260)] + ["", "。", None, "你好，世界😀再见", "你好世界再见"]
+    rows = [(r.choice(["r", "r", "q", None]), i, None if i % 41 == 0 else float(r.randint(0, 30) * 500), 0.0, "A", r.choice(texts)) for i in range(400)]
+
+    def wrong(t):
+        for _ in range(r.choice([0, 1, 1, 1, 2, 3])):
+            k = r.randint(0, len(t))
+            t = r.choice([t[:k] + t[k + 1 :], t[:k] + "x" + t[k:], t[:k] + "b" + t[k + 1 :]])
+        return t
+
+    items = [(r.choice(["r", "r", "q", "none", None]), i, r.choice([None, float(r.randint(0, 60) * 250)]), wrong(r.choice(texts) or "")) for i in range(500)]
+    at = spark.createDataFrame(items, "rec_id string, item_id bigint, time_ms double, quote string")
+    for least in (0.6, 0.9):
+        got = matching.anchor(at, spark.createDataFrame(rows + rows[:50], CUES), least).collect()
+        assert len(got) == len(items)
+        assert {x.item_id: (x.cue_id, x.anchored_ms, x.anchored) for x in got} == fold_anchor(items, rows, least)
+    none = matching.anchor(at.limit(0), spark.createDataFrame(rows, CUES)).collect()
+    assert none == [] and {x.anchored for x in matching.anchor(at, spark.createDataFrame([], CUES)).collect()} == {False, None}
+
+
+def test_anchor_compares_few_pairs(spark, monkeypatch):
+    """Of quotes with a letter missing, not every cue of the recording is compared."""
+    import pandas as pd
+
+    from cuegrid.operators.matching import _ratio
+
+    compared = spark.sparkContext.accumulator(0)
+
+    def counted(a, b, least=0.0):
+        run = _ratio(least)
+
+        def count(x: pd.Series, y: pd.Series) -> pd.Series:
+            compared.add(len(x))
+            return run(x, y)
+
+        return F.pandas_udf(count, "double")(a, b)
+
+    def unneeded(*_):
+        raise AssertionError("compared with every cue")
+
+    words = "the editor checks closing credits after lunch while our guest names a quiet passage".split()
+    r = random.Random(6)
+    texts = sorted({" ".join(r.choice(words) for _ in range(8)) for _ in range(1000)})
+    rows = [("r", i, i * 1000.0, 0.0, "A", t) for i, t in enumerate(texts)]
+    items = [("r", i, i * 1000.0 + 60_000, t[: i % 7 * 5] + t[i % 7 * 5 + 1 :]) for i, t in enumerate(texts) if i % 5 == 0]
+    monkeypatch.setattr(matching, "ratio", counted)
+    monkeypatch.setattr(matching, "_any_alike", unneeded, raising=False)
+    got = matching.anchor(spark.createDataFrame(items, "rec_id string, item_id bigint, time_ms double, quote string"), spark.createDataFrame(rows, CUES)).collect()
+    assert all(x.cue_id == x.item_id for x in got) and len(got) == len(items)
+    assert compared.value < 5 * len(items)
+
+
 def test_frames_and_alignment(spark):
     import numpy as np
 
